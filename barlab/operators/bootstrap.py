@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.scalars import ratio, week_of
@@ -13,19 +13,14 @@ DRAWS = 10_000
 TAILS = (0.025, 0.975)
 
 
-def counter_draws(sizes: DataFrame, draws: int) -> DataFrame:
-    """Resampled block positions ``(n_blocks, draw, pick)`` for each block count.
+def counter_pick(draw: Column, slot: Column, n_blocks: Column) -> Column:
+    """Block position, from 0, for one slot of one draw.
 
-    A draw depends only on (draw, slot), so a lost task rebuilds the same numbers
-    and every metric with the same block count shares one table. ``sizes`` has one
-    row per distinct block count.
+    It depends only on (draw, slot): a lost task rebuilds the same numbers, and all
+    metrics and groups with equally many blocks resample the same positions.
     """
-    slots = (sizes.select("n_blocks", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-             .select("n_blocks", "draw",
-                     F.explode(F.sequence(F.lit(1), F.col("n_blocks").cast("int"))).alias("slot")))
-    digest = F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8)
-    value = F.conv(digest, 16, 10).cast("long")
-    return slots.select("n_blocks", "draw", (value % F.col("n_blocks")).alias("pick"))
+    digest = F.md5(F.concat_ws(":", draw.cast("string"), slot.cast("string")))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n_blocks).cast("int")
 
 
 def weekly_blocks(daily: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -55,21 +50,41 @@ def block_intervals(
 
     No interval when a daily value is missing, or with fewer than two weeks.
     ``draw_table`` replaces the counter draws with given (n_blocks, draw, pick) rows.
+
+    A group travels as one row with the array of its weeks (5,218 in a century), so
+    resampling is a narrow explode into a partial sum per draw: no join and no second
+    pass over the daily table.
     """
-    blocks = weekly_blocks(daily, keys, metrics)
-    gaps = blocks.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("weeks"), *[F.sum(f"gap_{m}").alias(f"gap_{m}") for m in metrics])
-    usable = blocks.where("n_blocks >= 2")
-    picks = draw_table if draw_table is not None else counter_draws(
-        usable.select("n_blocks").distinct(), draws)
-    chosen = picks.join(usable, (picks["pick"] == usable["block"]) & (picks["n_blocks"] == usable["n_blocks"]))
-    means = chosen.groupBy(*keys, "draw").agg(
-        *[ratio(F.sum(f"sum_{m}"), F.sum("days")).alias(m) for m in metrics])
+    weeks = daily.groupBy(*keys, week_of(F.col("date")).alias("week")).agg(
+        F.count(F.lit(1)).alias("days"),
+        *[F.sum(m).alias(f"s_{m}") for m in metrics], *[F.count(m).alias(f"n_{m}") for m in metrics])
+    gap = lambda m: F.sum(F.col("days") - F.col(f"n_{m}"))
+    groups = weeks.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("weeks"), *[gap(m).alias(f"gap_{m}") for m in metrics],
+        F.sort_array(F.collect_list(F.struct("week", "days", *[f"s_{m}" for m in metrics]))).alias("_blocks"))
+    fixed = [*keys, "weeks", *[f"gap_{m}" for m in metrics]]
+    if draw_table is None:
+        # Draws go out in batches so that few groups still use many tasks.
+        batches = max(1, min(64, draws // 100))
+        step = -(-draws // batches)
+        spread = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("_batch"))
+        if batches > 1:
+            spread = spread.repartition(*keys, "_batch")
+        first = F.col("_batch") * step + 1
+        drawn = spread.select(*fixed, "_blocks", F.explode(
+            F.sequence(first, F.least(first + step - 1, F.lit(draws)))).alias("draw"))
+        slots = drawn.select(*fixed, "_blocks", "draw", F.explode(
+            F.sequence(F.lit(1), F.col("weeks").cast("int"))).alias("_slot"))
+        picked = slots.withColumn("_block", F.col("_blocks")[counter_pick(F.col("draw"), F.col("_slot"), F.col("weeks"))])
+    else:
+        table = draw_table.withColumnRenamed("n_blocks", "weeks")
+        picked = groups.join(table, "weeks").withColumn("_block", F.col("_blocks")[F.col("pick").cast("int")])
+    means = picked.groupBy(*fixed, "draw").agg(
+        *[ratio(F.sum(f"_block.s_{m}"), F.sum("_block.days")).alias(m) for m in metrics])
     tails = F.array(*[F.lit(t) for t in TAILS])
     # At most ``draws`` values per group, so the exact percentile is bounded.
-    ends = means.groupBy(*keys).agg(*[F.percentile(m, tails).alias(m) for m in metrics])
-    out = gaps.join(ends, list(keys), "left")
+    ends = means.groupBy(*fixed).agg(*[F.percentile(m, tails).alias(m) for m in metrics])
     complete = lambda m: (F.col(f"gap_{m}") == 0) & (F.col("weeks") >= 2)
-    return out.select(*keys, "weeks", *[
+    return ends.select(*keys, "weeks", *[
         F.when(complete(m), F.element_at(m, i)).alias(f"{m}_ci_{end}")
         for m in metrics for i, end in ((1, "low"), (2, "high"))])

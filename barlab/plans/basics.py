@@ -210,7 +210,7 @@ def lagged_rows(spark, sf):
     d = table(spark, sf, "lineitem").groupBy(
         F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("date")).agg(
         F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("quantity"),
-        F.bool_or(F.col("l_returnflag") == "R").alias("returned"))
+        F.bool_or(F.col("l_returnflag") != "R").alias("returned"))
     w = Window.partitionBy("code").orderBy("date")
     prior = w.rowsBetween(-20, -1)
     full = F.count("quantity").over(prior) == 20

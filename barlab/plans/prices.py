@@ -85,12 +85,20 @@ def clock_guard(spark, sf):
     return bars.clock_guard(bar_table(spark, sf), HOURLY)
 
 
+def _flawed(spark, sf):
+    """Bars with some broken brackets and off-grid closes, so the guards have work."""
+    mark = F.col("slot") + F.dayofmonth("date")
+    return bar_table(spark, sf).withColumns({
+        "high": F.when(mark % 11 == 0, F.col("low") / 2).otherwise(F.col("high")),
+        "close": F.when(mark % 23 == 0, F.col("close") + 0.003).otherwise(F.col("close"))})
+
+
 def bar_quality(spark, sf):
-    return bars.day_quality(bar_table(spark, sf))
+    return bars.day_quality(_flawed(spark, sf))
 
 
 def price_path(spark, sf):
-    return bars.price_path(bar_table(spark, sf), HOURLY)
+    return bars.price_path(_flawed(spark, sf), HOURLY)
 
 
 def feature_table(spark, sf):

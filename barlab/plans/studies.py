@@ -12,7 +12,7 @@ from barlab.operators.grouping import exact_quantiles
 from barlab.plans.output import tidied
 from barlab.plans.views import LEFT_LIST, RIGHT_LIST, ordered_days, stock_days, two_lists
 
-SELECTED = "`left` and score >= 45"
+SELECTED = "`left` and decision_shares >= 800"
 FOLDS = labels.half_year_folds(1997, 1998)
 QUERY_DRAWS = 200
 
@@ -76,14 +76,14 @@ def day_coverage(spark, sf):
 
 
 def common_days(spark, sf):
-    rows = stock_days(spark, sf).select("date", "code", "left", "right", "score")
+    rows = stock_days(spark, sf).select("date", "code", "left", "right", "decision_shares")
     left, right = compare.on_common_days(rows.where(LEFT_LIST), rows.where(RIGHT_LIST))
     return left.select("date", "code", F.lit("left").alias("side")).unionByName(
         right.select("date", "code", F.lit("right").alias("side")))
 
 
 def unmatched_days(spark, sf):
-    rows = stock_days(spark, sf).select("date", "left", "right", "score")
+    rows = stock_days(spark, sf).select("date", "left", "right", "decision_shares")
     a, b = rows.where(LEFT_LIST), rows.where(RIGHT_LIST)
     return (compare.only_days(a, b).withColumn("side", F.lit("left_only"))
             .unionByName(compare.only_days(b, a).withColumn("side", F.lit("right_only"))))
@@ -235,8 +235,8 @@ def _lists(spark, sf):
     """Five lists: B repeats A and E repeats C, each under another wording of its rule."""
     rows = stock_days(spark, sf)
     conditions = {
-        "A": SELECTED, "B": "score >= 45 and `left`", "C": "`right` and score >= 45",
-        "D": "not `left` and score >= 45", "E": "score >= 45 and code % 2 = 0"}
+        "A": SELECTED, "B": "code % 9 > 6 and `left`", "C": "`right` and decision_shares >= 800",
+        "D": "not `left` and decision_shares >= 800", "E": "code % 9 in (7, 8) and code % 2 = 0"}
     ids = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in conditions.items()]))
     return rows.select("date", "code", "half", "board", "decision_shares", F.explode(ids).alias("list_id"))
 

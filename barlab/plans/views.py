@@ -72,8 +72,8 @@ def ordered_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns(out)
 
 
-LEFT_LIST = "`left` and score >= 40"
-RIGHT_LIST = "`right` and score >= 40"
+LEFT_LIST = "`left` and decision_shares >= 700"
+RIGHT_LIST = "`right` and decision_shares >= 700"
 
 
 def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +120,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOURLY = Clocks(
     decision=14, back_long=9, back_mid=11, back_short=12,
     tail=5, half_tail=3, burst=2, afternoon=8, path=6,
-    index_decision=13, morning_first=6, morning_last=11, morning_bars=6,
+    index_decision=13, morning_first=0, morning_last=5, morning_bars=6,
     session_first=8, session=(8, 9, 10, 11, 12, 13), entry_slots=(15, 16, 17, 18),
     watch_first=9, watch_last=20, volume_unit=1, money_unit=1000.0,
 )

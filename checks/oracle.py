@@ -116,7 +116,7 @@ ORACLE_SQL["summary_lookup"] = with_views(["ordered_days"], f"""
 SELECT period, count(*) AS days, {sums(['known'])}, {means(['positive_before_rate', 'lower', 'upper'])}
 FROM {in_periods(ordered_daily('ordered_days'))} WHERE bps = 15 AND NOT sensitive AND period = '1997H1' GROUP BY period""")
 
-CHOSEN = '"left" AND score >= 45'
+CHOSEN = '"left" AND decision_shares >= 800'
 FORMULA = f"(SELECT * FROM ordered_days WHERE {CHOSEN})"
 BASE = f"(SELECT * FROM ordered_days WHERE date IN (SELECT date FROM ordered_days WHERE {CHOSEN}))"
 
@@ -139,8 +139,8 @@ ORACLE_SQL["base_arm_delta"] = with_views(
 ORACLE_SQL["base_arm_delta_periods"] = with_views(["ordered_days"], f"""
 SELECT bps, sensitive, period, count(*) AS days, {means(DELTAS)} FROM {in_periods(DELTA)} GROUP BY bps, sensitive, period""")
 
-LEFT = '(SELECT * FROM stock_days WHERE "left" AND score >= 40)'
-RIGHT = '(SELECT * FROM stock_days WHERE "right" AND score >= 40)'
+LEFT = '(SELECT * FROM stock_days WHERE "left" AND decision_shares >= 700)'
+RIGHT = '(SELECT * FROM stock_days WHERE "right" AND decision_shares >= 700)'
 PAIRED = ["rate", "one_percent_rate", "mean_reference", "negative_reference", "bad3"]
 PAIR = f"""(SELECT bps, sensitive, date, half, {', '.join(f'a.{m} - b.{m} AS {m}_delta' for m in PAIRED)},
   a.lower - b.upper AS lower_delta, a.upper - b.lower AS upper_delta
@@ -164,7 +164,7 @@ SELECT date, 'left_only' AS side FROM (SELECT date FROM {DAYS_L} EXCEPT SELECT d
 UNION ALL SELECT date, 'right_only' FROM (SELECT date FROM {DAYS_R} EXCEPT SELECT date FROM {DAYS_L})""")
 ORACLE_SQL["union_of_lists"] = with_views(["stock_days"], """
 SELECT date, code, half, "left" AS in_left, "right" AS in_right FROM stock_days
-WHERE score >= 40 AND ("left" OR "right")""")
+WHERE decision_shares >= 700 AND ("left" OR "right")""")
 
 
 def coupled(outcomes) -> str:
@@ -300,9 +300,9 @@ ORACLE_SQL["acceptance"] = with_views(["two_lists"], f"""
 , summaries AS (
   SELECT grp, period, count(*) AS days, sum(known) AS known, avg(positive_before_rate) AS pb, avg(space_before_rate) AS sb,
     avg(bad_first_rate) AS bf
-  FROM (SELECT *, 'left' AS grp FROM {in_periods(ordered_daily('(SELECT * FROM ordered_days WHERE "left" AND score >= 40)'))}
+  FROM (SELECT *, 'left' AS grp FROM {in_periods(ordered_daily('(SELECT * FROM ordered_days WHERE "left" AND decision_shares >= 700)'))}
         UNION ALL
-        SELECT *, 'right' AS grp FROM {in_periods(ordered_daily('(SELECT * FROM ordered_days WHERE "right" AND score >= 40)'))})
+        SELECT *, 'right' AS grp FROM {in_periods(ordered_daily('(SELECT * FROM ordered_days WHERE "right" AND decision_shares >= 700)'))})
   WHERE bps = 15 AND NOT sensitive GROUP BY grp, period),
 ends AS (SELECT * FROM {intervals(YEARLY.format(coupled(_PB)), "period", ["lower"])}),
 sizes AS (SELECT CAST(year(date) AS VARCHAR) AS year, median(n) AS med FROM (
@@ -346,13 +346,13 @@ ORACLE_SQL["duplicate_lists"] = with_views(["stock_days"], f"""
 SELECT * FROM (
   SELECT 'A' AS list_id, count(*) AS size, NULL::VARCHAR AS alias_of FROM stock_days WHERE {CHOSEN}
   UNION ALL SELECT 'B', count(*), 'A' FROM stock_days WHERE {CHOSEN}
-  UNION ALL SELECT 'C', count(*), NULL FROM stock_days WHERE "right" AND score >= 45
-  UNION ALL SELECT 'D', count(*), NULL FROM stock_days WHERE NOT "left" AND score >= 45
-  UNION ALL SELECT 'E', count(*), 'C' FROM stock_days WHERE code % 2 = 0 AND score >= 45)""")
+  UNION ALL SELECT 'C', count(*), NULL FROM stock_days WHERE "right" AND decision_shares >= 800
+  UNION ALL SELECT 'D', count(*), NULL FROM stock_days WHERE NOT "left" AND decision_shares >= 800
+  UNION ALL SELECT 'E', count(*), 'C' FROM stock_days WHERE code % 2 = 0 AND decision_shares >= 800)""")
 ORACLE_SQL["reused_summaries"] = with_views(["stock_days"], f"""
 SELECT 'B' AS list_id, 'A' AS source, half, count(*) AS rows, count(DISTINCT date) AS days
 FROM stock_days WHERE {CHOSEN} GROUP BY half
-UNION ALL SELECT 'E', 'C', half, count(*), count(DISTINCT date) FROM stock_days WHERE "right" AND score >= 45 GROUP BY half""")
+UNION ALL SELECT 'E', 'C', half, count(*), count(DISTINCT date) FROM stock_days WHERE "right" AND decision_shares >= 800 GROUP BY half""")
 ORACLE_SQL["period_filter"] = with_views(["stock_days"], """
 SELECT count(*) FILTER (year(date) = 1997) AS "n_1997", count(*) FILTER (half = '1997H1') AS "n_1997H1",
   count(*) FILTER (half = '1997H2') AS "n_1997H2",
@@ -455,10 +455,10 @@ ORACLE_SQL["turnover_features"] = with_views(["turnover"], f"SELECT date, code,
 ORACLE_SQL["morning_range"] = with_views(["morning_features"], f"""
 SELECT date, code, morning_high, morning_low, morning_complete, {rs(['AMHD', 'AMLD'], 7)} FROM morning_features""")
 ORACLE_SQL["clock_guard"] = with_views(["clock_guard"], "SELECT * FROM clock_guard")
-ORACLE_SQL["bar_quality"] = with_views(["good_bars"], """
+ORACLE_SQL["bar_quality"] = with_views(["flawed_good"], """
 SELECT code, date, count(*) AS bars, count(*) FILTER (NOT good) AS bad_bars, bool_and(good) AS all_good,
-  bool_or(volume > 1) AS any_busy_bar FROM good_bars GROUP BY code, date""")
-ORACLE_SQL["price_path"] = with_views(["bars"], f"""
+  bool_or(volume > 1) AS any_busy_bar FROM flawed_good GROUP BY code, date""")
+ORACLE_SQL["price_path"] = with_views(["flawed"], f"""
 SELECT code, date, c0 AS close_cents, CAST(0 AS BIGINT) AS path_00,
   {', '.join(f'c{k} - c0 AS path_0{k}' for k in range(1, 6))}, good_bars,
   coalesce(slot0 = 9 AND date0 = date, false) AND good_bars = 6 AND c0 > 0 AS path_ok
@@ -466,7 +466,7 @@ FROM (
   SELECT *, {', '.join(f'lag(c0, {k}) OVER c AS c{k}' for k in range(1, 6))}, lag(slot, 5) OVER c AS slot0,
     lag(date, 5) OVER c AS date0,
     count(*) FILTER (close > 0 AND abs(close * 100 - round(close * 100)) <= 0.01) OVER (c ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS good_bars
-  FROM (SELECT *, CAST(round(close * 100) AS BIGINT) AS c0 FROM bars)
+  FROM (SELECT *, CAST(round(close * 100) AS BIGINT) AS c0 FROM flawed)
   WINDOW c AS (PARTITION BY code ORDER BY date, slot))
 WHERE slot = 14""")
 ALLF = [*DAYF, *TAILF, *IDXF, "S01", "S02", "S03", "AMHD", "AMLD"]
@@ -638,7 +638,7 @@ SELECT code, date, {r('lag(quantity) OVER w', 'previous')}, lag(returned, 1, fal
   {r('CASE WHEN count(quantity) OVER p = 20 THEN avg(quantity) OVER p END', 'prior_mean')},
   count(*) FILTER (returned) OVER q = 21 AS all_returned
 FROM (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS date,
-        CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS quantity, bool_or(l_returnflag = 'R') AS returned
+        CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS quantity, bool_or(l_returnflag <> 'R') AS returned
       FROM lineitem GROUP BY ALL)
 WINDOW w AS (PARTITION BY code ORDER BY date),
   p AS (PARTITION BY code ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING),

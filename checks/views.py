@@ -49,8 +49,8 @@ FROM (SELECT *, {_SPACE} FROM stock_days) s
 """
 
 VIEWS["two_lists"] = """
-SELECT * REPLACE ("left" AND score >= 40 AS "left", "right" AND score >= 40 AS "right")
-FROM ordered_days WHERE score >= 40 AND ("left" OR "right")
+SELECT * REPLACE ("left" AND decision_shares >= 700 AS "left", "right" AND decision_shares >= 700 AS "right")
+FROM ordered_days WHERE decision_shares >= 700 AND ("left" OR "right")
 """
 
 VIEWS["daily"] = """
@@ -211,22 +211,25 @@ FROM (SELECT d.code, d.date, q, dv, tail_volume, lag(float_shares) OVER (PARTITI
 VIEWS["morning"] = """
 SELECT code, date, morning_high, morning_low, coalesce(ready, false) AS morning_complete FROM (
   SELECT code, date,
-    CAST(max(round(high * 100)) FILTER (slot <= 11 AND volume > 0) AS BIGINT) AS morning_high,
-    CAST(min(round(low * 100)) FILTER (slot <= 11 AND volume > 0) AS BIGINT) AS morning_low,
-    count(*) FILTER (slot = 11) = 1 AND count(*) FILTER (slot <= 11) = 6 AND count(*) FILTER (slot BETWEEN 6 AND 11) = 6
-      AND count(*) FILTER (slot <= 11 AND good) = 6 AND sum(volume) FILTER (slot <= 11) > 0
-      AND max(round(high * 100)) FILTER (slot <= 11 AND volume > 0) > 0
-      AND min(round(low * 100)) FILTER (slot <= 11 AND volume > 0) > 0 AS ready
+    CAST(max(round(high * 100)) FILTER (slot <= 5 AND volume > 0) AS BIGINT) AS morning_high,
+    CAST(min(round(low * 100)) FILTER (slot <= 5 AND volume > 0) AS BIGINT) AS morning_low,
+    count(*) FILTER (slot = 5) = 1 AND count(*) FILTER (slot <= 5) = 6 AND count(*) FILTER (slot BETWEEN 0 AND 5) = 6
+      AND count(*) FILTER (slot <= 5 AND good) = 6 AND sum(volume) FILTER (slot <= 5) > 0
+      AND max(round(high * 100)) FILTER (slot <= 5 AND volume > 0) > 0
+      AND min(round(low * 100)) FILTER (slot <= 5 AND volume > 0) > 0 AS ready
   FROM good_bars GROUP BY code, date)
 """
 
-VIEWS["good_bars"] = """
-SELECT *, coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0 AND volume >= 0
+_GOOD = """coalesce(open > 0 AND high > 0 AND low > 0 AND close > 0 AND volume >= 0
     AND high + 0.0001 >= greatest(open, close, low) AND low - 0.0001 <= least(open, close)
     AND abs(open * 100 - round(open * 100)) <= 0.01 AND abs(high * 100 - round(high * 100)) <= 0.01
-    AND abs(low * 100 - round(low * 100)) <= 0.01 AND abs(close * 100 - round(close * 100)) <= 0.01, false) AS good
-FROM bars
+    AND abs(low * 100 - round(low * 100)) <= 0.01 AND abs(close * 100 - round(close * 100)) <= 0.01, false)"""
+VIEWS["good_bars"] = f"SELECT *, {_GOOD} AS good FROM bars"
+VIEWS["flawed"] = """
+SELECT * REPLACE (CASE WHEN (slot + day(date)) % 11 = 0 THEN low / 2 ELSE high END AS high,
+  CASE WHEN (slot + day(date)) % 23 = 0 THEN close + 0.003::DOUBLE ELSE close END AS close) FROM bars
 """
+VIEWS["flawed_good"] = f"SELECT *, {_GOOD} AS good FROM flawed"
 
 VIEWS["morning_features"] = """
 SELECT d.code, d.date, morning_high, morning_low, morning_complete,
@@ -361,7 +364,7 @@ NEEDS = {
     "day_bars": ["bars"], "day_context": ["day_bars"], "day_features": ["day_context"], "tail_features": ["bars"],
     "scaled_tail": ["day_features", "tail_features"], "index_features": ["day_features", "index_bars"],
     "relative_features": ["index_features"], "turnover": ["day_bars", "shares", "tail_features"],
-    "good_bars": ["bars"], "morning": ["good_bars"], "morning_features": ["day_context", "morning"],
+    "good_bars": ["bars"], "flawed": ["bars"], "flawed_good": ["flawed"], "morning": ["good_bars"], "morning_features": ["day_context", "morning"],
     "clock_guard": ["bars"], "entries": ["bars"], "watched_labels": ["entries"], "states": ["daily"],
     "rebuilt": ["states"], "encoded": ["features"], "training_rows": ["encoded"],
 }
