@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.functions.scalars import explode_periods, flag, ratio
-from barlab.operators.evaluation import VIEWS, known_flag, period_summary
+from barlab.functions.scalars import flag, half_of
+from barlab.operators.evaluation import VIEWS, bit, known_flag, period_summary, signature
 from barlab.operators.grouping import small_by_day
 
 
@@ -34,53 +34,54 @@ def day_coverage(rows: DataFrame) -> DataFrame:
     return days.select("date", status.alias("coverage"))
 
 
-def coupled_outcomes(targets: Mapping[str, str] | None = None) -> list[tuple[int, bool, str, Column, Column]]:
-    """(bps, sensitive, target, known, outcome) for each view and target column stem."""
+def coupled_outcomes(targets: Mapping[str, str] | None = None) -> list[tuple[int, bool, str, str]]:
+    """(bps, sensitive, target, column stem) for each view; stems name 0/1 outcomes per cost."""
     targets = targets or {"opportunity": "opportunity"}
-    return [(b, s, name, known_flag(b, s), F.col(f"{stem}{b}"))
-            for b, s in VIEWS for name, stem in targets.items()]
+    return [(b, s, name, stem) for b, s in VIEWS for name, stem in targets.items()]
 
 
 def coupled_bounds(rows: DataFrame, outcomes=None) -> DataFrame:
     """Bounds of the difference in success share when both lists share unknown outcomes.
 
-    Each stock-day has one outcome, so it enters with the weight
+    Each stock-day has one 0/1 outcome, so it enters with the weight
     left/left_rows - right/right_rows. That weight takes three values per day (left
-    only, right only, both), so conditional counts per day are enough: no per-day
-    window and no row is kept after the first aggregation. Days without rows on
+    only, right only, both), so counts per day are enough: rows collapse to
+    (day, signature) cells and no per-day window is needed. Days without rows on
     both sides are dropped; ``day_coverage`` lists them.
     """
     outcomes = outcomes or coupled_outcomes()
-    left, right = flag(F.col("left")), flag(F.col("right"))
-    sides = {"l": left & ~right, "r": right & ~left, "b": left & right}
-    no_trade = flag(F.col("known_no_trade"))
-    aggs = []
-    for bps, sens, target, known, value in outcomes:
-        tag = f"{bps}_{int(sens)}_{target}"
-        open_ = ~known & ~no_trade
-        for side, inside in sides.items():
-            aggs.append(F.sum(F.when(inside & known, value.cast("double"))).alias(f"y_{side}_{tag}"))
-            aggs.append(F.count_if(inside & open_).alias(f"u_{side}_{tag}"))
-    days = rows.groupBy("date", "half").agg(
-        F.count_if(left).alias("left_rows"), F.count_if(right).alias("right_rows"), *aggs
+    facts = {"left": flag(F.col("left")), "right": flag(F.col("right")), "no_trade": flag(F.col("known_no_trade"))}
+    for bps, sens, target, stem in outcomes:
+        facts[f"known{bps}{int(sens)}"] = known_flag(bps, sens)
+        facts[f"{target}{bps}"] = F.col(f"{stem}{bps}") == 1
+    cells = rows.select("date", signature(list(facts.values())).alias("_sig")).groupBy("date", "_sig").agg(
+        F.count(F.lit(1)).alias("_n"))
+    at = {name: bit("_sig", i) for i, name in enumerate(facts)}
+    records = F.array(*[
+        F.struct(F.lit(bps).alias("bps"), F.lit(sens).alias("sensitive"), F.lit(target).alias("target"),
+                 (at[f"known{bps}{int(sens)}"] & at[f"{target}{bps}"]).alias("_y"),
+                 (~at[f"known{bps}{int(sens)}"] & ~at["no_trade"]).alias("_open"))
+        for bps, sens, target, _ in outcomes])
+    n = F.col("_n")
+    both = cells.select("date", "_n", at["left"].alias("_l"), at["right"].alias("_r"), F.inline(records))
+    sides = {"l": F.col("_l") & ~F.col("_r"), "r": F.col("_r") & ~F.col("_l"), "b": F.col("_l") & F.col("_r")}
+    count = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0).cast("long"))
+    days = both.groupBy("date", "bps", "sensitive", "target").agg(
+        count(F.col("_l")).alias("left_rows"), count(F.col("_r")).alias("right_rows"),
+        *[count(inside & F.col("_y")).alias(f"_y_{s}") for s, inside in sides.items()],
+        *[count(inside & F.col("_open")).alias(f"_u_{s}") for s, inside in sides.items()],
     ).where("left_rows > 0 and right_rows > 0")
 
     nl, nr = F.col("left_rows").cast("double"), F.col("right_rows").cast("double")
     weight = {"l": 1 / nl, "r": -1 / nr, "b": 1 / nl - 1 / nr}
     zero = F.lit(0.0)
-    records = []
-    for bps, sens, target, _, _ in outcomes:
-        tag = f"{bps}_{int(sens)}_{target}"
-        y = lambda s: F.coalesce(F.col(f"y_{s}_{tag}"), zero)
-        u = lambda s: F.col(f"u_{s}_{tag}")
-        seen = sum((weight[s] * y(s) for s in sides), zero)
-        low = sum((F.least(weight[s], zero) * u(s) for s in sides), zero)
-        high = sum((F.greatest(weight[s], zero) * u(s) for s in sides), zero)
-        records.append(F.struct(
-            F.lit(bps).alias("bps"), F.lit(sens).alias("sensitive"), F.lit(target).alias("target"),
-            (seen + low).alias("lower"), (seen + high).alias("upper"),
-            (high - low).alias("unknown_weight"), u("b").alias("shared_unknown")))
-    return days.select("date", "half", "left_rows", "right_rows", F.inline(F.array(*records)))
+    seen = sum((weight[s] * F.col(f"_y_{s}") for s in sides), zero)
+    low = sum((F.least(weight[s], zero) * F.col(f"_u_{s}") for s in sides), zero)
+    high = sum((F.greatest(weight[s], zero) * F.col(f"_u_{s}") for s in sides), zero)
+    return days.select(
+        "date", half_of(F.col("date")).alias("half"), "bps", "sensitive", "target", "left_rows", "right_rows",
+        (seen + low).alias("lower"), (seen + high).alias("upper"),
+        (high - low).alias("unknown_weight"), F.col("_u_b").alias("shared_unknown"))
 
 
 def coupled_periods(daily: DataFrame, kinds=("half", "year")) -> DataFrame:

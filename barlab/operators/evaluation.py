@@ -7,11 +7,12 @@ Rows are reduced once, to one row per day with a counter per statistic and view
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.functions.scalars import explode_periods, finite, flag, ratio
+from barlab.functions.scalars import explode_periods, finite, finite_or_null, flag, half_of, ratio
 
 VIEWS = ((5, False), (5, True), (15, False), (15, True))
 
@@ -22,80 +23,127 @@ def known_flag(bps: int, sensitive: bool) -> Column:
     return flag(F.col(f"sensitive_known{bps}" if sensitive else f"known{bps}"))
 
 
-def opportunity_measures(bps: int, sensitive: bool) -> dict[str, Column]:
-    """Additive parts of the daily opportunity table for one view."""
-    known = known_flag(bps, sensitive)
-    no_trade = flag(F.col("known_no_trade"))
-    mark = F.when(known, F.col(f"mark_0959_return{bps}"))
-    adverse = F.when(known, F.col(f"adverse_return{bps}"))
-    return {
-        "known": F.count_if(known),
-        "success": F.count_if(known & (F.col(f"opportunity{bps}") == 1)),
-        "unknown": F.count_if(~known & ~no_trade),
-        "no_trade": F.count_if(no_trade),
-        "one_percent": F.count_if(known & (F.col(f"one_percent{bps}") == 1)),
-        "any_success": F.count_if(known & (F.col(f"any_opportunity{bps}") == 1)),
-        "mark_sum": F.sum(mark), "mark_n": F.count(mark), "negative_n": F.count_if(mark < 0),
-        "adverse_sum": F.sum(adverse), "adverse_n": F.count(adverse),
-        "bad_n": F.count_if(adverse <= ADVERSE_LIMIT),
-    }
+@dataclass(frozen=True)
+class Study:
+    """What a daily table counts.
+
+    ``facts`` and ``sums`` give, per cost level, row-level booleans and values that do
+    not depend on whether the outcome is known; ``counts`` turns the facts of one view
+    into the conditions to count. Sums run over known rows only.
+    """
+
+    facts: Callable[[int], Mapping[str, Column]]
+    sums: Callable[[int], Mapping[str, Column]]
+    counts: Callable[[Column, Column, Callable[[str], Column]], Mapping[str, Column]]
 
 
-def ordered_measures(bps: int, sensitive: bool) -> dict[str, Column]:
-    """Additive parts of the daily table that looks at the order of events."""
-    known = known_flag(bps, sensitive)
-    no_trade = flag(F.col("known_no_trade"))
-    hit = lambda name: known & (F.col(f"{name}{bps}") == 1)
-    risk = hit("risk_observed")
-    positive, bad = F.col(f"first_positive_end{bps}"), F.col(f"first_bad3{bps}")
-    # On a tie the adverse quote counts as first.
-    bad_first = risk & (bad >= 0) & ((positive < 0) | (bad <= positive))
-    mark = F.when(known, F.col(f"mark_0959_return{bps}"))
+def _opportunity_counts(known, no_trade, fact):
     return {
-        "known": F.count_if(known),
-        "unknown": F.count_if(~known & ~no_trade),
-        "no_trade": F.count_if(no_trade),
-        "positive": F.count_if(hit("opportunity")),
-        "space": F.count_if(hit("one_percent")),
-        "positive_before": F.count_if(hit("positive_before_bad3")),
-        "space_before": F.count_if(hit("space_before_bad3")),
-        "risk_known": F.count_if(risk),
-        "bad_first": F.count_if(bad_first),
-        "bad3": F.count_if(risk & (bad >= 0)),
-        "mark_sum": F.sum(mark), "mark_n": F.count(mark),
+        "known": known, "success": known & fact("opportunity"), "unknown": ~known & ~no_trade,
+        "no_trade": no_trade, "one_percent": known & fact("one_percent"), "any_success": known & fact("any"),
+        "mark_n": known & fact("mark"), "negative_n": known & fact("negative"),
+        "adverse_n": known & fact("adverse"), "bad_n": known & fact("bad"),
     }
 
 
-def coverage_measures(bps: int, sensitive: bool) -> dict[str, Column]:
-    """Additive parts of the reference-coverage audit."""
-    known = known_flag(bps, sensitive)
-    mark = F.col(f"mark_0959_return{bps}")
-    usable = known & finite(mark)
+OPPORTUNITY = Study(
+    facts=lambda b: {
+        "opportunity": F.col(f"opportunity{b}") == 1, "one_percent": F.col(f"one_percent{b}") == 1,
+        "any": F.col(f"any_opportunity{b}") == 1,
+        "mark": F.col(f"mark_0959_return{b}").isNotNull(), "negative": F.col(f"mark_0959_return{b}") < 0,
+        "adverse": F.col(f"adverse_return{b}").isNotNull(), "bad": F.col(f"adverse_return{b}") <= ADVERSE_LIMIT},
+    sums=lambda b: {"mark_sum": F.col(f"mark_0959_return{b}"), "adverse_sum": F.col(f"adverse_return{b}")},
+    counts=_opportunity_counts)
+
+
+def _ordered_facts(b):
+    positive, bad = F.col(f"first_positive_end{b}"), F.col(f"first_bad3{b}")
+    return {
+        "positive": F.col(f"opportunity{b}") == 1, "space": F.col(f"one_percent{b}") == 1,
+        "positive_before": F.col(f"positive_before_bad3{b}") == 1,
+        "space_before": F.col(f"space_before_bad3{b}") == 1,
+        "observed": F.col(f"risk_observed{b}") == 1,
+        # On a tie the adverse quote counts as first.
+        "bad_first": (bad >= 0) & ((positive < 0) | (bad <= positive)),
+        "bad": bad >= 0, "mark": F.col(f"mark_0959_return{b}").isNotNull()}
+
+
+def _ordered_counts(known, no_trade, fact):
+    risk = known & fact("observed")
+    named = {n: known & fact(n) for n in ("positive", "space", "positive_before", "space_before")}
     return {
-        "known": F.count_if(known),
-        "reference_available": F.count_if(usable),
-        "reference_missing": F.count_if(known & ~finite(mark)),
-        "positive_reference": F.count_if(usable & (mark > 0)),
-        "mark_sum": F.sum(F.when(usable, mark)),
+        "known": known, "unknown": ~known & ~no_trade, "no_trade": no_trade, **named, "risk_known": risk,
+        "bad_first": risk & fact("bad_first"), "bad3": risk & fact("bad"), "mark_n": known & fact("mark"),
     }
 
 
+ORDERED = Study(
+    facts=_ordered_facts, sums=lambda b: {"mark_sum": F.col(f"mark_0959_return{b}")}, counts=_ordered_counts)
+
+COVERAGE = Study(
+    facts=lambda b: {"usable": finite(F.col(f"mark_0959_return{b}")),
+                     "positive": finite(F.col(f"mark_0959_return{b}")) & (F.col(f"mark_0959_return{b}") > 0)},
+    sums=lambda b: {"mark_sum": finite_or_null(F.col(f"mark_0959_return{b}"))},
+    counts=lambda known, no_trade, fact: {
+        "known": known, "reference_available": known & fact("usable"),
+        "reference_missing": known & ~fact("usable"), "positive_reference": known & fact("positive")})
+
+
+def signature(conditions: Sequence[Column]) -> Column:
+    """One BIGINT with a bit per condition that is true."""
+    if len(conditions) > 62:
+        raise ValueError("at most 62 conditions fit one signature")
+    total = F.lit(0).cast("long")
+    for i, condition in enumerate(conditions):
+        total = total + F.when(condition, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    return total
+
+
+def bit(signature_column: str, i: int) -> Column:
+    return F.getbit(signature_column, F.lit(i)) == 1
+
+
 def tally(
     rows: DataFrame,
     keys: Sequence[str],
-    measures: Callable[[int, bool], Mapping[str, Column]],
+    study: Study,
     views: Sequence[tuple[int, bool]] = VIEWS,
 ) -> DataFrame:
-    """All views in one aggregation over the rows, then one output row per key and view."""
-    parts = [(bps, sens, measures(bps, sens)) for bps, sens in views]
-    wide = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[c.alias(f"{name}_{bps}_{int(sens)}") for bps, sens, m in parts for name, c in m.items()])
+    """Counts and sums per key and view.
+
+    The facts of a row are packed into one signature and rows collapse to
+    (key, signature) cells, so the pass over the rows keeps one count and a few sums
+    whatever the number of statistics and views; both are unfolded from the cells.
+    The generated loop over the rows stays small enough for the JIT.
+    """
+    costs = sorted({b for b, _ in views})
+    flags = {"no_trade": flag(F.col("known_no_trade")),
+             **{f"known{b}{int(s)}": known_flag(b, s) for b, s in views},
+             **{f"{n}{b}": c for b in costs for n, c in study.facts(b).items()}}
+    sums = {f"{n}{b}": c for b in costs for n, c in study.sums(b).items()}
+    cells = rows.select(*keys, signature(list(flags.values())).alias("_sig"),
+                        *[c.alias(n) for n, c in sums.items()]).groupBy(*keys, "_sig").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(n).alias(n) for n in sums])
+    at = {n: i for i, n in enumerate(flags)}
+    facts, summed = list(study.facts(costs[0])), list(study.sums(costs[0]))
     records = F.array(*[
-        F.struct(F.lit(bps).alias("bps"), F.lit(sens).alias("sensitive"),
-                 *[F.col(f"{name}_{bps}_{int(sens)}").alias(name) for name in m])
-        for bps, sens, m in parts])
-    return wide.select(*keys, "rows", F.inline(records))
+        F.struct(F.lit(b).alias("bps"), F.lit(s).alias("sensitive"),
+                 bit("_sig", at[f"known{b}{int(s)}"]).alias("_known"),
+                 *[bit("_sig", at[f"{n}{b}"]).alias(f"_{n}") for n in facts],
+                 *[F.col(f"{n}{b}").alias(f"_{n}") for n in summed])
+        for b, s in views])
+    unfolded = cells.select(*keys, "_n", bit("_sig", at["no_trade"]).alias("_no_trade"), F.inline(records))
+    known, n = F.col("_known"), F.col("_n")
+    counts = study.counts(known, F.col("_no_trade"), lambda name: F.col(f"_{name}"))
+    return unfolded.groupBy(*keys, "bps", "sensitive").agg(
+        F.sum(n).alias("rows"),
+        *[F.sum(F.when(c, n).otherwise(0)).alias(name) for name, c in counts.items()],
+        *[F.sum(F.when(known, F.col(f"_{name}"))).alias(name) for name in summed])
+
+
+def with_half(daily: DataFrame) -> DataFrame:
+    """The half-year is a function of the date, so it is added after the reduction."""
+    return daily.withColumn("half", half_of(F.col("date")))
 
 
 def arms(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -165,24 +213,23 @@ ORDERED_METRICS = ("positive_rate", "space_rate", "positive_before_rate", "space
 
 
 def daily_opportunity(rows: DataFrame) -> DataFrame:
-    return finish_opportunity(tally(rows, ("date", "half"), opportunity_measures))
+    return with_half(finish_opportunity(tally(rows, ("date",), OPPORTUNITY)))
 
 
 def daily_ordered(rows: DataFrame) -> DataFrame:
-    return finish_ordered(tally(rows, ("date", "half"), ordered_measures))
+    return with_half(finish_ordered(tally(rows, ("date",), ORDERED)))
 
 
 def daily_coverage(rows: DataFrame) -> DataFrame:
-    return finish_coverage(tally(rows, ("date", "half"), coverage_measures))
+    return with_half(finish_coverage(tally(rows, ("date",), COVERAGE)))
 
 
 def daily_arms(rows: DataFrame, ordered: bool = False) -> DataFrame:
     """Selection and same-date candidate arms of the daily table; rows carry ``selected``."""
-    measures, finish = ((ordered_measures, finish_ordered) if ordered
-                        else (opportunity_measures, finish_opportunity))
+    study, finish = (ORDERED, finish_ordered) if ordered else (OPPORTUNITY, finish_opportunity)
     cells = tally(rows.withColumn("selected", flag(F.col("selected"))),
-                  ("date", "half", "selected"), measures)
-    return finish(arms(cells, ("date", "half", "bps", "sensitive")))
+                  ("date", "selected"), study)
+    return with_half(finish(arms(cells, ("date", "bps", "sensitive"))))
 
 
 def period_summary(

@@ -185,7 +185,7 @@ def acceptance(spark, sf):
     tagged = [r.withColumn("group", F.lit(g)) for g, r in lists.items()]
     both = tagged[0].unionByName(tagged[1])
     daily = evaluation.finish_ordered(
-        evaluation.tally(both, ("group", "date", "half"), evaluation.ordered_measures, ((15, False),)))
+        evaluation.tally(both, ("group", "date"), evaluation.ORDERED, ((15, False),)))
     summaries = evaluation.ordered_periods(daily, keys=("group",))
     coupled = compare.coupled_bounds(
         two_lists(spark, sf), [o for o in compare.coupled_outcomes(ORDER_TARGETS)
