@@ -206,7 +206,6 @@ def day_bars(bars: DataFrame, clocks: Clocks) -> DataFrame:
     slot = F.col("slot")
     at = lambda s: F.max(F.when(slot == s, F.col("close")))
     so_far = slot <= clocks.decision
-    money = F.col("amount").cast("decimal(24,4)")
     day = bars.groupBy("code", "date").agg(
         F.min_by("open", "slot").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
         F.max_by("close", "slot").alias("close"), F.sum("volume").alias("volume"),
@@ -215,7 +214,7 @@ def day_bars(bars: DataFrame, clocks: Clocks) -> DataFrame:
         at(clocks.back_short).alias("p_short"), at(clocks.back_long).alias("p_long"),
         F.max(F.when(so_far, F.col("high"))).alias("dh"), F.min(F.when(so_far, F.col("low"))).alias("dl"),
         F.sum(F.when(so_far, F.col("volume"))).alias("dv"),
-        F.sum(F.when(so_far, money)).cast("double").alias("da"))
+        F.sum(F.when(so_far, F.col("amount"))).alias("da"))
     decided = F.col("q").isNotNull()
     return day.withColumns({c: F.when(decided, F.col(c)) for c in ("dh", "dl", "dv", "da")})
 

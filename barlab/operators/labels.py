@@ -35,7 +35,7 @@ def entry_prices(bars: DataFrame, clocks: Clocks, bps: float, volume_unit: int =
     """
     decided = F.max(F.when(F.col("slot") == clocks.decision, F.col("close")))
     inside = F.col("slot").isin(*clocks.entry_slots)
-    money = F.sum(F.when(inside, F.col("amount").cast("decimal(24,4)"))).cast("double")
+    money = F.sum(F.when(inside, F.col("amount")))
     volume = F.sum(F.when(inside, F.col("volume")))
     day = bars.groupBy("code", "date").agg(
         decided.alias("decision_price"), money.alias("_money"), volume.alias("entry_volume"),

@@ -84,6 +84,7 @@ def walk(tree: Tree, names: Sequence[str], leaf, node: int = 0) -> Column:
 
 
 def score_column(ensemble: Ensemble) -> Column:
+    """Score as one expression, for short ensembles."""
     total = F.lit(float(ensemble.bias))
     for tree in ensemble.trees:
         total = total + walk(tree, ensemble.feature_names,
@@ -92,8 +93,18 @@ def score_column(ensemble: Ensemble) -> Column:
 
 
 def score(encoded: DataFrame, ensemble: Ensemble, valid: str = "formula_input_valid") -> DataFrame:
-    """Every row kept; the score is NULL where the input is invalid."""
-    return encoded.withColumn("score", F.when(F.col(valid), score_column(ensemble)))
+    """Every row kept; the score is NULL where the input is invalid.
+
+    Each tree is a field of its own and the fields are added in order afterwards, so
+    generated code splits into one method per tree.
+    """
+    steps = [walk(tree, ensemble.feature_names, lambda i, t=tree: float(ensemble.learning_rate * t.value[i]))
+             .alias(f"t{k}") for k, tree in enumerate(ensemble.trees)]
+    total = F.lit(float(ensemble.bias))
+    for k in range(len(steps)):
+        total = total + F.col(f"_trees.t{k}")
+    return (encoded.withColumn("_trees", F.struct(*steps))
+            .withColumn("score", F.when(F.col(valid), total)).drop("_trees"))
 
 
 def score_replay(a: DataFrame, b: DataFrame, cut: float, tolerance: float = 2e-11) -> DataFrame:

@@ -63,7 +63,7 @@ def multi_period_scan(spark, sf):
     rows = reduce(lambda x, y: x.unionByName(y), [
         src.scan(spark, p["file"], columns, p["first"], p["end"], date="l_shipdate") for p in parts])
     return rows.groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("quantity"))
+        F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("decimal(8,2)")).cast("double").alias("quantity"))
 
 
 def _extracts(spark, sf):
@@ -209,7 +209,7 @@ def lagged_rows(spark, sf):
     """
     d = table(spark, sf, "lineitem").groupBy(
         F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("date")).agg(
-        F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double").alias("quantity"),
+        F.sum(F.col("l_quantity").cast("decimal(8,2)")).cast("double").alias("quantity"),
         F.bool_or(F.col("l_returnflag") != "R").alias("returned"))
     w = Window.partitionBy("code").orderBy("date")
     prior = w.rowsBetween(-20, -1)

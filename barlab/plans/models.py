@@ -25,7 +25,7 @@ def sample_ensemble(trees: int = 8) -> model.Ensemble:
 
 
 ENSEMBLE = sample_ensemble()
-CUT = 0.15
+CUT = 0.1513
 TRAIN_START, TRAIN_END = "1996-01-01", "2000-01-01"
 
 
