@@ -141,7 +141,7 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     by: str,
-    direct_rows: int = 5_000_000,
+    direct_rows: int = 1_000_000,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group: ``(by, probability, threshold)``.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from barlab.functions.scalars import ratio
+from barlab.session import cut_lineage
 
 # Fixed values of the encoding and of the fit.
 SCALE, SHIFT, NUDGE, CEILING = 100, 10_000, 1e-6, 999_999
@@ -183,19 +183,6 @@ def weighted_moments(rows: DataFrame, value: str, weight: str, by: Sequence[str]
                       (ratio(F.col("_q"), F.col("weight")) - mean * mean).alias("weighted_variance"))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the session names in ``spark.checkpoint.dir``."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def _read_tree(model) -> Tree:
     """Node lists of a fitted MLlib tree, parents before children."""
     feature, threshold, left, right, value = [], [], [], [], []

@@ -72,17 +72,16 @@ def duplicate_lists(lists: DataFrame, columns: Sequence[str]) -> DataFrame:
     firsts = prints.groupBy(*same).agg(F.min("list_id").alias("first_id"))
     nominated = prints.join(firsts, same).select("list_id", "size", "first_id")
     copies = nominated.where("list_id <> first_id")
-    names = [f"_{c}" for c in columns]
-    content = lists.groupBy("list_id", *columns).agg(F.count(F.lit(1)).alias("_n"))
-    theirs = content.select("list_id", *[F.col(c).alias(n) for c, n in zip(columns, names)], "_n")
-    claimed = copies.join(theirs, "list_id")
-    original = content.select(F.col("list_id").alias("first_id"),
-                              *[F.col(c).alias(n) for c, n in zip(columns, names)], F.col("_n").alias("_m"))
-    on = claimed["first_id"] == original["first_id"]
+    names = [f"_content_{c}" for c in columns]
+    content = lists.groupBy("list_id", *[F.col(c).alias(n) for c, n in zip(columns, names)]).agg(
+        F.count(F.lit(1)).alias("_copies"))
+    claimed = copies.join(content, "list_id")
+    original = content.withColumnsRenamed({"list_id": "first_id", "_copies": "_first_copies"})
+    on = (claimed["first_id"] == original["first_id"]) & (claimed["_copies"] == original["_first_copies"])
     for n in names:
         on = on & claimed[n].eqNullSafe(original[n])
-    matched = claimed.join(original, on & (claimed["_n"] == original["_m"]), "left_semi")
-    confirmed = matched.groupBy("list_id").agg(F.sum("_n").alias("_matched"))
+    matched = claimed.join(original, on, "left_semi")
+    confirmed = matched.groupBy("list_id").agg(F.sum("_copies").alias("_matched"))
     out = nominated.join(confirmed, "list_id", "left")
     alias = F.when((F.col("list_id") != F.col("first_id")) & flag(F.col("_matched") == F.col("size")),
                    F.col("first_id"))

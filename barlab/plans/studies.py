@@ -95,6 +95,14 @@ def union_of_lists(spark, sf):
         "date", "code", "half", F.col("left").alias("in_left"), F.col("right").alias("in_right"))
 
 
+def missing_labels(spark, sf):
+    """List rows without a mature label, per list."""
+    rows = stock_days(spark, sf)
+    known = rows.where("known15")
+    return (compare.missing_labels(known, rows.where(LEFT_LIST)).withColumn("side", F.lit("left"))
+            .unionByName(compare.missing_labels(known, rows.where(RIGHT_LIST)).withColumn("side", F.lit("right"))))
+
+
 def coupled_bounds(spark, sf):
     return tidied(compare.coupled_bounds(two_lists(spark, sf)))
 
@@ -335,7 +343,7 @@ def affine_check(spark, sf):
 QUERIES = {f.__name__: f for f in (
     daily_opportunity, period_opportunity, ordered_summary, ordered_periods, arm_summary,
     arm_ordered_summary, base_arm_delta, base_arm_delta_periods, paired_delta, paired_delta_periods,
-    day_coverage, common_days, unmatched_days, union_of_lists, coupled_bounds, coupled_periods,
+    day_coverage, common_days, unmatched_days, union_of_lists, missing_labels, coupled_bounds, coupled_periods,
     weekly_block_interval, coupled_intervals, weekly_sums, daily_auc, ordinal_auc, average_ranks,
     coverage_audit, coverage_periods, coverage_missing, acceptance, selection_list,
     selection_with_minimum, fixed_cut_selection, list_concentration, half_counts, duplicate_lists,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.scalars import half_of
 from barlab.operators.bars import Clocks
-from barlab.operators.compare import union_lists
+from barlab.operators.compare import with_list_flags
 from barlab.operators.labels import strictly_before
 from barlab.session import tune
 
@@ -80,8 +80,7 @@ RIGHT_LIST = "`right` and decision_shares >= 700"
 def two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of two selection lists with their ordered labels."""
     rows = ordered_days(spark, sf_dir)
-    lists = union_lists(rows.where(LEFT_LIST), rows.where(RIGHT_LIST), ("date", "code"))
-    return lists.join(rows.drop("left", "right"), ["date", "code"])
+    return with_list_flags(rows.drop("left", "right"), rows.where(LEFT_LIST), rows.where(RIGHT_LIST))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.scalars import finite_or_null
 from barlab.operators.contracts import ContractError, equality_check, require
+from barlab.session import cut_lineage
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
@@ -63,13 +64,14 @@ def stitch(older: DataFrame, newer: DataFrame, start: str, end: str, date: str =
 def case_distinct(spark: SparkSession, path: str, names: Mapping[str, str]) -> DataFrame:
     """Read columns that differ only by case, renamed apart.
 
-    The scan is bound to a session of its own with case-sensitive names; the caller's
-    settings stay as they are.
+    Names are resolved in a session of its own with case-sensitive names; the renamed
+    columns are checkpointed, because any later plan would resolve the scan again under
+    the caller's settings, which stay as they are.
     """
     strict = spark.newSession()
     strict.conf.set("spark.sql.caseSensitive", "true")
     df = strict.read.parquet(path)
-    return df.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()])
+    return cut_lineage(df.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()]))
 
 
 IDENTITY = r"/(SH|SZ)/(\d{6})\.parquet$"

@@ -167,6 +167,11 @@ SELECT date, code, half, "left" AS in_left, "right" AS in_right FROM stock_days
 WHERE decision_shares >= 700 AND ("left" OR "right")""")
 
 
+ORACLE_SQL["missing_labels"] = with_views(["stock_days"], f"""
+SELECT date, code, 'left' AS side FROM {LEFT} WHERE NOT known15
+UNION ALL SELECT date, code, 'right' FROM {RIGHT} WHERE NOT known15""")
+
+
 def coupled(outcomes) -> str:
     """Bounds by per-row weights over a window, for each (bps, sensitive, target, column stem)."""
     part = []
