@@ -20,20 +20,6 @@ def union_lists(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("date"
     return joined.select(*keys, flag(F.col("left")).alias("left"), flag(F.col("right")).alias("right"))
 
 
-def with_list_flags(labels: DataFrame, left: DataFrame, right: DataFrame,
-                    keys: Sequence[str] = ("date", "code")) -> DataFrame:
-    """Labelled rows that are in either list, with a flag per side.
-
-    Both lists join on the same keys, so the labels are shuffled once. List rows
-    without a label are what ``missing_labels`` finds.
-    """
-    a = left.select(*keys, F.lit(True).alias("left"))
-    b = right.select(*keys, F.lit(True).alias("right"))
-    joined = labels.join(a, list(keys), "left").join(b, list(keys), "left")
-    return joined.where("`left` or `right`").withColumns({
-        "left": flag(F.col("left")), "right": flag(F.col("right"))})
-
-
 def missing_labels(labels: DataFrame, *lists: DataFrame, keys: Sequence[str] = ("date", "code")) -> DataFrame:
     """List keys that have no label; a complete comparison has none."""
     keys = list(keys)
