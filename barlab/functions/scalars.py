@@ -37,8 +37,13 @@ def flag(c: Column) -> Column:
 
 
 def tidy(c: Column, places: int = 9) -> Column:
-    """Rounded output value without a negative zero."""
-    return F.round(c, places) + F.lit(0.0)
+    """Rounded output value without a negative zero.
+
+    Means of short decimals often end exactly halfway between two roundings, where the
+    last bit of a sum decides. The nudge, far below the last place, moves such values
+    off the tie so that every summation order rounds alike.
+    """
+    return F.round(c + F.lit(float(f"4e-{places + 4}")), places) + F.lit(0.0)
 
 
 def half_of(date: Column) -> Column:

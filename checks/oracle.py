@@ -18,7 +18,7 @@ def known(b: int, s: bool) -> str:
 
 
 def r(expr: str, name: str, places: int = 9) -> str:
-    return f"round({expr}, {places}) + 0.0 AS {name}"
+    return f"round({expr} + 4e-{places + 4}, {places}) + 0.0 AS {name}"
 
 
 def rs(names, places: int = 9) -> str:
@@ -224,7 +224,7 @@ def intervals(daily: str, keys: str, metrics: list[str]) -> str:
       SELECT {gk}, draw, {', '.join(f'sum(b.s_{m}) / sum(b.days) AS m_{m}' for m in metrics)}
       FROM groups g JOIN picks p USING (weeks) JOIN blocks b ON {on} AND b.block = p.pick GROUP BY {gk}, draw)
     SELECT {gk}, g.weeks, {', '.join(
-        f"round(CASE WHEN any_value(gap_{m}) = 0 THEN quantile_cont(m_{m}, {q}) END, 9) + 0.0 AS {m}_ci_{e}"
+        f"round(CASE WHEN any_value(gap_{m}) = 0 THEN quantile_cont(m_{m}, {q}) END + 4e-13, 9) + 0.0 AS {m}_ci_{e}"
         for m in metrics for e, q in (("low", 0.025), ("high", 0.975)))}
     FROM groups g LEFT JOIN means b ON {on} GROUP BY {gk}, g.weeks)"""
 
@@ -527,7 +527,7 @@ FROM (SELECT CASE WHEN formula_input_valid THEN {SCORE} END AS score FROM encode
 _QS = (0.97, 0.98, 0.99, 0.995, 0.998, 0.999, 0.9995)
 ORACLE_SQL["quantile_cuts"] = with_views(["training_rows"], f"""
 SELECT half, unnest([{', '.join(f'{q}::DOUBLE' for q in _QS)}]) AS probability,
-  unnest([{', '.join(f'round(quantile_cont(score, {q}), 9) + 0.0' for q in _QS)}]) AS threshold
+  unnest([{', '.join(f'round(quantile_cont(score, {q}) + 4e-13, 9) + 0.0' for q in _QS)}]) AS threshold
 FROM (SELECT half, {SCORE} AS score FROM training_rows) GROUP BY half""")
 ORACLE_SQL["weighted_moments"] = with_views(["training_rows"], f"""
 SELECT half, n, {rs(['weight'])}, {r('m', 'weighted_mean')}, {r('q - m * m', 'weighted_variance')} FROM (
