@@ -233,21 +233,20 @@ def affine_relation(a: DataFrame, b: DataFrame, tolerance: float = 2e-12) -> Dat
     joined = a.select(*keys, F.col("target").alias("a")).join(
         b.select(*keys, F.col("target").alias("b")), keys, "full_outer")
     order = F.struct("a", *keys)
-    stats = joined.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("unmatched"),
-        F.max(F.abs(F.col("a") - F.col("b"))).alias("max_difference"),
-        F.min("a").alias("a_lo"), F.max("a").alias("a_hi"),
-        F.min_by("b", order).alias("b_lo"), F.max_by("b", order).alias("b_hi"))
-    stats = stats.withColumn("slope", ratio(F.col("b_hi") - F.col("b_lo"), F.col("a_hi") - F.col("a_lo")))
-    # The statistics are a single row, so attaching them by broadcast is bounded.
-    fitted = F.col("slope") * F.col("a") + (F.col("b_lo") - F.col("slope") * F.col("a_lo"))
-    gap = joined.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").agg(
-        F.max(F.abs(F.col("b") - fitted)).alias("max_affine_gap"), F.first("n").alias("n"),
-        F.first("unmatched").alias("unmatched"), F.first("max_difference").alias("max_difference"),
-        F.first("slope").alias("slope"))
+    ends = joined.agg(F.min("a").alias("a_lo"), F.max("a").alias("a_hi"),
+                      F.min_by("b", order).alias("b_lo"), F.max_by("b", order).alias("b_hi")).first()
+    # Two points fix the map, so only these four numbers reach the driver.
+    slope = None
+    if None not in tuple(ends) and ends["a_hi"] != ends["a_lo"]:
+        slope = (ends["b_hi"] - ends["b_lo"]) / (ends["a_hi"] - ends["a_lo"])
+    a, b, rate = F.col("a"), F.col("b"), F.lit(slope).cast("double")
+    fitted = rate * a + (F.lit(ends["b_lo"]).cast("double") - rate * F.lit(ends["a_lo"]).cast("double"))
+    out = joined.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(a.isNull() | b.isNull()).alias("unmatched"),
+        F.max(F.abs(a - b)).alias("max_difference"), F.max(F.abs(b - fitted)).alias("max_affine_gap"))
     same = F.col("unmatched") == 0
-    return gap.select(
+    return out.select(
         "n", "unmatched", same.alias("same_keys"),
         (same & flag(F.col("max_difference") <= tolerance)).alias("equal"),
-        (same & flag(F.col("slope") != 0) & flag(F.col("max_affine_gap") <= tolerance)).alias("affine"),
-        "slope")
+        (same & flag(rate != 0) & flag(F.col("max_affine_gap") <= tolerance)).alias("affine"),
+        rate.alias("slope"))
