@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from barlab.operators import labels, model
 from barlab.operators.grouping import exact_quantiles
 from barlab.plans.output import tidied

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.functions.scalars import half_of, in_period, year_of
+from barlab.functions.scalars import in_period, year_of
 from barlab.operators import compare, evaluation, labels, ranking, selection
 from barlab.operators.bootstrap import block_intervals
 from barlab.operators.grouping import exact_quantiles

@@ -5,7 +5,6 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from barlab.operators import model, selection
 from barlab.plans.models import sample_ensemble
