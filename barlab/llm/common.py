@@ -43,3 +43,11 @@ def unit_hash(*parts: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of an MD5 of the parts; null reads as 'null'."""
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
+    """vec_id, v (array of double): the rows with an id and a vector of finite numbers."""
+    v = quoted(vector)
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return df.filter(quoted(vec_id).isNotNull() & v.isNotNull() & ~odd).select(
+        quoted(vec_id).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))

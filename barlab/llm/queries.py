@@ -1,11 +1,13 @@
 """The registered queries of this package and, where SQL can express them, their DuckDB forms."""
 
-from barlab.llm import mixing
+from barlab.llm import mixing, topk
 
 QUERIES = {
+    "op4_exact_topk": topk.op4_exact_topk,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op4_exact_topk": topk.SQL,
     "op9_mix_sources": mixing.sql(),
 }
