@@ -37,14 +37,17 @@ from pyspark.sql import functions as F
 
 from barlab.llm.common import documents, quoted, text_of
 
-LEXICON_WORDS = 32768       # words in the automaton
+LEXICON_WORDS = 131072       # words in the automaton
 WORD_BYTES = 48             # longer words are always merged
-CHUNKS_KEPT = 200_000       # chunks that a worker remembers
+CHUNKS_KEPT = 150_000       # recent chunks, and recent merges, that a worker remembers
 CHUNK_CHARS = 48
 ROWS_OUT = 128
+LONG_WORD = 300
+NO_MERGE = 1 << 62
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACE = re.compile("[" + "".join(map(chr, WHITE)) + "]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")      # str.split takes these as white space, the tokenizer does not
 
 
@@ -80,13 +83,35 @@ class Model:
         if not word:
             return []
         ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
+        if len(ids) > LONG_WORD:
+            return self.merge_long(ids)
+        get, none = self.merges.get, NO_MERGE
+        found = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best == none:
+                break
+            i = found.index(best)
+            ids[i:i + 2] = [best & 0xFFFFF]
+            del found[i]
+            if i:
+                found[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            if i < len(found):
+                found[i] = get(ids[i] << 20 | ids[i + 1], none)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same in time n log n: a heap of pairs, in which those that have changed since are passed over."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         merges, heap = self.merges, []
+
+        def offer(i: int, j: int) -> None:
+            if (m := merges.get(ids[i] << 20 | ids[j])) is not None:
+                heapq.heappush(heap, (m >> 20, i, m & 0xFFFFF, ids[i], ids[j]))
+
         for i in range(n - 1):
-            if (m := merges.get(ids[i] << 20 | ids[i + 1])) is not None:
-                heap.append((m >> 20, i, m & 0xFFFFF, ids[i], ids[i + 1]))
-        heapq.heapify(heap)
+            offer(i, i + 1)
         while heap:
             _, i, new, a, b = heapq.heappop(heap)
             j = after[i]
@@ -96,11 +121,9 @@ class Model:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (m := merges.get(new << 20 | ids[k])) is not None:
-                    heapq.heappush(heap, (m >> 20, i, m & 0xFFFFF, new, ids[k]))
-            h = before[i]
-            if h >= 0 and (m := merges.get(ids[h] << 20 | new)) is not None:
-                heapq.heappush(heap, (m >> 20, h, m & 0xFFFFF, ids[h], new))
+                offer(i, k)
+            if before[i] >= 0:
+                offer(before[i], i)
         return [i for i in ids if i >= 0]
 
 
@@ -203,26 +226,41 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
-class Codec(dict):
-    """Encodes and decodes; as a dict, from a chunk to its ids' bytes and their text."""
+class Recent(dict):
+    """Remembers what ``make`` gave for the latest keys: between CHUNKS_KEPT and twice as many."""
 
-    def __init__(self, model: Model, lexicon: Lexicon):
+    def __init__(self, make, longest: int):
         super().__init__()
+        self.make, self.longest, self.older = make, longest, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= CHUNKS_KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Codec:
+    """Encodes and decodes texts."""
+
+    def __init__(self, model: Model, lexicon: Lexicon):
         self.model, self.lexicon = model, lexicon
         self.special = re.compile("(" + "|".join(map(re.escape, model.special)) + ")") if model.special else None
+        self.merged, self.chunks = Recent(model.merge, WORD_BYTES), Recent(self.chunk, CHUNK_CHARS)
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
+    def chunk(self, chunk: str) -> tuple[bytes, str]:
+        """The bytes of a chunk's ids and what these decode to."""
         ids = array("I")
         for piece in pieces(chunk):
             word = piece.encode("utf-8", "surrogatepass")
             known = self.lexicon.get(word) if len(word) <= WORD_BYTES else None
-            ids.extend(self.model.merge(word) if known is None else known)
-        value = ids.tobytes(), self.decode(ids)
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= CHUNKS_KEPT:
-                self.clear()
-            self[chunk] = value
-        return value
+            ids.extend(self.merged[word] if known is None else known)
+        return ids.tobytes(), self.decode(ids)
 
     def decode(self, ids) -> str:
         """Text of ids as the tokenizer without a decoder has it: its tokens, joined by spaces."""
@@ -237,7 +275,7 @@ class Codec(dict):
                 i = self.model.special[part]
                 found.append((struct.pack("<I", i), self.model.tokens[i]))
             else:
-                found.extend(map(self.__getitem__, chunks(part)))
+                found.extend(map(self.chunks.__getitem__, chunks(part)))
         return b"".join([a for a, _ in found]), " ".join([b for a, b in found if a])
 
 
