@@ -1,8 +1,9 @@
 """The registered queries of this package and, where SQL can express them, their DuckDB forms."""
 
-from barlab.llm import bpe, mixing, topk
+from barlab.llm import bpe, mixing, simhash, topk
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op6_bpe_transducer": bpe.op6_bpe_transducer,
     "op4_exact_topk": topk.op4_exact_topk,
     "op9_mix_sources": mixing.op9_mix_sources,
