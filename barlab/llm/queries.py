@@ -1,8 +1,9 @@
 """The registered queries of this package and, where SQL can express them, their DuckDB forms."""
 
-from barlab.llm import bpe, mixing, simhash, topk
+from barlab.llm import bpe, licenses, mixing, simhash, topk
 
 QUERIES = {
+    "op7_license_scan": licenses.op7_license_scan,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op6_bpe_transducer": bpe.op6_bpe_transducer,
     "op4_exact_topk": topk.op4_exact_topk,
@@ -10,6 +11,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_license_scan": licenses.sql(),
     "op4_exact_topk": topk.SQL,
     "op9_mix_sources": mixing.sql(),
 }
