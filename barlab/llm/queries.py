@@ -1,8 +1,9 @@
 """The registered queries of this package and, where SQL can express them, their DuckDB forms."""
 
-from barlab.llm import bpe, licenses, mixing, simhash, topk
+from barlab.llm import bpe, html, licenses, mixing, simhash, topk
 
 QUERIES = {
+    "op3_html_tag_paths": html.op3_html_tag_paths,
     "op7_license_scan": licenses.op7_license_scan,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op6_bpe_transducer": bpe.op6_bpe_transducer,
