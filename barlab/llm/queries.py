@@ -1,8 +1,9 @@
 """The registered queries of this package and, where SQL can express them, their DuckDB forms."""
 
-from barlab.llm import bpe, html, licenses, mixing, simhash, topk, toxicity
+from barlab.llm import bpe, html, licenses, mixing, pii, simhash, topk, toxicity
 
 QUERIES = {
+    "op10_pii": pii.op10_pii,
     "op5_toxicity_cnn": toxicity.op5_toxicity_cnn,
     "op3_html_tag_paths": html.op3_html_tag_paths,
     "op7_license_scan": licenses.op7_license_scan,
