@@ -1,8 +1,9 @@
 """The registered queries of this package and, where SQL can express them, their DuckDB forms."""
 
-from barlab.llm import bpe, html, licenses, mixing, nearest, pii, simhash, topk, toxicity
+from barlab.llm import bpe, html, licenses, mixing, nearest, pii, simhash, tokenfile, topk, toxicity
 
 QUERIES = {
+    "op1_token_files": tokenfile.op1_token_files,
     "op8_nn_descent": nearest.op8_nn_descent,
     "op10_pii": pii.op10_pii,
     "op5_toxicity_cnn": toxicity.op5_toxicity_cnn,
