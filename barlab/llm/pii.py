@@ -242,7 +242,7 @@ def lowest_cut(scored: list[tuple[float, int, float]]) -> float:
         right += sum(n * y for t, y, n in scored if t == s)
         all_ += sum(n for t, _, n in scored if t == s)
         if s > 0 and right >= PRECISION * all_:
-            cut = s
+            cut = s - 1e-6           # sums may be added in another order
     return cut
 
 
@@ -300,8 +300,9 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with each span, or run of overlapping spans, replaced by its first kind in brackets; a text without spans stays as it is."""
     columns = list(docs.columns)
-    found = find(docs, doc_id, text, keep=columns)
-    body = quoted(text)
+    names = [f"c{i}" for i in range(len(columns))]          # an input column may have the name of a result
+    found = find(docs, doc_id, text, keep=columns).toDF(*names, "base", "spans")
+    body = F.col(names[columns.index(text)])
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     tag = lambda s: F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"] + 1)
     first = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
@@ -311,8 +312,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         F.greatest(acc["at"], s["end"]).alias("at"))
     whole = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body)))
     changed = F.when(F.size("spans") > 0, F.aggregate(ordered, first, step, whole)).otherwise(body)
-    return found.withColumn("__redacted", changed).select(*[
-        F.col("__redacted").alias(c) if c == text else quoted(c) for c in columns])
+    return found.withColumn("redacted", changed).select(*["redacted" if c == text else n for c, n in zip(columns, names)]).toDF(*columns)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ Each group yields its k best of each query, and these are merged.
 Defined cases: a null id, and a vector that is null or holds null, NaN or infinity (also once scaled), takes no part;
 rows that share an id count as one, with the smallest of their vectors; a shorter vector is
 continued by zeros; ties go to the smaller id; with fewer than k candidates all are returned; an
-empty table gives no rows. A score outside the range of long is returned as its nearest long.
+empty table gives no rows. A score outside the range of long counts as its nearest long.
 """
 
 from __future__ import annotations
@@ -91,8 +91,9 @@ def search_wide(q, q_ids, c, c_ids, k):
     c = [[int(x) for x in row] for row in c]
     for one, row in zip(q_ids, q):
         row = [int(x) for x in row]
-        found = sorted((-sum(a * b for a, b in zip(row, other)), int(j)) for other, j in zip(c, c_ids) if j != one)[:k]
-        yield one, np.array([j for _, j in found], np.int64), np.array([max(low, min(high, -s)) for s, _ in found], np.int64)
+        score = lambda other: max(low, min(high, sum(a * b for a, b in zip(row, other))))
+        found = sorted((-score(other), int(j)) for other, j in zip(c, c_ids) if j != one)[:k]
+        yield one, np.array([j for _, j in found], np.int64), np.array([-s for s, _ in found], np.int64)
 
 
 def grouped(k: int):
