@@ -500,19 +500,25 @@ SELECT date, code, known, {rs(['mark_return', 'adverse_return'], 8)} FROM watche
 # --- models ------------------------------------------------------------------------
 
 
-def tree_case(tree, leaf, node=0) -> str:
-    if tree.left[node] < 0:
-        return leaf(node)
-    name, cut = FEATURES[tree.feature[node]], math.floor(tree.threshold[node])
-    return (f"CASE WHEN {name} > {cut} THEN {tree_case(tree, leaf, tree.right[node])} "
-            f"ELSE {tree_case(tree, leaf, tree.left[node])} END")
+def regions(tree) -> list[tuple[int, int, bool, str]]:
+    """(node, level, leaf flag, condition) of every node, level by level from the root."""
+    found = [(0, 0, tree.left[0] < 0, "true")]
+    for node, level, leaf, condition in found:
+        if not leaf:
+            test = f"{FEATURES[tree.feature[node]]} <= {tree.threshold[node]!r}"
+            for child, side in ((tree.left[node], test), (tree.right[node], f"NOT {test}")):
+                found.append((child, level + 1, tree.left[child] < 0, f"{condition} AND {side}"))
+    return found
 
 
 def leaf_score(tree) -> str:
-    return tree_case(tree, lambda i: f"{ENSEMBLE.learning_rate * tree.value[i]:.17e}")
+    """The leaves' regions side by side; exactly one of them holds a row."""
+    arms = [f"WHEN {condition} THEN {ENSEMBLE.learning_rate * tree.value[node]!r}::DOUBLE"
+            for node, _, leaf, condition in regions(tree) if leaf]
+    return f"CASE {' '.join(arms)} END"
 
 
-SCORE = f"{ENSEMBLE.bias:.17e} + " + " + ".join(f"({leaf_score(t)})" for t in ENSEMBLE.trees)
+SCORE = f"{ENSEMBLE.bias!r}::DOUBLE + " + " + ".join(f"({leaf_score(t)})" for t in ENSEMBLE.trees)
 CODES = ", ".join(FEATURES)
 ORACLE_SQL["encode_features"] = with_views(["encoded"], f"SELECT date, code, formula_input_valid, {CODES} FROM encoded")
 ORACLE_SQL["encode_features_tenfold"] = with_views(["features"], "SELECT date, code, " + ", ".join(
@@ -535,22 +541,12 @@ SELECT half, n, {rs(['weight'])}, {r('m', 'weighted_mean')}, {r('q - m * m', 'we
     sum(weight * target * target) / sum(weight) AS q FROM training_rows GROUP BY half)""")
 
 
-def node_paths(tree, node=0, path="true", level=0):
-    """(node, level, leaf flag, condition) of every node."""
-    leaf = tree.left[node] < 0
-    yield node, level, leaf, path
-    if not leaf:
-        name, cut = FEATURES[tree.feature[node]], math.floor(tree.threshold[node])
-        yield from node_paths(tree, tree.left[node], f"{path} AND {name} <= {cut}", level + 1)
-        yield from node_paths(tree, tree.right[node], f"{path} AND {name} > {cut}", level + 1)
-
-
-_NODES, _residual = [], f"target - {ENSEMBLE.bias:.17e}"
+_NODES, _residual = [], f"target - {ENSEMBLE.bias!r}::DOUBLE"
 _RES = []
 for _t, _tree in enumerate(ENSEMBLE.trees):
     _RES.append(f"{_residual} AS r{_t}")
     _residual = f"{_residual} - ({leaf_score(_tree)})"
-    for _n, _level, _leaf, _path in node_paths(_tree):
+    for _n, _level, _leaf, _path in regions(_tree):
         _NODES.append(f"""SELECT {_t} AS tree_id, {_n} AS node_id, {_level} AS level, {str(_leaf).lower()} AS is_leaf,
           count(*) AS node_rows, sum(weight) AS weight, count(DISTINCT date) AS days, sum(weight * r{_t}) / sum(weight) AS m,
           sum(weight * r{_t} * r{_t}) / sum(weight) AS q FROM res WHERE {_path}""")

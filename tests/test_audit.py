@@ -1,62 +1,104 @@
-"""Reference-price states on the fifty-row series."""
+"""Reference-price states against a plain walk over random days."""
 
 import datetime as dt
+import math
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from barlab.operators.audit import reference_states
 
-
-def source():
-    n = 50
-    d = pd.DataFrame({
-        "date": [dt.date(2023, 1, 1) + dt.timedelta(days=i) for i in range(n)], "code": "sh.600000",
-        "open": 10.0, "high": 10.1, "low": 9.9, "close": 10.0, "preclose": 10.0,
-        "volume": 1000, "tradestatus": 1, "adjustflag": 3})
-    d.loc[25:, ["open", "close", "preclose"]] = 9.0
-    d.loc[25:, "high"], d.loc[25:, "low"] = 9.1, 8.9
-    return d
-
-
-def states(spark, d):
-    return reference_states(spark.createDataFrame(d)).orderBy("date").toPandas()
-
-
-def test_prior_only_and_reference_change_is_not_price_drop(spark):
-    a = states(spark, source())
-    assert a.prior_reset_count[25] == 0 and a.prior_reset_count[26] == 1 and a.prior_reset_count[46] == 0
-    assert a.atr_reference[26] == pytest.approx(0.2) and a.atr_raw[26] > a.atr_reference[26]
-    assert not a.history_price_good[20] and a.history_price_good[21]
-
-
-def test_bad_active_row_stays_in_the_window(spark):
-    d = source()
-    d.loc[24, "preclose"] = np.nan
-    a = states(spark, d)
-    assert a.prior_reference_count[26] == 19 and a.prior_reference_count[45] == 20
-    assert pd.isna(a.prior_reset_count[26]) and pd.isna(a.atr_reference[26])
-
-
-def test_suspended_day_leaves_the_sequence(spark):
-    d = source()
-    d.loc[24, "tradestatus"] = 0
-    a = states(spark, d).set_index("date")
-    assert d.date[24] not in a.index and a.prior_reset_count[d.date[26]] == 1
-
-
-def test_later_prices_do_not_change_earlier_states(spark):
-    d = source()
-    a = states(spark, d)
-    d.loc[30:, "close"], d.loc[30:, "high"] = 15.0, 16.0
-    b = states(spark, d)
-    cols = ["date", "prior_reset_count", "atr_raw", "atr_reference"]
-    pd.testing.assert_frame_equal(a.loc[:30, cols], b.loc[:30, cols])
-
-
-def test_off_grid_price_spoils_the_history(spark):
-    d = source()
-    d.loc[10, "close"] = 10.0033
-    a = states(spark, d)
-    assert not a.history_price_good[31] and a.history_price_good[32]
+FIELDS = "date code open high low close preclose volume tradestatus adjustflag".split()
+TYPES = ("date date, code string, open double, high double, low double, close double, preclose double, volume long, "
+         "tradestatus int, adjustflag int")
+
+
+def walk_prices(seed, days=140):
+    """A code's days on the cent grid: some suspended, some flawed, some with an official close of their own."""
+    g, rows, close = np.random.default_rng(seed), [], 20.0
+    for i in range(days):
+        official = close if g.random() < 0.9 else round(close * 0.93, 2)
+        opened, close = (round(official + float(x), 2) for x in g.normal(0, 0.2, 2))
+        high, low = round(max(opened, close) + 0.07, 2), round(min(opened, close) - 0.04, 2)
+        volume, flag = 500, 3
+        flaw = g.integers(0, 160)
+        if flaw == 0:
+            high = round(low - 1, 2)
+        elif flaw == 1:
+            volume = 0
+        elif flaw == 2:
+            flag = 1
+        elif flaw == 3:
+            official = math.nan
+        elif flaw == 4:
+            close = close + 0.004
+        rows.append((dt.date(2021, 3, 1) + dt.timedelta(days=i), f"c{seed}", opened, high, low, close, official, volume,
+                     int(g.random() < 0.95), flag))
+    return rows
+
+
+def sound(r):
+    prices = [r["open"], r["high"], r["low"], r["close"]]
+    return (r["adjustflag"] == 3 and r["volume"] > 0 and all(p > 0 and abs(p - round(p, 2)) <= 1e-4 for p in prices)
+            and max(prices) <= r["high"] + 1e-4 and min(prices) >= r["low"] - 1e-4)
+
+
+def expected(rows):
+    days = [dict(zip(FIELDS, r)) for r in rows]
+    days = [d for d in days if d["tradestatus"] == 1]
+    spread = lambda d, base: max(d["high"] - d["low"], abs(d["high"] - base), abs(d["low"] - base))
+    for i, d in enumerate(days):
+        before = days[i - 1] if i else None
+        d["sound"] = sound(d)
+        d["usable"] = bool(before) and d["sound"] and before["sound"] and d["preclose"] > 0
+        d["reset"] = abs(d["preclose"] - before["close"]) > 0.005 if d["usable"] else None
+        d["raw"] = spread(d, before["close"]) if before else d["high"] - d["low"]
+        d["official"] = spread(d, d["preclose"]) if d["usable"] else None
+    out = {}
+    for i, d in enumerate(days):
+        window, longer = days[max(0, i - 20):i], days[max(0, i - 21):i]
+        usable = [w for w in window if w["usable"]]
+        out[d["date"]] = (
+            d["usable"], d["reset"], len(usable), sum(w["reset"] for w in usable) if len(usable) == 20 else None,
+            sum(w["raw"] for w in window) / 20 if len(window) == 20 else None,
+            sum(w["official"] for w in usable) / 20 if len(usable) == 20 else None,
+            len(longer) == 21 and all(w["sound"] for w in longer))
+    return out
+
+
+NAMES = "reference_good reset prior_reference_count prior_reset_count atr_raw atr_reference history_price_good".split()
+
+
+@pytest.fixture(scope="module")
+def both(spark):
+    rows = {s: walk_prices(s) for s in range(6)}
+    df = spark.createDataFrame([r for part in rows.values() for r in part], TYPES)
+    got = {}
+    for r in reference_states(df).collect():
+        got.setdefault(int(r["code"][1:]), {})[r["date"]] = tuple(r[n] for n in NAMES)
+    return rows, got
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_states_equal_a_plain_walk(both, seed):
+    rows, got = both
+    want = expected(rows[seed])
+    assert set(got[seed]) == set(want)
+    for day, values in want.items():
+        assert got[seed][day][:4] == values[:4] and got[seed][day][6] == values[6]
+        for a, b in zip(got[seed][day][4:6], values[4:6]):
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-12))
+
+
+def test_the_walks_reach_every_state(both):
+    rows, _ = both
+    found = [v for part in rows.values() for v in expected(part).values()]
+    assert {v[1] for v in found} == {True, False, None} and {v[6] for v in found} == {True, False}
+    assert any(v[3] for v in found) and any(v[3] is None and v[4] is not None for v in found)
+
+
+def test_states_do_not_depend_on_later_days(spark, both):
+    rows, got = both
+    cut = 70
+    early = {r["date"]: tuple(r[n] for n in NAMES) for r in reference_states(spark.createDataFrame(rows[2][:cut], TYPES)).collect()}
+    assert early == {day: got[2][day] for day in early}
