@@ -449,7 +449,7 @@ def feature_table(bars: DataFrame, index_bars: DataFrame, shares: DataFrame, clo
 
 def candidates(stocks: DataFrame, excluded_prefixes: Sequence[str], marker: str,
                growth_members: DataFrame | None = None) -> DataFrame:
-    """Drop marked names, excluded code prefixes, growth-board members and codes without trade.
+    """Drop marked names, excluded code prefixes, growth-board members and codes without volume.
 
     ``stocks`` carries ``name``, ``code``, ``day_open`` and ``day_volume``.
     """

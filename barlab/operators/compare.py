@@ -59,7 +59,7 @@ def coupled_bounds(rows: DataFrame, outcomes=None) -> DataFrame:
     both sides are dropped; ``day_coverage`` lists them.
     """
     outcomes = outcomes or coupled_outcomes()
-    facts = {"left": flag(F.col("left")), "right": flag(F.col("right")), "no_trade": flag(F.col("known_no_trade"))}
+    facts = {"left": flag(F.col("left")), "right": flag(F.col("right")), "unfilled": flag(F.col("known_unfilled"))}
     for bps, sens, target, stem in outcomes:
         facts[f"known{bps}{int(sens)}"] = known_flag(bps, sens)
         facts[f"{target}{bps}"] = F.col(f"{stem}{bps}") == 1
@@ -69,7 +69,7 @@ def coupled_bounds(rows: DataFrame, outcomes=None) -> DataFrame:
     records = F.array(*[
         F.struct(F.lit(bps).alias("bps"), F.lit(sens).alias("sensitive"), F.lit(target).alias("target"),
                  (at[f"known{bps}{int(sens)}"] & at[f"{target}{bps}"]).alias("_y"),
-                 (~at[f"known{bps}{int(sens)}"] & ~at["no_trade"]).alias("_open"))
+                 (~at[f"known{bps}{int(sens)}"] & ~at["unfilled"]).alias("_open"))
         for bps, sens, target, _ in outcomes])
     n = F.col("_n")
     both = cells.select("date", "_n", at["left"].alias("_l"), at["right"].alias("_r"), F.inline(records))

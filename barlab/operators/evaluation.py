@@ -37,10 +37,10 @@ class Study:
     counts: Callable[[Column, Column, Callable[[str], Column]], Mapping[str, Column]]
 
 
-def _opportunity_counts(known, no_trade, fact):
+def _opportunity_counts(known, unfilled, fact):
     return {
-        "known": known, "success": known & fact("opportunity"), "unknown": ~known & ~no_trade,
-        "no_trade": no_trade, "one_percent": known & fact("one_percent"), "any_success": known & fact("any"),
+        "known": known, "success": known & fact("opportunity"), "unknown": ~known & ~unfilled,
+        "unfilled": unfilled, "one_percent": known & fact("one_percent"), "any_success": known & fact("any"),
         "mark_n": known & fact("mark"), "negative_n": known & fact("negative"),
         "adverse_n": known & fact("adverse"), "bad_n": known & fact("bad"),
     }
@@ -68,11 +68,11 @@ def _ordered_facts(b):
         "bad": bad >= 0, "mark": F.col(f"mark_0959_return{b}").isNotNull()}
 
 
-def _ordered_counts(known, no_trade, fact):
+def _ordered_counts(known, unfilled, fact):
     risk = known & fact("observed")
     named = {n: known & fact(n) for n in ("positive", "space", "positive_before", "space_before")}
     return {
-        "known": known, "unknown": ~known & ~no_trade, "no_trade": no_trade, **named, "risk_known": risk,
+        "known": known, "unknown": ~known & ~unfilled, "unfilled": unfilled, **named, "risk_known": risk,
         "bad_first": risk & fact("bad_first"), "bad3": risk & fact("bad"), "mark_n": known & fact("mark"),
     }
 
@@ -84,7 +84,7 @@ COVERAGE = Study(
     facts=lambda b: {"usable": finite(F.col(f"mark_0959_return{b}")),
                      "positive": finite(F.col(f"mark_0959_return{b}")) & (F.col(f"mark_0959_return{b}") > 0)},
     sums=lambda b: {"mark_sum": finite_or_null(F.col(f"mark_0959_return{b}"))},
-    counts=lambda known, no_trade, fact: {
+    counts=lambda known, unfilled, fact: {
         "known": known, "reference_available": known & fact("usable"),
         "reference_missing": known & ~fact("usable"), "positive_reference": known & fact("positive")})
 
@@ -117,7 +117,7 @@ def tally(
     The generated loop over the rows stays small enough for the JIT.
     """
     costs = sorted({b for b, _ in views})
-    flags = {"no_trade": flag(F.col("known_no_trade")),
+    flags = {"unfilled": flag(F.col("known_unfilled")),
              **{f"known{b}{int(s)}": known_flag(b, s) for b, s in views},
              **{f"{n}{b}": c for b in costs for n, c in study.facts(b).items()}}
     sums = {f"{n}{b}": c for b in costs for n, c in study.sums(b).items()}
@@ -132,9 +132,9 @@ def tally(
                  *[bit("_sig", at[f"{n}{b}"]).alias(f"_{n}") for n in facts],
                  *[F.col(f"{n}{b}").alias(f"_{n}") for n in summed])
         for b, s in views])
-    unfolded = cells.select(*keys, "_n", bit("_sig", at["no_trade"]).alias("_no_trade"), F.inline(records))
+    unfolded = cells.select(*keys, "_n", bit("_sig", at["unfilled"]).alias("_unfilled"), F.inline(records))
     known, n = F.col("_known"), F.col("_n")
-    counts = study.counts(known, F.col("_no_trade"), lambda name: F.col(f"_{name}"))
+    counts = study.counts(known, F.col("_unfilled"), lambda name: F.col(f"_{name}"))
     return unfolded.groupBy(*keys, "bps", "sensitive").agg(
         F.sum(n).alias("rows"),
         *[F.sum(F.when(c, n).otherwise(0)).alias(name) for name, c in counts.items()],
@@ -203,10 +203,10 @@ def finish_coverage(cells: DataFrame) -> DataFrame:
     }).drop("mark_sum")
 
 
-OPPORTUNITY_COUNTS = ("rows", "known", "success", "unknown", "no_trade")
+OPPORTUNITY_COUNTS = ("rows", "known", "success", "unknown", "unfilled")
 OPPORTUNITY_METRICS = ("rate", "lower", "upper", "one_percent_rate", "any_rate", "mean_reference",
                        "negative_reference", "adverse_mean", "bad3")
-ORDERED_COUNTS = ("rows", "known", "unknown", "no_trade", "positive", "space", "positive_before",
+ORDERED_COUNTS = ("rows", "known", "unknown", "unfilled", "positive", "space", "positive_before",
                   "space_before", "risk_known", "bad_first", "bad3")
 ORDERED_METRICS = ("positive_rate", "space_rate", "positive_before_rate", "space_before_rate",
                    "bad_first_rate", "bad3_rate", "lower", "upper", "mean_reference")
@@ -335,8 +335,7 @@ def acceptance(
     for n in names[:2]:
         better = better & flag((F.col(f"n_{n}") == len(controls)) & (F.col(n) > F.col(f"control_{n}")))
     risk_ok = flag((F.col("n_risk") == len(risk_controls)) & (F.col("bad_first_rate") <= F.col("control_risk")))
-    out = (by_year.join(halves, "year", "left").join(ends, "year", "left").join(median_ok, "year", "left")
-           .where(F.col("half_coverage").isNotNull()))
+    out = by_year.join(halves, "year", "left").join(ends, "year", "left").join(median_ok, "year", "left")
     out = out.select(
         "year", flag(F.col("half_coverage")).alias("half_coverage"), better.alias("rates_improved"),
         flag(F.col("intervals_positive")).alias("intervals_positive"), risk_ok.alias("risk_not_worse"),

@@ -114,7 +114,7 @@ def null_handling(spark, sf):
 
 
 def candidate_filter(spark, sf):
-    """Name, prefix, board-membership and no-trade exclusions over customers with their order volume."""
+    """Name, prefix, board-membership and inactivity exclusions over customers with their order volume."""
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
     traded = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.count(F.lit(1)).alias("day_volume"), F.max("o_totalprice").alias("day_open"))
@@ -174,7 +174,7 @@ def table_extent(spark, sf):
 
 def flag_aggregates(spark, sf):
     return stock_days(spark, sf).groupBy("date").agg(
-        F.bool_or("known_no_trade").alias("any_no_trade"), F.bool_and("known15").alias("all_known"),
+        F.bool_or("known_unfilled").alias("any_unfilled"), F.bool_and("known15").alias("all_known"),
         F.bool_and(F.col("opportunity15") == 1).alias("all_success"))
 
 
@@ -264,7 +264,7 @@ def key_gate(spark, sf):
         "domain_board": contracts.in_domain("board", ["main"]),
         "date_bounds": contracts.within_dates("1995-01-01", "1998-01-01"),
         "finite_when_known": contracts.finite_when("mark_0959_return15", F.col("known15")),
-        "states_exclusive": ~(F.col("known15") & F.col("known_no_trade")),
+        "states_exclusive": ~(F.col("known15") & F.col("known_unfilled")),
     })
     lines = table(spark, sf, "lineitem")
     counts = contracts.count_check(rows, {
@@ -298,7 +298,7 @@ def frame_equality(spark, sf):
 
 def ordered_output(spark, sf):
     """Canonical output order by day and key."""
-    return stock_days(spark, sf).where("known_no_trade").select("date", "code", "half").orderBy("date", "code")
+    return stock_days(spark, sf).where("known_unfilled").select("date", "code", "half").orderBy("date", "code")
 
 
 def path_identity(spark, sf):

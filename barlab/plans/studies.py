@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.functions.scalars import in_period, year_of
+from barlab.functions.scalars import explode_periods, in_period, year_of
 from barlab.operators import compare, evaluation, labels, ranking, selection
 from barlab.operators.bootstrap import block_intervals
 from barlab.operators.grouping import exact_quantiles
@@ -14,7 +14,6 @@ from barlab.plans.views import LEFT_LIST, RIGHT_LIST, ordered_days, stock_days,
 
 SELECTED = "`left` and decision_shares >= 800"
 FOLDS = labels.half_year_folds(1997, 1998)
-QUERY_DRAWS = 200
 
 
 def selected_days(spark, sf):
@@ -125,21 +124,20 @@ def _by_year(daily):
 def weekly_block_interval(spark, sf):
     daily = evaluation.daily_opportunity(stock_days(spark, sf))
     keys = ("bps", "sensitive", "period")
-    return tidied(block_intervals(_by_year(daily), keys, ("rate", "lower", "upper"), QUERY_DRAWS))
+    return tidied(block_intervals(explode_periods(daily), keys, ("rate", "lower", "upper")))
 
 
 def coupled_intervals(spark, sf):
-    daily = _coupled_orders(spark, sf).where("bps = 15 and not sensitive")
-    return tidied(block_intervals(_by_year(daily), ("target", "period"),
-                                  ("lower", "upper", "unknown_weight"), QUERY_DRAWS))
+    daily = explode_periods(_coupled_orders(spark, sf))
+    return tidied(block_intervals(daily, ("bps", "sensitive", "target", "period"), ("lower", "upper", "unknown_weight")))
 
 
 def weekly_sums(spark, sf):
     from barlab.operators.bootstrap import weekly_blocks
 
-    daily = evaluation.daily_opportunity(stock_days(spark, sf)).where("bps = 15 and not sensitive")
-    blocks = weekly_blocks(_by_year(daily), ("period",), ("lower", "upper"))
-    return tidied(blocks.select("period", "week", "days", "sum_lower", "sum_upper", "block", "n_blocks"))
+    daily = explode_periods(evaluation.daily_opportunity(stock_days(spark, sf)))
+    blocks = weekly_blocks(daily, ("bps", "sensitive", "period"), ("lower", "upper"))
+    return tidied(blocks.select("bps", "sensitive", "period", "week", "days", "sum_lower", "sum_upper", "block", "n_blocks"))
 
 
 def _rank_rows(spark, sf):
@@ -198,7 +196,7 @@ def acceptance(spark, sf):
     coupled = compare.coupled_bounds(
         two_lists(spark, sf), [o for o in compare.coupled_outcomes(ORDER_TARGETS)
                                if o[:3] == (15, False, "positive_before")])
-    ends = block_intervals(_by_year(coupled.where(view)), ("period",), ("lower",), QUERY_DRAWS)
+    ends = block_intervals(_by_year(coupled.where(view)), ("period",), ("lower",))
     sizes = selection.list_concentration(
         both.select("group", "date", F.lit(True).alias("selected"), year_of(F.col("date")).alias("year")),
         ("group", "year"))

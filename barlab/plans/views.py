@@ -37,7 +37,7 @@ def stock_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         known5.alias("known5"), known15.alias("known15"),
         (known5 & (k % 7 != 0)).alias("sensitive_known5"),
         (known15 & (k % 7 != 0)).alias("sensitive_known15"),
-        (pending & (k % 3 == 0)).alias("known_no_trade"),
+        (pending & (k % 3 == 0)).alias("known_unfilled"),
         outcome(known5, price > 200000).alias("opportunity5"),
         outcome(known15, price > 250000).alias("opportunity15"),
         outcome(known5, price > 300000).alias("one_percent5"),

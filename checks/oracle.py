@@ -35,7 +35,7 @@ def per_view(template, source: str) -> str:
 def opportunity_terms(b, s):
     k = known(b, s)
     return f"""count(*) FILTER ({k}) AS known, count(*) FILTER ({k} AND opportunity{b} = 1) AS success,
-      count(*) FILTER (NOT {k} AND NOT known_no_trade) AS unknown, count(*) FILTER (known_no_trade) AS no_trade,
+      count(*) FILTER (NOT {k} AND NOT known_unfilled) AS unknown, count(*) FILTER (known_unfilled) AS unfilled,
       count(*) FILTER ({k} AND one_percent{b} = 1) AS one_percent,
       count(*) FILTER ({k} AND any_opportunity{b} = 1) AS any_success,
       avg(mark_0959_return{b}) FILTER ({k}) AS mean_reference,
@@ -50,10 +50,10 @@ def opportunity_daily(source: str) -> str:
       FROM ({per_view(opportunity_terms, source)}))"""
 
 
-OPP_COUNTS = ["rows", "known", "success", "unknown", "no_trade"]
+OPP_COUNTS = ["rows", "known", "success", "unknown", "unfilled"]
 OPP_METRICS = ["rate", "lower", "upper", "one_percent_rate", "any_rate", "mean_reference",
                "negative_reference", "adverse_mean", "bad3"]
-OPP_KEYS = "date, half, bps, sensitive, rows, known, success, unknown, no_trade, one_percent, any_success"
+OPP_KEYS = "date, half, bps, sensitive, rows, known, success, unknown, unfilled, one_percent, any_success"
 
 ORACLE_SQL["daily_opportunity"] = with_views(
     ["stock_days"], f"SELECT {OPP_KEYS}, {rs(OPP_METRICS)} FROM {opportunity_daily('stock_days')}")
@@ -82,8 +82,8 @@ FROM {in_periods(opportunity_daily('stock_days'), ('half', 'quarter', 'year'))}
 def ordered_terms(b, s):
     k = known(b, s)
     risk = f"{k} AND risk_observed{b} = 1"
-    return f"""count(*) FILTER ({k}) AS known, count(*) FILTER (NOT {k} AND NOT known_no_trade) AS unknown,
-      count(*) FILTER (known_no_trade) AS no_trade, count(*) FILTER ({k} AND opportunity{b} = 1) AS positive,
+    return f"""count(*) FILTER ({k}) AS known, count(*) FILTER (NOT {k} AND NOT known_unfilled) AS unknown,
+      count(*) FILTER (known_unfilled) AS unfilled, count(*) FILTER ({k} AND opportunity{b} = 1) AS positive,
       count(*) FILTER ({k} AND one_percent{b} = 1) AS space,
       count(*) FILTER ({k} AND positive_before_bad3{b} = 1) AS positive_before,
       count(*) FILTER ({k} AND space_before_bad3{b} = 1) AS space_before,
@@ -100,7 +100,7 @@ def ordered_daily(source: str) -> str:
       (positive_before + unknown) / rows AS upper FROM ({per_view(ordered_terms, source)}))"""
 
 
-ORD_COUNTS = ["rows", "known", "unknown", "no_trade", "positive", "space", "positive_before", "space_before",
+ORD_COUNTS = ["rows", "known", "unknown", "unfilled", "positive", "space", "positive_before", "space_before",
               "risk_known", "bad_first", "bad3"]
 ORD_METRICS = ["positive_rate", "space_rate", "positive_before_rate", "space_before_rate", "bad_first_rate",
                "bad3_rate", "lower", "upper", "mean_reference"]
@@ -179,10 +179,10 @@ def coupled(outcomes) -> str:
         k = known(b, s)
         part.append(f"""SELECT date, half, CAST({b} AS INTEGER) AS bps, {str(s).lower()} AS sensitive, '{target}' AS target,
           CAST(sum(CAST("left" AS INTEGER)) AS BIGINT) AS left_rows, CAST(sum(CAST("right" AS INTEGER)) AS BIGINT) AS right_rows,
-          sum(CASE WHEN {k} THEN w * {stem}{b} WHEN known_no_trade OR w > 0 THEN 0 ELSE w END) AS lower,
-          sum(CASE WHEN {k} THEN w * {stem}{b} WHEN known_no_trade OR w < 0 THEN 0 ELSE w END) AS upper,
-          sum(CASE WHEN {k} OR known_no_trade THEN 0 ELSE abs(w) END) AS unknown_weight,
-          count(*) FILTER ("left" AND "right" AND NOT {k} AND NOT known_no_trade) AS shared_unknown
+          sum(CASE WHEN {k} THEN w * {stem}{b} WHEN known_unfilled OR w > 0 THEN 0 ELSE w END) AS lower,
+          sum(CASE WHEN {k} THEN w * {stem}{b} WHEN known_unfilled OR w < 0 THEN 0 ELSE w END) AS upper,
+          sum(CASE WHEN {k} OR known_unfilled THEN 0 ELSE abs(w) END) AS unknown_weight,
+          count(*) FILTER ("left" AND "right" AND NOT {k} AND NOT known_unfilled) AS shared_unknown
           FROM weighted GROUP BY date, half""")
     return f"""(WITH weighted AS (
       SELECT *, CAST("left" AS DOUBLE) / nl - CAST("right" AS DOUBLE) / nr AS w FROM (
@@ -200,7 +200,7 @@ ORACLE_SQL["coupled_periods"] = with_views(["two_lists"], f"""
 SELECT bps, sensitive, target, period, count(*) AS days, {sums(['shared_unknown'])}, {means(CB)}
 FROM {in_periods(coupled(ORDERS))} GROUP BY bps, sensitive, target, period""")
 
-DRAWS = 200
+DRAWS = 10_000
 
 
 def intervals(daily: str, keys: str, metrics: list[str]) -> str:
@@ -231,16 +231,16 @@ def intervals(daily: str, keys: str, metrics: list[str]) -> str:
 
 YEARLY = "(SELECT *, CAST(year(date) AS VARCHAR) AS period FROM {})"
 ORACLE_SQL["weekly_block_interval"] = with_views(["stock_days"], "SELECT * FROM " + intervals(
-    YEARLY.format(opportunity_daily("stock_days")), "bps, sensitive, period", ["rate", "lower", "upper"]))
-COUPLED15 = [o for o in ORDERS if o[0] == 15 and not o[1]]
+    in_periods(opportunity_daily("stock_days")), "bps, sensitive, period", ["rate", "lower", "upper"]))
 ORACLE_SQL["coupled_intervals"] = with_views(["two_lists"], "SELECT * FROM " + intervals(
-    YEARLY.format(coupled(COUPLED15)), "target, period", CB))
+    in_periods(coupled(ORDERS)), "bps, sensitive, target, period", CB))
 ORACLE_SQL["weekly_sums"] = with_views(["stock_days"], f"""
-SELECT period, week, days, {rs(['sum_lower', 'sum_upper'])},
-  CAST(row_number() OVER (PARTITION BY period ORDER BY week) - 1 AS INTEGER) AS block, count(*) OVER (PARTITION BY period) AS n_blocks
-FROM (SELECT CAST(year(date) AS VARCHAR) AS period, date - CAST(isodow(date) - 1 AS INTEGER) AS week, count(*) AS days,
+SELECT bps, sensitive, period, week, days, {rs(['sum_lower', 'sum_upper'])},
+  CAST(row_number() OVER (PARTITION BY bps, sensitive, period ORDER BY week) - 1 AS INTEGER) AS block,
+  count(*) OVER (PARTITION BY bps, sensitive, period) AS n_blocks
+FROM (SELECT bps, sensitive, period, date - CAST(isodow(date) - 1 AS INTEGER) AS week, count(*) AS days,
         sum(lower) AS sum_lower, sum(upper) AS sum_upper
-      FROM {opportunity_daily('stock_days')} WHERE bps = 15 AND NOT sensitive GROUP BY ALL)""")
+      FROM {in_periods(opportunity_daily('stock_days'))} GROUP BY ALL)""")
 
 RANKED = """(SELECT date, score, positive_before_bad315 = 1 AS pb, space_before_bad315 = 1 AS sb,
   CASE WHEN positive_before_bad315 = 1 THEN 1 WHEN first_bad315 >= 0 THEN -3 ELSE 0 END AS u
@@ -300,7 +300,7 @@ ORACLE_SQL["coverage_missing"] = with_views(["stock_days"], " UNION ALL ".join(
     f"SELECT date, code, CAST({b} AS INTEGER) AS bps, {str(s).lower()} AS sensitive FROM {BROKEN} "
     f"WHERE {known(b, s)} AND NOT coalesce(isfinite(mark_0959_return{b}), false)" for b, s in VIEWS4))
 
-_PB = [o for o in COUPLED15 if o[2] == "positive_before"]
+_PB = [o for o in ORDERS if o[0] == 15 and not o[1] and o[2] == "positive_before"]
 ORACLE_SQL["acceptance"] = with_views(["two_lists"], f"""
 , summaries AS (
   SELECT grp, period, count(*) AS days, sum(known) AS known, avg(positive_before_rate) AS pb, avg(space_before_rate) AS sb,
@@ -315,14 +315,15 @@ sizes AS (SELECT CAST(year(date) AS VARCHAR) AS year, median(n) AS med FROM (
 SELECT year, half_coverage, rates_improved, intervals_positive, risk_not_worse, median_at_most_limit,
   half_coverage AND rates_improved AND intervals_positive AND risk_not_worse AND median_at_most_limit AS all_passed
 FROM (
-  SELECT h.year, half_coverage, coalesce(a.pb > b.pb AND a.sb > b.sb, false) AS rates_improved,
+  SELECT y.year, coalesce(half_coverage, false) AS half_coverage, coalesce(a.pb > b.pb AND a.sb > b.sb, false) AS rates_improved,
     coalesce(e.lower_ci_low > 0, false) AS intervals_positive, coalesce(a.bf <= b.bf, false) AS risk_not_worse,
     coalesce(med <= 5, false) AS median_at_most_limit
-  FROM (SELECT period[1:4] AS year, count(*) FILTER (days >= 20 AND known >= 100) = 2 AS half_coverage
-        FROM summaries WHERE grp = 'left' AND length(period) = 6 GROUP BY 1) h
-  LEFT JOIN (SELECT * FROM summaries WHERE grp = 'left') a ON a.period = h.year
-  LEFT JOIN (SELECT * FROM summaries WHERE grp = 'right') b ON b.period = h.year
-  LEFT JOIN ends e ON e.period = h.year LEFT JOIN sizes s ON s.year = h.year)""").replace(")\n, summaries", "),\nsummaries", 1)
+  FROM (SELECT DISTINCT period AS year FROM summaries WHERE length(period) = 4) y
+  LEFT JOIN (SELECT period[1:4] AS year, count(*) FILTER (days >= 20 AND known >= 100) = 2 AS half_coverage
+             FROM summaries WHERE grp = 'left' AND length(period) = 6 GROUP BY 1) h USING (year)
+  LEFT JOIN (SELECT * FROM summaries WHERE grp = 'left') a ON a.period = y.year
+  LEFT JOIN (SELECT * FROM summaries WHERE grp = 'right') b ON b.period = y.year
+  LEFT JOIN ends e ON e.period = y.year LEFT JOIN sizes s ON s.year = y.year)""").replace(")\n, summaries", "),\nsummaries", 1)
 
 FOLDS = [("1997h1", "1996-01-01", "1997-01-01", "1997-07-01"), ("1997h2", "1996-07-01", "1997-07-01", "1998-01-01"),
          ("1998h1", "1997-01-01", "1998-01-01", "1998-07-01"), ("1998h2", "1997-07-01", "1998-07-01", "1999-01-01")]
@@ -621,7 +622,7 @@ ORACLE_SQL["table_extent"] = with_views(["stock_days"], """
 SELECT count(*) AS rows, min(date) AS first_date, max(date) AS last_date, min(code) AS first_code,
   count(*) FILTER (formula_input_valid) AS valid FROM stock_days""")
 ORACLE_SQL["flag_aggregates"] = with_views(["stock_days"], """
-SELECT date, bool_or(known_no_trade) AS any_no_trade, bool_and(known15) AS all_known,
+SELECT date, bool_or(known_unfilled) AS any_unfilled, bool_and(known15) AS all_known,
   bool_and(opportunity15 = 1) AS all_success FROM stock_days GROUP BY date""")
 ORACLE_SQL["extreme_rows"] = with_views(["stock_days"], """
 SELECT half, arg_min(code, (strength, code)) AS lowest_code, arg_max(code, (strength, code)) AS highest_code,
@@ -665,7 +666,7 @@ SELECT "check", violations = 0 AS passed, violations FROM (
   UNION ALL SELECT 'domain_board', (SELECT count(*) FROM stock_days WHERE board <> 'main')
   UNION ALL SELECT 'date_bounds', (SELECT count(*) FROM stock_days WHERE date < DATE '1995-01-01' OR date >= DATE '1998-01-01')
   UNION ALL SELECT 'finite_when_known', (SELECT count(*) FROM stock_days WHERE known15 AND mark_0959_return15 IS NULL)
-  UNION ALL SELECT 'states_exclusive', (SELECT count(*) FROM stock_days WHERE known15 AND known_no_trade)
+  UNION ALL SELECT 'states_exclusive', (SELECT count(*) FROM stock_days WHERE known15 AND known_unfilled)
   UNION ALL SELECT 'stock_day_key', (SELECT count(*) FROM (SELECT 1 FROM stock_days GROUP BY date, code HAVING count(*) > 1))
   UNION ALL SELECT 'line_key', (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))
   UNION ALL SELECT 'declared_valid', (SELECT abs(count(*) - 13000) FROM stock_days WHERE formula_input_valid)
@@ -680,4 +681,4 @@ SELECT "check", violations = 0 AS passed, violations FROM (
   UNION ALL SELECT 'close_same', 0
   UNION ALL SELECT 'close_changed', count(*) FROM stock_days WHERE code % 500 = 3)""")
 ORACLE_SQL["ordered_output"] = with_views(
-    ["stock_days"], "SELECT date, code, half FROM stock_days WHERE known_no_trade ORDER BY date, code")
+    ["stock_days"], "SELECT date, code, half FROM stock_days WHERE known_unfilled ORDER BY date, code")

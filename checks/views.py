@@ -10,7 +10,7 @@ SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS code,
   CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 + 1 AS INTEGER) AS next_date,
   known5, known15, known5 AND o_orderkey % 7 <> 0 AS sensitive_known5,
   known15 AND o_orderkey % 7 <> 0 AS sensitive_known15,
-  o_orderstatus = 'P' AND o_orderkey % 3 = 0 AS known_no_trade,
+  o_orderstatus = 'P' AND o_orderkey % 3 = 0 AS known_unfilled,
   CASE WHEN known5 THEN CAST(o_totalprice > 200000 AS DOUBLE) END AS opportunity5,
   CASE WHEN known15 THEN CAST(o_totalprice > 250000 AS DOUBLE) END AS opportunity15,
   CASE WHEN known5 THEN CAST(o_totalprice > 300000 AS DOUBLE) END AS one_percent5,
@@ -290,7 +290,7 @@ FROM (
   GROUP BY date, code, next_date, entry_price, entry_cost)
 """
 
-VIEWS["traded_days"] = """
+VIEWS["active_days"] = """
 SELECT date, code, high, low, close, preclose, row_number() OVER (PARTITION BY code ORDER BY date) AS seat,
   adjustflag IS NOT DISTINCT FROM 3 AND coalesce(volume, 0) > 0
     AND len(list_filter([open, high, low, close], lambda p: p > 0 AND abs(p - round(p, 2)) <= 0.0001)) = 4
@@ -298,14 +298,14 @@ SELECT date, code, high, low, close, preclose, row_number() OVER (PARTITION BY c
     AND coalesce(list_min([open, high, low, close]) >= low - 0.0001, false) AS sound
 FROM daily WHERE tradestatus = 1"""
 
-# Each traded day beside the traded day in the seat before it.
+# Each active day beside the active day in the seat before it.
 VIEWS["day_changes"] = """
 SELECT d.*, e.close AS prior_close, d.sound AND coalesce(e.sound, false) AND coalesce(d.preclose > 0, false) AS comparable,
   list_max([d.high - d.low, abs(d.high - e.close), abs(e.close - d.low)]) AS span,
   list_max([d.high - d.low, abs(d.high - d.preclose), abs(d.preclose - d.low)]) AS span_official
-FROM traded_days d LEFT JOIN traded_days e ON e.code = d.code AND e.seat = d.seat - 1"""
+FROM active_days d LEFT JOIN active_days e ON e.code = d.code AND e.seat = d.seat - 1"""
 
-# Each traded day against the days in the 21 seats before it.
+# Each active day against the days in the 21 seats before it.
 VIEWS["states"] = """
 SELECT d.date, d.code, any_value(d.close) AS close, any_value(d.preclose) AS preclose, any_value(d.prior_close) AS prior_close,
   any_value(d.comparable) AS reference_good,
@@ -370,7 +370,7 @@ NEEDS = {
     "scaled_tail": ["day_features", "tail_features"], "index_features": ["day_features", "index_bars"],
     "relative_features": ["index_features"], "turnover": ["day_bars", "shares", "tail_features"],
     "good_bars": ["bars"], "flawed": ["bars"], "flawed_good": ["flawed"], "morning": ["good_bars"], "morning_features": ["day_context", "morning"],
-    "clock_guard": ["bars"], "entries": ["bars"], "watched_labels": ["entries"], "traded_days": ["daily"], "day_changes": ["traded_days"], "states": ["day_changes"],
+    "clock_guard": ["bars"], "entries": ["bars"], "watched_labels": ["entries"], "active_days": ["daily"], "day_changes": ["active_days"], "states": ["day_changes"],
     "rebuilt": ["states"], "encoded": ["features"], "training_rows": ["encoded"],
 }
 

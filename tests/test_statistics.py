@@ -13,11 +13,11 @@ from barlab.operators.grouping import exact_quantiles, frame_difference, with_da
 DAY = dt.date(2025, 1, 2)
 
 
-def two_list_rows(spark, left, right, known, opportunity, no_trade=None):
-    no_trade = no_trade or [False] * len(left)
-    rows = [(DAY, str(i), *r) for i, r in enumerate(zip(left, right, known, opportunity, no_trade))]
+def two_list_rows(spark, left, right, known, opportunity, unfilled=None):
+    unfilled = unfilled or [False] * len(left)
+    rows = [(DAY, str(i), *r) for i, r in enumerate(zip(left, right, known, opportunity, unfilled))]
     df = spark.createDataFrame(
-        rows, "date date, code string, left boolean, right boolean, known15 boolean, opportunity15 double, known_no_trade boolean")
+        rows, "date date, code string, left boolean, right boolean, known15 boolean, opportunity15 double, known_unfilled boolean")
     out = compare.coupled_bounds(df, [(15, False, "opportunity", "opportunity")]).collect()
     assert len(out) == 1
     return out[0]
@@ -33,7 +33,7 @@ def test_shared_unknown_with_unequal_weight_cancels_partly(spark):
     assert (r["lower"], r["upper"], r["unknown_weight"]) == (0, 0.5, 0.5)
 
 
-def test_unshared_unknown_and_no_trade_keep_the_denominator(spark):
+def test_unshared_unknown_and_unfilled_keep_the_denominator(spark):
     r = two_list_rows(spark, [True, True, False], [False, False, True], [False, False, True], [None, None, 1.0],
                       [False, True, False])
     assert (r["lower"], r["upper"], r["left_rows"], r["right_rows"]) == (-1, -0.5, 2, 1)
@@ -42,7 +42,7 @@ def test_unshared_unknown_and_no_trade_keep_the_denominator(spark):
 def test_day_without_one_side_is_listed_not_bounded(spark):
     df = spark.createDataFrame(
         [(DAY, "a", True, False, True, 1.0, False)],
-        "date date, code string, left boolean, right boolean, known15 boolean, opportunity15 double, known_no_trade boolean")
+        "date date, code string, left boolean, right boolean, known15 boolean, opportunity15 double, known_unfilled boolean")
     assert compare.coupled_bounds(df, [(15, False, "opportunity", "opportunity")]).count() == 0
     assert compare.day_coverage(df).first()["coverage"] == "left_only"
 
@@ -52,16 +52,16 @@ def label_rows(spark, n=400, days=7, seed=3):
     rows = []
     for i in range(n):
         known = bool(g.random() < 0.7)
-        no_trade = bool(not known and g.random() < 0.5)
+        unfilled = bool(not known and g.random() < 0.5)
         v = lambda p: float(g.random() < p) if known else None
         # One day holds half of the rows.
         day = DAY + dt.timedelta(days=0 if g.random() < 0.5 else int(g.integers(1, days)))
         mark = float(g.normal(0, 0.02)) if known and g.random() < 0.9 else None
-        rows.append((day, i, known, bool(known and g.random() < 0.8), no_trade, v(0.5), v(0.3), v(0.6), mark,
+        rows.append((day, i, known, bool(known and g.random() < 0.8), unfilled, v(0.5), v(0.3), v(0.6), mark,
                      float(-abs(g.normal(0, 0.03))) if known else None, bool(g.random() < 0.3)))
-    names = ("date code known15 sensitive_known15 known_no_trade opportunity15 one_percent15 any_opportunity15 "
+    names = ("date code known15 sensitive_known15 known_unfilled opportunity15 one_percent15 any_opportunity15 "
              "mark_0959_return15 adverse_return15 selected").split()
-    types = "date date, code long, known15 boolean, sensitive_known15 boolean, known_no_trade boolean, " + \
+    types = "date date, code long, known15 boolean, sensitive_known15 boolean, known_unfilled boolean, " + \
         ", ".join(f"{c} double" for c in names[5:10]) + ", selected boolean"
     return spark.createDataFrame(rows, types), pd.DataFrame(rows, columns=names)
 
@@ -75,8 +75,8 @@ def test_daily_counts_match_a_row_by_row_count(spark, sensitive):
     for day, g in pdf.groupby("date"):
         k = g.sensitive_known15 if sensitive else g.known15
         row = got.loc[day]
-        unknown = (~k & ~g.known_no_trade).sum()
-        assert (row.rows, row.known, row.unknown, row.no_trade) == (len(g), k.sum(), unknown, g.known_no_trade.sum())
+        unknown = (~k & ~g.known_unfilled).sum()
+        assert (row.rows, row.known, row.unknown, row.unfilled) == (len(g), k.sum(), unknown, g.known_unfilled.sum())
         success = (k & (g.opportunity15 == 1)).sum()
         assert row.success == success and row.lower == success / len(g) and row.upper == (success + unknown) / len(g)
         if k.sum():
