@@ -97,14 +97,16 @@ def test_model_must_name_the_declared_features():
     assert model.bind(e, FEATURES) is e
 
 
-def test_extra_declared_feature_decides_the_selection(spark):
-    names = tuple(f"X{i:02d}" for i in range(50)) + ("EXTRA",)
-    tree = model.Tree((50, -1, -1), (10000.0, 0.0, 0.0), (1, -1, -1), (2, -1, -1), (0.0, -1.0, 1.0))
-    rows = [(dt.date(2024, 1, 2), c, True, *[0.0] * 50, x) for c, x in (("a", -1.0), ("b", 1.0))]
+def test_a_tree_reads_the_feature_at_its_declared_place(spark):
+    names = tuple(f"V{i}" for i in range(7))
+    rows = [(dt.date(2022, 5, 9), f"{c}", True, *[float(c == i) for i in range(7)]) for c in range(8)]
     schema = "date date, code string, formula_input_valid boolean, " + ", ".join(f"{n} double" for n in names)
-    scored = model.score(model.encode(spark.createDataFrame(rows, schema), names), model.Ensemble(0.0, 0.05, names, (tree,)))
-    out = {r["code"]: r["selected"] for r in selection.select_fixed(scored, 0.0).collect()}
-    assert out == {"a": False, "b": True}
+    coded = model.encode(spark.createDataFrame(rows, schema), names)
+    for place in (0, 3, 6):
+        tree = model.Tree((place, -1, -1), (10050.0, 0.0, 0.0), (1, -1, -1), (2, -1, -1), (0.0, 2.0, 8.0))
+        scored = model.score(coded, model.Ensemble(1.0, 0.5, names, (tree,)))
+        assert {r["code"]: r["score"] for r in scored.collect()} == {str(c): 5.0 if c == place else 2.0 for c in range(8)}
+        assert [r["code"] for r in selection.select_fixed(scored, 4.0).collect() if r["selected"]] == [str(place)]
 
 
 def test_trees_survive_their_table(spark):

@@ -11,23 +11,28 @@ from barlab.operators import contracts
 from barlab.sources import tables as src
 
 
-def test_case_distinct_columns(spark, tmp_path):
-    pd.DataFrame({"ip01": [2968.56], "IP01": [0.08], "IP02": [-0.22]}).to_parquet(tmp_path / "f.parquet")
-    df = src.case_distinct(spark, str(tmp_path / "f.parquet"), {"IP01": "first", "IP02": "second", "ip01": "raw"})
-    joined = spark.createDataFrame([(0.08,)], "first double").join(df, "first")
-    r = joined.first()
-    assert (r["first"], r["second"], r["raw"]) == (0.08, -0.22, 2968.56)
+def test_columns_that_differ_by_case_keep_their_own_values(spark, tmp_path):
+    names = ["load", "Load", "LOAD", "other"]
+    pd.DataFrame([[i * 10 + k for k in range(4)] for i in range(5)], columns=names).to_parquet(tmp_path / "cases.parquet")
+    wanted = {"Load": "b", "LOAD": "c", "load": "a", "other": "d"}
+    df = src.case_distinct(spark, str(tmp_path / "cases.parquet"), wanted)
+    rows = df.join(spark.createDataFrame([(21,), (41,)], "b long"), "b").orderBy("a").collect()
+    assert [(r["a"], r["b"], r["c"], r["d"]) for r in rows] == [(20, 21, 22, 23), (40, 41, 42, 43)]
     assert spark.conf.get("spark.sql.caseSensitive") == "false"
-    assert contracts.case_collisions(["ip01", "IP01", "IP02"]) == ["IP01", "ip01"]
+    assert contracts.case_collisions(names) == ["LOAD", "Load", "load"]
 
 
-def test_identity_comes_from_exchange_folder_and_file(spark):
-    ok = spark.createDataFrame([("a/SH/000001.parquet",), ("b/root/SZ/000001.parquet",)], "path string")
-    assert {r["code"] for r in src.source_mapping(ok).collect()} == {"sh.000001", "sz.000001"}
-    with pytest.raises(contracts.ContractError, match="ambiguous"):
-        src.source_mapping(spark.createDataFrame([("one/SH/600001.parquet",), ("two/SH/600001.parquet",)], "path string"))
+@pytest.mark.parametrize(("paths", "codes"), [
+    (["x/y/SZ/300999.parquet", "q/SH/688123.parquet"], {"sz.300999", "sh.688123"}), (["w/SH/601111.parquet"], {"sh.601111"})])
+def test_identity_is_folder_and_file(spark, paths, codes):
+    found = src.source_mapping(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert {r["code"] for r in found.collect()} == codes
+
+
+@pytest.mark.parametrize("paths", [["u/SZ/002222.parquet", "v/SZ/002222.parquet"], ["u/NY/002222.parquet"], ["u/SH/readme.parquet"]])
+def test_identity_refuses_twice_named_and_unknown(spark, paths):
     with pytest.raises(contracts.ContractError):
-        src.source_mapping(spark.createDataFrame([("one/HK/600001.parquet",)], "path string"))
+        src.source_mapping(spark.createDataFrame([(p,) for p in paths], "path string"))
 
 
 def test_entity_scan_reads_all_codes_at_once(spark, tmp_path):

@@ -1,6 +1,7 @@
 """Lists, bounds, ranks and intervals against hand values and brute force."""
 
 import datetime as dt
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -13,30 +14,36 @@ from barlab.operators.grouping import exact_quantiles, frame_difference, with_da
 DAY = dt.date(2025, 1, 2)
 
 
-def two_list_rows(spark, left, right, known, opportunity, unfilled=None):
-    unfilled = unfilled or [False] * len(left)
-    rows = [(DAY, str(i), *r) for i, r in enumerate(zip(left, right, known, opportunity, unfilled))]
+def bounds_of(spark, rows):
+    """rows: (left, right, known, outcome) of one day."""
     df = spark.createDataFrame(
-        rows, "date date, code string, left boolean, right boolean, known15 boolean, opportunity15 double, known_unfilled boolean")
+        [(DAY, f"s{i}", *r, False) for i, r in enumerate(rows)],
+        "date date, code string, left boolean, right boolean, known15 boolean, opportunity15 double, known_unfilled boolean")
     out = compare.coupled_bounds(df, [(15, False, "opportunity", "opportunity")]).collect()
     assert len(out) == 1
     return out[0]
 
 
-def test_identical_lists_cancel_with_all_unknown(spark):
-    r = two_list_rows(spark, [True, True], [True, True], [False, False], [None, None])
-    assert r["lower"] == r["upper"] == 0 and r["shared_unknown"] == 2
-
-
-def test_shared_unknown_with_unequal_weight_cancels_partly(spark):
-    r = two_list_rows(spark, [True, True], [True, False], [False, True], [None, 1.0])
-    assert (r["lower"], r["upper"], r["unknown_weight"]) == (0, 0.5, 0.5)
+def every_difference(rows):
+    """Difference of the two lists' rates under every way to settle the unknown rows."""
+    unknown = [i for i, r in enumerate(rows) if not r[2]]
+    for bits in itertools.product((0.0, 1.0), repeat=len(unknown)):
+        settled = dict(zip(unknown, bits))
+        value = lambda i: rows[i][3] if rows[i][2] else settled[i]
+        rate = lambda side: np.mean([value(i) for i, r in enumerate(rows) if r[side]])
+        yield rate(0) - rate(1)
 
 
-def test_unshared_unknown_and_unfilled_keep_the_denominator(spark):
-    r = two_list_rows(spark, [True, True, False], [False, False, True], [False, False, True], [None, None, 1.0],
-                      [False, True, False])
-    assert (r["lower"], r["upper"], r["left_rows"], r["right_rows"]) == (-1, -0.5, 2, 1)
+@pytest.mark.parametrize("seed", range(8))
+def test_bounds_are_the_extremes_over_all_completions(spark, seed):
+    g, rows = np.random.default_rng(seed), [(True, True, False, None), (False, True, True, 1.0)]
+    for _ in range(9):
+        known = bool(g.random() < 0.5)
+        rows.append((bool(g.random() < 0.6), bool(g.random() < 0.6), known, float(g.random() < 0.4) if known else None))
+    got, want = bounds_of(spark, rows), list(every_difference(rows))
+    assert got["lower"] == pytest.approx(min(want)) and got["upper"] == pytest.approx(max(want))
+    assert got["left_rows"] == sum(r[0] for r in rows) and got["right_rows"] == sum(r[1] for r in rows)
+    assert got["shared_unknown"] == sum(r[0] and r[1] and not r[2] for r in rows)
 
 
 def test_day_without_one_side_is_listed_not_bounded(spark):
@@ -114,15 +121,20 @@ def test_auc_matches_all_pairs_with_ties(spark, bands):
         assert out.y_auc[day] == pytest.approx(wins / (2 * pairs))
 
 
-def test_ordinal_auc_hand_rows_and_undefined_days(spark):
-    pdf = pd.DataFrame({"date": [DAY] * 6, "score": [2., 1, 1, 3, 0, 2], "utility": [1, 0, -3, -3, 0, 1]})
-    pairs = [(i, j) for i in range(6) for j in range(6) if pdf.utility[i] > pdf.utility[j]]
-    wins = sum(2 if pdf.score[i] > pdf.score[j] else pdf.score[i] == pdf.score[j] for i, j in pairs)
-    r = ranking.ordinal_auc(spark.createDataFrame(pdf)).first()
-    assert (r["utility_pairs"], r["utility_numerator2"]) == (len(pairs), wins)
-    one = pd.DataFrame({"date": [DAY, DAY], "score": [1., 2.], "utility": [1, 1]})
-    r = ranking.ordinal_auc(spark.createDataFrame(one)).first()
-    assert r["rows"] == 2 and r["utility_pairs"] == 0 and r["utility_auc"] is None
+@pytest.mark.parametrize("seed", [13, 14, 15])
+def test_ordinal_auc_of_random_utilities(spark, seed):
+    g = np.random.default_rng(seed)
+    utility, score = g.choice([-3, 0, 1], 45), g.integers(0, 9, 45) / 2
+    better = [(i, j) for i in range(45) for j in range(45) if utility[i] > utility[j]]
+    wins = sum(1 + np.sign(score[i] - score[j]) for i, j in better)
+    r = ranking.ordinal_auc(spark.createDataFrame(pd.DataFrame({"date": [DAY] * 45, "score": score, "utility": utility}))).first()
+    assert (r["utility_pairs"], r["utility_numerator2"]) == (len(better), wins)
+
+
+def test_ordinal_auc_of_a_day_with_one_utility(spark):
+    flat = pd.DataFrame({"date": [DAY] * 4, "score": [4.5, 4.5, 7.0, -2.0], "utility": [-3] * 4})
+    r = ranking.ordinal_auc(spark.createDataFrame(flat)).first()
+    assert (r["rows"], r["utility_pairs"], r["utility_auc"]) == (4, 0, None)
 
 
 @pytest.mark.parametrize("bands", [1, 7])
