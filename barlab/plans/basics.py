@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -54,16 +53,14 @@ def view_chain(spark, sf):
                         FROM barlab_sales GROUP BY c_mktsegment, year""")
 
 
-PERIOD_SOURCES = (("1995-01-01", "1997-01-01"), ("1997-01-01", "1998-07-01"), ("1998-07-01", "2000-01-01"))
+PERIOD_SOURCES = (("1990-01-01", "1997-01-01"), ("1997-01-01", "1998-07-01"), ("1998-07-01", "2020-01-01"))
 
 
 def multi_period_scan(spark, sf):
     parts = [{"file": f"{sf}/lineitem.parquet", "first": a, "end": b} for a, b in PERIOD_SOURCES]
-    columns = ["l_suppkey", "l_shipdate", "l_quantity"]
-    rows = reduce(lambda x, y: x.unionByName(y), [
-        src.scan(spark, p["file"], columns, p["first"], p["end"], date="l_shipdate") for p in parts])
+    rows = src.multi_period(spark, parts, ["l_suppkey", "l_shipdate", "l_quantity"], date="l_shipdate")
     return rows.groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(
-        F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("decimal(8,2)")).cast("double").alias("quantity"))
+        F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("decimal(14,2)")).cast("double").alias("quantity"))
 
 
 def _extracts(spark, sf):
@@ -209,7 +206,7 @@ def lagged_rows(spark, sf):
     """
     d = table(spark, sf, "lineitem").groupBy(
         F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("date")).agg(
-        F.sum(F.col("l_quantity").cast("decimal(8,2)")).cast("double").alias("quantity"),
+        F.sum(F.col("l_quantity").cast("decimal(14,2)")).cast("double").alias("quantity"),
         F.bool_or(F.col("l_returnflag") != "R").alias("returned"))
     w = Window.partitionBy("code").orderBy("date")
     prior = w.rowsBetween(-20, -1)
@@ -298,28 +295,11 @@ def frame_equality(spark, sf):
 
 def ordered_output(spark, sf):
     """Canonical output order by day and key."""
-    return stock_days(spark, sf).where("known_unfilled").select("date", "code", "half").orderBy("date", "code")
-
-
-def path_identity(spark, sf):
-    """Files of the table folder with a code from path; none of them follows the exchange layout."""
-    files = src.with_identity(src.file_listing(spark, sf))
-    return files.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("file"), "length",
-                        F.col("code").isNotNull().alias("has_identity"))
-
-
-def fingerprint_check(spark, sf):
-    """Every table file digested and compared with a manifest, one entry of which is wrong."""
-    found = src.fingerprints(src.file_listing(spark, sf))
-    manifest = found.select("path", F.when(F.col("path").contains("region"), F.lit("0" * 64))
-                            .otherwise(F.col("sha256")).alias("sha256"))
-    return src.fingerprint_check(found, manifest).select(
-        F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("file"), "present", "matches")
+    return stock_days(spark, sf).select("date", "code", "half").orderBy("date", "code")
 
 
 QUERIES = {f.__name__: f for f in (
     scan_columns, date_range_scan, sql_scan, view_chain, multi_period_scan, stitch_sources, overlap_check,
     frame_surplus, membership_filter, null_handling, candidate_filter, left_join_lines, one_to_one_join,
     keyed_lookup, filtered_counts, table_extent, flag_aggregates, extreme_rows, list_sizes, centred_values,
-    lagged_rows, scalar_functions, dense_codes, key_gate, count_identity, frame_equality, ordered_output,
-    path_identity, fingerprint_check)}
+    lagged_rows, scalar_functions, dense_codes, key_gate, count_identity, frame_equality, ordered_output)}

@@ -89,7 +89,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     cents = lambda x: F.floor(x * 100 + 0.5) / 100
-    money = lambda c: F.sum(F.col(c).cast("decimal(8,2)")).cast("double")
+    money = lambda c: F.sum(F.col(c).cast("decimal(14,2)")).cast("double")
     bars = li.groupBy(F.to_date("l_shipdate").alias("date"), F.col("l_suppkey").alias("code")).agg(
         cents(money("l_extendedprice") / money("l_quantity")).alias("close"),
         cents(F.max(unit)).alias("high"), cents(F.min(unit)).alias("low"),
@@ -114,7 +114,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min_by("value", "ts").alias("open"), F.max("value").alias("high"),
         F.min("value").alias("low"), F.max_by("value", "ts").alias("close"),
         F.count(F.lit(1)).alias("volume"),
-        F.sum(F.col("value").cast("decimal(8,2)")).cast("double").alias("amount"))
+        F.sum(F.col("value").cast("decimal(14,2)")).cast("double").alias("amount"))
 
 
 # Hourly stand-ins for the minute clocks: slot 14 is the decision bar.
@@ -147,7 +147,7 @@ FEATURES = ("F1", "F2", "F3", "F4", "F5", "F6")
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model inputs per supplier-day on a scale of about -1 to 1, some rows invalid."""
     li = table(spark, sf_dir, "lineitem")
-    total = lambda c: F.sum(F.col(c).cast("decimal(8,2)")).cast("double")
+    total = lambda c: F.sum(F.col(c).cast("decimal(14,2)")).cast("double")
     n = F.count(F.lit(1))
     g = li.groupBy(F.to_date("l_shipdate").alias("date"), F.col("l_suppkey").alias("code")).agg(
         (total("l_quantity") / n / 25 - 1).alias("F1"),

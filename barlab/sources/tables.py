@@ -38,9 +38,10 @@ def as_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def multi_period(spark: SparkSession, sources: Sequence[Mapping[str, str]], columns: Sequence[str]) -> DataFrame:
+def multi_period(spark: SparkSession, sources: Sequence[Mapping[str, str]], columns: Sequence[str],
+                 date: str = "date") -> DataFrame:
     """Concatenate the declared date range of several files: items have file, first, end."""
-    parts = [scan(spark, s["file"], columns, s["first"], s["end"]) for s in sources]
+    parts = [scan(spark, s["file"], columns, s["first"], s["end"], date=date) for s in sources]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -101,9 +102,10 @@ def identity_problems(files: DataFrame, path: str = "path") -> DataFrame:
 
 def source_mapping(files: DataFrame, path: str = "path") -> DataFrame:
     """(code, path), refused as a whole when any identity is ambiguous or malformed."""
-    bad = identity_problems(files, path).limit(5).collect()
-    if bad:
-        raise ContractError("ambiguous source: " + ", ".join(str(r["first_path"]) for r in bad))
+    bad = identity_problems(files, path).agg(
+        F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_set("first_path")), 1, 5).alias("some")).first()
+    if bad["n"]:
+        raise ContractError(f"ambiguous source: {bad['n']} in all, as " + ", ".join(bad["some"]))
     return with_identity(files, path).select("code", path)
 
 

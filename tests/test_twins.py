@@ -7,7 +7,7 @@ from checks.compare import connect, difference
 from checks.oracle import ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"fit_boosted", "path_identity", "fingerprint_check"}
+ROWS_ONLY = {"fit_boosted"}
 
 
 @pytest.fixture(scope="module")
