@@ -175,11 +175,12 @@ def clock_guard(bars: DataFrame, clocks: Clocks) -> DataFrame:
     ).withColumn("clock_ok", F.col("has_decision") & (F.col("matched_clocks") == n) & (F.col("bars_before") == n))
 
 
-def price_path(bars: DataFrame, clocks: Clocks, chunk_rows: int = 100_000) -> DataFrame:
+def price_path(bars: DataFrame, clocks: Clocks, context: DataFrame, chunk_rows: int = 100_000) -> DataFrame:
     """Closes of the last bars in cents, relative to the decision close, with a validity flag.
 
     Slots rise strictly within a day, so the clocks in between are complete when the
-    oldest bar of the path carries the clock that many minutes earlier.
+    oldest bar of the path carries the clock that many minutes earlier. ``context`` has each
+    code-day's ``vp20``, which must be positive for a path to count.
     """
     n = clocks.path
     w = chunk_window("code")
@@ -196,7 +197,10 @@ def price_path(bars: DataFrame, clocks: Clocks, chunk_rows: int = 100_000) -> Da
     return at.select(
         "code", "date", "close_cents", F.lit(0).cast("long").alias("path_00"),
         *[(F.col(f"_c{k}") - F.col("close_cents")).alias(f"path_{k:02d}") for k in range(1, n)],
-        "good_bars", (in_order & (F.col("good_bars") == n) & (F.col("close_cents") > 0)).alias("path_ok"))
+        "good_bars", (in_order & (F.col("good_bars") == n) & (F.col("close_cents") > 0)).alias("_bars_ok")).join(
+        context.select("code", "date", "vp20"), ["code", "date"], "left").select(
+        "code", "date", "close_cents", *[f"path_{k:02d}" for k in range(n)], "good_bars",
+        (F.col("_bars_ok") & flag(F.col("vp20") > 0)).alias("path_ok"))
 
 
 # --- day quantities ----------------------------------------------------------------
@@ -246,16 +250,20 @@ def day_context(day: DataFrame) -> DataFrame:
     })
 
 
+def with_official_close(days: DataFrame, official: DataFrame) -> DataFrame:
+    """Adds the official prior close of a (date, code, preclose) table, which on days with a reset is not the last
+    close; NULL where the table has none."""
+    return days.join(official.select("code", "date", "preclose"), ["code", "date"], "left")
+
+
 def change(a: Column, b: Column) -> Column:
     """Percent move from b to a."""
     return 100 * (ratio(a, b) - 1)
 
 
 def day_features(context: DataFrame, clocks: Clocks) -> DataFrame:
-    """Features that need only day quantities. ``preclose`` defaults to the previous close."""
+    """Features that need only day quantities; ``preclose`` is the day's official prior close."""
     c = F.col
-    if "preclose" not in context.columns:
-        context = context.withColumn("preclose", c("dcp1"))
     scaled = lambda x: ratio(x, c("vp20"))
     out = {
         "NA01": scaled(change(c("q"), c("preclose"))),
@@ -429,9 +437,9 @@ ALL_FEATURES = (DAY_FEATURES + TAIL_FEATURES + INDEX_FEATURES + RELATIVE_FEATURE
                 + TURNOVER_FEATURES + MORNING_FEATURES)
 
 
-def feature_table(bars: DataFrame, index_bars: DataFrame, shares: DataFrame, clocks: Clocks) -> DataFrame:
-    """All fifty features on every decided code-day, with the clock guard."""
-    days = day_features(day_context(day_bars(bars, clocks)), clocks)
+def feature_table(bars: DataFrame, index_bars: DataFrame, shares: DataFrame, official: DataFrame, clocks: Clocks) -> DataFrame:
+    """All fifty features on every decided code-day, with the clock guard. ``official``: date, code, preclose."""
+    days = day_features(with_official_close(day_context(day_bars(bars, clocks)), official), clocks)
     days = days.join(tail_features(bars, clocks), ["code", "date"], "left")
     days = scale_tail(days)
     days = relative_features(index_features(days, index_days(index_bars, clocks)))

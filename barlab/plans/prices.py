@@ -47,20 +47,32 @@ def bar_day_context(spark, sf):
     return tidied(bars.day_context(bars.day_bars(bar_table(spark, sf), HOURLY)), 7)
 
 
+def official_closes(days):
+    """A table of official prior closes for days with context: some reset, some missing."""
+    dom = F.dayofmonth("date")
+    return days.where(dom % 11 != 5).select(
+        "code", "date", F.when(dom % 7 == 3, F.col("dcp1") * 0.9).otherwise(F.col("dcp1")).alias("preclose"))
+
+
+def _featured_days(b):
+    days = bars.day_context(bars.day_bars(b, HOURLY))
+    return bars.day_features(bars.with_official_close(days, official_closes(days)), HOURLY)
+
+
 def bar_features_daily(spark, sf):
-    days = bars.day_features(bars.day_context(bars.day_bars(bar_table(spark, sf), HOURLY)), HOURLY)
+    days = _featured_days(bar_table(spark, sf))
     return tidied(days.select("date", "code", *bars.DAY_FEATURES), 7)
 
 
 def bar_features_intraday(spark, sf):
     b = bar_table(spark, sf)
-    days = bars.day_features(bars.day_context(bars.day_bars(b, HOURLY)), HOURLY)
+    days = _featured_days(b)
     tail = bars.scale_tail(bars.tail_features(b, HOURLY).join(days, ["code", "date"]))
     return tidied(tail.select("date", "code", *bars.TAIL_FEATURES), 7)
 
 
 def index_relative_features(spark, sf):
-    days = bars.day_features(bars.day_context(bars.day_bars(bar_table(spark, sf), HOURLY)), HOURLY)
+    days = _featured_days(bar_table(spark, sf))
     out = bars.relative_features(bars.index_features(days, bars.index_days(index_bars(spark, sf), HOURLY)))
     return tidied(out.select("date", "code", *bars.INDEX_FEATURES, *bars.RELATIVE_FEATURES), 6)
 
@@ -98,11 +110,13 @@ def bar_quality(spark, sf):
 
 
 def price_path(spark, sf):
-    return bars.price_path(_flawed(spark, sf), HOURLY)
+    return bars.price_path(_flawed(spark, sf), HOURLY, bars.day_context(bars.day_bars(bar_table(spark, sf), HOURLY)))
 
 
 def feature_table(spark, sf):
-    out = bars.feature_table(bar_table(spark, sf), index_bars(spark, sf), shares(spark, sf), HOURLY)
+    b = bar_table(spark, sf)
+    official = official_closes(bars.day_context(bars.day_bars(b, HOURLY)))
+    out = bars.feature_table(b, index_bars(spark, sf), shares(spark, sf), official, HOURLY)
     return tidied(out, 6)
 
 

@@ -464,16 +464,17 @@ ORACLE_SQL["clock_guard"] = with_views(["clock_guard"], "SELECT * FROM clock_gua
 ORACLE_SQL["bar_quality"] = with_views(["flawed_good"], """
 SELECT code, date, count(*) AS bars, count(*) FILTER (NOT good) AS bad_bars, bool_and(good) AS all_good,
   bool_or(volume > 1) AS any_busy_bar FROM flawed_good GROUP BY code, date""")
-ORACLE_SQL["price_path"] = with_views(["flawed"], f"""
-SELECT code, date, c0 AS close_cents, CAST(0 AS BIGINT) AS path_00,
+ORACLE_SQL["price_path"] = with_views(["flawed", "day_context"], f"""
+SELECT o.code, o.date, c0 AS close_cents, CAST(0 AS BIGINT) AS path_00,
   {', '.join(f'c{k} - c0 AS path_0{k}' for k in range(1, 6))}, good_bars,
-  coalesce(slot0 = 9 AND date0 = date, false) AND good_bars = 6 AND c0 > 0 AS path_ok
+  coalesce(slot0 = 9 AND date0 = o.date, false) AND good_bars = 6 AND c0 > 0 AND coalesce(vp20 > 0, false) AS path_ok
 FROM (
   SELECT *, {', '.join(f'lag(c0, {k}) OVER c AS c{k}' for k in range(1, 6))}, lag(slot, 5) OVER c AS slot0,
     lag(date, 5) OVER c AS date0,
     count(*) FILTER (close > 0 AND abs(close * 100 - round(close * 100)) <= 0.01) OVER (c ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS good_bars
   FROM (SELECT *, CAST(round(close * 100) AS BIGINT) AS c0 FROM flawed)
-  WINDOW c AS (PARTITION BY code ORDER BY date, slot))
+  WINDOW c AS (PARTITION BY code ORDER BY date, slot)) o
+LEFT JOIN (SELECT code, date, vp20 FROM day_context) v ON v.code = o.code AND v.date = o.date
 WHERE slot = 14""")
 ALLF = [*DAYF, *TAILF, *IDXF, "S01", "S02", "S03", "AMHD", "AMLD"]
 ORACLE_SQL["feature_table"] = with_views(

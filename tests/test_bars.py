@@ -39,7 +39,10 @@ def table(spark, minute):
     df = spark.createDataFrame(minute)
     index = df.groupBy("date", "slot").agg((F.avg("close") * 300).alias("index_close"))
     shares = df.select("code", "date").distinct().withColumn("float_shares", F.lit(5e8) + F.dayofmonth("date") * 1e6)
-    return B.feature_table(df, index, shares, CLOCKS).toPandas()
+    # The official prior close differs from the last close on the last day, as after a reset.
+    days = B.day_context(B.day_bars(df, CLOCKS)).select("code", "date", "dcp1")
+    official = days.select("code", "date", F.when(F.col("date") == F.lit(DAYS[-1]), F.col("dcp1") * 0.8).otherwise(F.col("dcp1")).alias("preclose"))
+    return B.feature_table(df, index, shares, official, CLOCKS).toPandas()
 
 
 def test_fifty_features_and_the_clock_list(table):
@@ -62,6 +65,7 @@ def test_feature_values(table, minute):
     earlier = days.iloc[:-1]
     q, c1 = own.close[i], earlier.close.iloc[-1]
     vp20 = 100 * tr.iloc[-21:-1].mean() / c1
+    official = c1 * 0.8
     today = own[(own.date == day) & (own.slot <= 1449)]
     at = lambda s: own.close[(own.date == day) & (own.slot == s)].iloc[0]
     t = back(29)
@@ -73,7 +77,7 @@ def test_feature_values(table, minute):
     index = minute.groupby(["date", "slot"]).close.mean() * 300
     iclose = index.groupby("date").last()
     want = {
-        "NA01": 100 * (q / c1 - 1) / vp20, "NA03": 100 * (q / days.open.iloc[-1] - 1) / vp20,
+        "NA01": 100 * (q / official - 1) / vp20, "NA03": 100 * (q / days.open.iloc[-1] - 1) / vp20,
         "NA05": 100 * (q / at(1420) - 1) / vp20, "NA07": 100 * (at(1420) / at(1301) - 1) / vp20,
         "A08": t.volume.sum() / back(29, 29).volume.sum(), "A09": back(14).volume.sum() / back(14, 14).volume.sum(),
         "A10": (back(4).volume.sum() / 4) / ((t.volume.sum() - back(4).volume.sum()) / 25),
@@ -82,7 +86,7 @@ def test_feature_values(table, minute):
         "NA14": 100 * (q / (back(4).amount.sum() / (100 * back(4).volume.sum())) - 1) / vp20,
         "A15": 100 * signed / t.volume.sum(), "A16": 100 * (up > 0).sum() / 29,
         "A17": 100 * t.volume.max() / t.volume.sum(), "NA18": 100 * (q / back(109).high.max() - 1) / vp20,
-        "NA19": 100 * (back(109).high.max() - back(109).low.min()) / c1 / vp20,
+        "NA19": 100 * (back(109).high.max() - back(109).low.min()) / official / vp20,
         "A20": 100 * abs(np.log(q / own.close[i - 29])) / max(logs, 1e-6),
         "ND02": 100 * (c1 / earlier.close.iloc[-21] - 1) / vp20, "ND03": 100 * (q / earlier.close.iloc[-5:].mean() - 1) / vp20,
         "C01": 100 * (q - today.low.min()) / max(today.high.max() - today.low.min(), 0.01),
@@ -95,7 +99,7 @@ def test_feature_values(table, minute):
         "S03": 10000 * t.volume.sum() / (5e8 + 23e6),
         "AMHD": 100 * (q / morning.high.max() - 1) / vp20, "AMLD": 100 * (q / morning.low.min() - 1) / vp20,
     }
-    want["R01"] = (100 * (q / c1 - 1) - want["J01"]) / vp20
+    want["R01"] = (100 * (q / official - 1) - want["J01"]) / vp20
     got = table[(table.code == code) & (table.date == day)].iloc[0]
     for name, value in want.items():
         assert got[name] == pytest.approx(value, rel=1e-9, abs=1e-9), name
@@ -109,7 +113,8 @@ def test_missing_clock_fails_the_guard(spark, minute):
 
 
 def test_price_path(spark, minute):
-    r = B.price_path(spark.createDataFrame(minute), CLOCKS).where(
+    bars = spark.createDataFrame(minute)
+    r = B.price_path(bars, CLOCKS, B.day_context(B.day_bars(bars, CLOCKS))).where(
         (F.col("code") == "sh.600000") & (F.col("date") == F.lit(DAYS[-1]))).first()
     own = minute[(minute.code == "sh.600000")].sort_values(["date", "slot"]).reset_index(drop=True)
     i = own.index[(own.date == DAYS[-1]) & (own.slot == 1449)][0]
@@ -142,4 +147,4 @@ def test_candidates(spark):
             ("300001", "GROWTH", 1.0, 5), ("920001", "NORTH", 1.0, 5), ("600002", "HALTED", 0.0, 0), ("600003", "MEMBER", 1.0, 5)]
     df = spark.createDataFrame(rows, "code string, name string, day_open double, day_volume long")
     growth = spark.createDataFrame([("600003",)], "code string")
-    assert [r["code"] for r in B.candidates(df, ["92", "688", "30"], "ST", growth).collect() if r["name"] != "STAR"] == ["600000"]
+    assert [r["code"] for r in B.candidates(df, ["92", "688", "30"], "ST", growth).collect()] == ["600000"]
