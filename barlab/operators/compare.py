@@ -56,13 +56,16 @@ def coupled_bounds(rows: DataFrame, outcomes=None) -> DataFrame:
     left/left_rows - right/right_rows. That weight takes three values per day (left
     only, right only, both), so counts per day are enough: rows collapse to
     (day, signature) cells and no per-day window is needed. Days without rows on
-    both sides are dropped; ``day_coverage`` lists them.
+    both sides are dropped; ``day_coverage`` lists them. A known row without an outcome is refused
+    when it is read, as it is neither a success nor a failure.
     """
     outcomes = outcomes or coupled_outcomes()
     facts = {"left": flag(F.col("left")), "right": flag(F.col("right")), "unfilled": flag(F.col("known_unfilled"))}
     for bps, sens, target, stem in outcomes:
         facts[f"known{bps}{int(sens)}"] = known_flag(bps, sens)
-        facts[f"{target}{bps}"] = F.col(f"{stem}{bps}") == 1
+        gap = known_flag(bps, sens) & F.col(f"{stem}{bps}").isNull()
+        facts[f"{target}{bps}"] = F.when(gap, F.raise_error(F.lit(f"a known row lacks {stem}{bps}")).cast("boolean")).otherwise(
+            F.col(f"{stem}{bps}") == 1)
     cells = rows.select("date", signature(list(facts.values())).alias("_sig")).groupBy("date", "_sig").agg(
         F.count(F.lit(1)).alias("_n"))
     at = {name: bit("_sig", i) for i, name in enumerate(facts)}

@@ -115,11 +115,14 @@ def order_labels(watched: DataFrame, expected_bars: int) -> DataFrame:
 
 
 def primary_target(labels: DataFrame, bps: int = 15) -> DataFrame:
-    """Training event: the positive run ends strictly before the first adverse quote."""
+    """Training event: the positive run ends strictly before the first adverse quote. A known row without both offsets
+    is refused when it is read."""
     end, bad = F.col(f"first_positive_end{bps}"), F.col(f"first_bad3{bps}")
+    known = F.col(f"known{bps}")
     return labels.withColumn(
         f"opportunity{bps}",
-        F.when(F.col(f"known{bps}"), strictly_before(end, bad).cast("double")))
+        F.when(known & (end.isNull() | bad.isNull()), F.raise_error(F.lit("a known row lacks an offset")).cast("double"))
+        .when(known, strictly_before(end, bad).cast("double")))
 
 
 def mature_labels(
@@ -176,13 +179,20 @@ def training_set(
     variant: str = "relative",
     value: str = "opportunity15",
     known: str = "known15",
+    allowed: Sequence[int] = (0, 1),
     **purge,
 ) -> DataFrame:
     """Valid inputs with mature targets and day-equal weights.
 
-    Centring uses all mature known labels; the weight counts the rows that remain.
+    Centring uses all mature known labels; the weight counts the rows that remain. A known
+    label outside the declared utility set ``allowed`` is refused when it is read.
     """
+    if tuple(allowed) not in ALLOWED_UTILITIES:
+        raise ValueError("the utility set must be one of the declared ones")
     mature = mature_labels(labels, start, end, known, **purge)
+    declared = flag(F.col(value).isin(*[float(a) for a in allowed]))
+    mature = mature.withColumn(value, F.when(declared, F.col(value)).otherwise(
+        F.raise_error(F.lit(f"a known {value} is outside {tuple(allowed)}")).cast("double")))
     targets = relative_target(mature, value, variant)
     rows = features.where("formula_input_valid").join(targets, ["date", "code"])
     return with_day_stats(rows, F.count(F.lit(1)).alias("_day_rows")).withColumn(

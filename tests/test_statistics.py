@@ -46,6 +46,11 @@ def test_bounds_are_the_extremes_over_all_completions(spark, seed):
     assert got["shared_unknown"] == sum(r[0] and r[1] and not r[2] for r in rows)
 
 
+def test_a_known_row_without_outcome_is_refused(spark):
+    with pytest.raises(Exception, match="lacks opportunity15"):
+        bounds_of(spark, [(True, True, True, None), (True, True, True, 1.0)])
+
+
 def test_day_without_one_side_is_listed_not_bounded(spark):
     df = spark.createDataFrame(
         [(DAY, "a", True, False, True, 1.0, False)],
