@@ -1,4 +1,4 @@
-"""Connected components of a graph of long node ids, by joins that run until nothing changes."""
+"""Connected components of a graph of long node ids, by contraction."""
 
 from __future__ import annotations
 
@@ -11,19 +11,24 @@ from barlab.llm.common import stored
 def components(edges: DataFrame) -> DataFrame:
     """node, label: for every node of the edges (a, b), the smallest node that it reaches.
 
-    A round takes the smallest label among a node's neighbours and then the label of that label, so
-    chains halve. Minima are combined before they are shuffled, and each join has one side with a
-    single row per key, so a hub's rows can be split. Labels are written to the shared folder each round.
+    In a round every node takes the smallest of itself and its neighbours, and the links are redrawn between
+    what their ends took; links within one node go and equal ones are merged, so each round has far fewer
+    than the one before. The smallest node of a component keeps itself and is what remains. Minima are combined
+    before they are shuffled, and each join has one side with a single row per key, so a hub's rows can be
+    split. Each round is written to the shared folder.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    graph, names = stored(edges.select(*ordered("a", "b")).filter("a <> b").distinct()), None
     while True:
-        near = (both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-                .withColumnRenamed("a", "node"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        roots = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = stored(hooked.join(roots, "label").select("node", "old", F.least("label", "up").alias("label")))
-        changed = jumped.filter("label <> old").limit(1).count()
-        labels = jumped.select("node", "label")
-        if not changed:
-            return labels
+        both = graph.union(graph.select("b", "a"))
+        took = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+        if names is None:
+            names = took
+        else:
+            onward = took.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            names = stored(names.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+        first = took.select(F.col("node").alias("a"), F.col("label").alias("x"))
+        second = took.select(F.col("node").alias("b"), F.col("label").alias("y"))
+        graph = stored(graph.join(first, "a").join(second, "b").select(*ordered("x", "y")).filter("a <> b").distinct())
+        if not graph.limit(1).count():
+            return names

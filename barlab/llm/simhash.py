@@ -6,11 +6,14 @@ segment differs in at most one bit, so each distinct fingerprint is indexed unde
 with every single bit left out (64 keys), and an equality join on the keys finds all candidates,
 which are then verified.
 
-No group is expanded into its pairs. Equal fingerprints are one node. In each bucket all members
-are compared with the smallest and the largest only; that links the bulk of a group of near
-copies, and components are found over these links. Only then are members of one bucket that lie in
-different components compared: those outside the bucket's most common component, with all others. Members that
-already share a component need no further link, so the components are exact.
+Most buckets hold two fingerprints that met by chance: the smallest and the largest of a bucket of two
+are the pair, so it is verified in the first aggregation and goes before anything is joined.
+
+No group is expanded into its pairs. Equal fingerprints are one node. First those that share a whole
+segment are compared with the smallest and the largest of their number only; that links the bulk of a group of near
+copies, and components are found over these links. Buckets whose members all share a component need no further link.
+In the others, members of different components are compared: those outside the bucket's most common
+component, with all others. So the components are exact.
 
 Defined cases: a null text is empty; without words the fingerprint is zero, which links like any
 other; fewer than four words are one shingle; rows with equal ids stay rows of their own; a null
@@ -78,37 +81,67 @@ def differing(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def variants(nodes: DataFrame) -> DataFrame:
-    """key, fp: every segment with each one of its bits left out; the key also tells which."""
-    keys, slot = [], 0
+def segment(first: int, length: int) -> Column:
+    return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << length) - 1).cast("long"))
+
+
+def whole_segments() -> list[Column]:
+    """A key for each segment as it is."""
+    return [segment(*s).bitwiseOR(F.lit(i << 22).cast("long")) for i, s in enumerate(SEGMENTS)]
+
+
+def deletion_variants() -> list[Column]:
+    """A key for each segment with each one of its bits left out; the key also tells which."""
+    keys: list[Column] = []
     for first, length in SEGMENTS:
-        segment = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << length) - 1).cast("long"))
         for bit in range(length):
-            rest = segment.bitwiseAND(F.lit(((1 << length) - 1) ^ (1 << bit)).cast("long"))
-            keys.append(rest.bitwiseOR(F.lit(slot << 22).cast("long")))
-            slot += 1
-    return nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
+            rest = segment(first, length).bitwiseAND(F.lit(((1 << length) - 1) ^ (1 << bit)).cast("long"))
+            keys.append(rest.bitwiseOR(F.lit(len(keys) << 22).cast("long")))
+    return keys
+
+
+def near(a: str, b: str) -> Column:
+    return (F.col(a) != F.col(b)) & (differing(a, b) <= DISTANCE)
+
+
+def stars(nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that connect each fingerprint with the smallest and the largest that share a whole segment with it.
+
+    The largest is left out where both it and the fingerprint are linked to the smallest, as nothing is gained then.
+    A fingerprint has at most six such ends: it is linked to the first, and the first to the others, so
+    that members of a group repeat the same few links between ends.
+    """
+    rows = nodes.select("fp", F.explode(F.array(*whole_segments())).alias("key"))
+    ends = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
+    joined = near("fp", "low") & (differing("low", "high") <= DISTANCE)
+    targets = F.array_compact(F.array(F.when(near("fp", "low"), F.col("low")), F.when(near("fp", "high") & ~joined, F.col("high"))))
+    found = (rows.join(ends, "key").select(F.col("fp").alias("a"), F.explode(targets).alias("b"))
+             .groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("ends")))
+    others = found.select(F.col("ends")[0].alias("a"), F.explode(F.slice("ends", 2, 6)).alias("b")).distinct()
+    return found.select("a", F.col("ends")[0].alias("b")).union(others)
+
+
+def bridges(parts: DataFrame) -> DataFrame:
+    """Links between fingerprints of different parts; parts: distinct fp, part."""
+    rows = parts.select("fp", "part", F.explode(F.array(*deletion_variants())).alias("key"))
+    buckets = rows.groupBy("key").agg(
+        F.min("part").alias("p"), F.max("part").alias("q"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n"))
+    mixed = buckets.filter((F.col("p") != F.col("q")) & ((F.col("n") > 2) | (differing("low", "high") <= DISTANCE)))
+    members = stored(rows.join(mixed.select("key"), "key"))
+    common = (members.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
+              .agg(F.max(F.struct("n", "part"))["part"].alias("common")))
+    few = members.join(common, "key").filter("part <> common").select("key", F.col("fp").alias("a"), F.col("part").alias("part_a"))
+    rest = members.select("key", F.col("fp").alias("b"), F.col("part").alias("part_b"))
+    return few.join(rest, (few["key"] == rest["key"]) & (F.col("part_a") != F.col("part_b"))
+                    & (differing("a", "b") <= DISTANCE)).select("a", "b").distinct()
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Enough of the pairs (a, b) within DISTANCE bits to connect every component; nodes: distinct fp."""
-    rows = variants(nodes)
-    buckets = (rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high"))
-    members = stored(rows.join(buckets, "key"))
-    near = lambda end: members.filter((F.col("fp") != F.col(end)) & (differing("fp", end) <= DISTANCE)).select(
-        F.col("fp").alias("a"), F.col(end).alias("b"))
-    stars = stored(near("low").union(near("high")).distinct())
-    labels = components(stars).withColumnRenamed("node", "fp")
-    placed = members.select("key", "fp").join(labels, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("part"))
-    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    common = (sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts"))
-              .filter("parts > 1").select("key", F.col("most.part").alias("common")))
-    open_buckets = stored(placed.join(common, "key"))
-    few = open_buckets.filter("part <> common").select("key", F.col("fp").alias("a"), F.col("part").alias("part_a"))
-    rest = open_buckets.select("key", F.col("fp").alias("b"), F.col("part").alias("part_b"))
-    bridges = few.join(rest, (few["key"] == rest["key"]) & (F.col("part_a") != F.col("part_b"))
-                       & (differing("a", "b") <= DISTANCE)).select("a", "b").distinct()
-    return stars.union(bridges)
+    first = stored(stars(nodes))
+    labels = components(first).withColumnRenamed("node", "fp")
+    parts = stored(nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("part")))
+    return first.union(bridges(parts))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
