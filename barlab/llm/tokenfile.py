@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from barlab.llm.common import documents, quoted, shared_folder, text_of
 
-BLOCK = 8192                # ids of a block
-LANES = 768                 # blocks coded side by side
+BLOCK = 4096                # ids of a block
+LANES = 1536                 # blocks coded side by side
 END = 2
 MAGIC = b"TID1"
 HASH = 4096                 # places of the order-2 table
