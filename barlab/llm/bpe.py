@@ -26,6 +26,7 @@ import re
 import struct
 import tempfile
 import unicodedata
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -35,17 +36,20 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm.common import documents, quoted, text_of
+from barlab.llm.common import documents, quoted, stored, text_of
 
-LEXICON_WORDS = 131072       # words in the automaton
+LEXICON_WORDS = 1 << 18      # words in the automaton
 WORD_BYTES = 48             # longer words are always merged
-CHUNKS_KEPT = 150_000       # recent chunks, and recent merges, that a worker remembers
+CHUNKS_KEPT = 300_000       # recent chunks that a worker remembers
+WORDS_KEPT = 150_000        # recent words
+COUNTED = 400_000           # chunks that a worker counts before it hands them on
 CHUNK_CHARS = 48
 ROWS_OUT = 128
 LONG_WORD = 300
 NO_MERGE = 1 << 62
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+MARK = "\x01"       # stands for characters without a category, some of which the pattern's library takes for letters
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE = re.compile("[" + "".join(map(chr, WHITE)) + "]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")      # str.split takes these as white space, the tokenizer does not
@@ -217,7 +221,16 @@ def pieces(chunk: str) -> list[str]:
     """The tokenizer's pieces of a text without special tokens; lower case is taken letter by letter."""
     if not chunk.isascii():
         chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")     # no word-final form
-    return PIECES.findall(chunk.lower())
+    chunk = chunk.lower()
+    if chunk.isalpha():
+        return [chunk]
+    if chunk.isascii() or not any(unicodedata.category(c) == "Cn" for c in chunk):
+        return PIECES.findall(chunk)
+    found, at = [], 0
+    for piece in PIECES.findall("".join(MARK if unicodedata.category(c) == "Cn" else c for c in chunk)):
+        found.append(chunk[at:at + len(piece)])
+        at += len(piece)
+    return found
 
 
 def chunks(text: str) -> list[str]:
@@ -227,18 +240,18 @@ def chunks(text: str) -> list[str]:
 
 
 class Recent(dict):
-    """Remembers what ``make`` gave for the latest keys: between CHUNKS_KEPT and twice as many."""
+    """Remembers what ``make`` gave for the latest keys up to a length: between ``most`` and twice as many."""
 
-    def __init__(self, make, longest: int):
+    def __init__(self, make, longest: int, most: int):
         super().__init__()
-        self.make, self.longest, self.older = make, longest, {}
+        self.make, self.longest, self.most, self.older = make, longest, most, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= CHUNKS_KEPT:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -251,17 +264,22 @@ class Codec:
     def __init__(self, model: Model, lexicon: Lexicon):
         self.model, self.lexicon = model, lexicon
         self.special = re.compile("(" + "|".join(map(re.escape, model.special)) + ")") if model.special else None
-        self.merged, self.chunks = Recent(model.merge, WORD_BYTES), Recent(self.chunk, CHUNK_CHARS)
+        self.words, self.chunks = Recent(self.word, WORD_BYTES, WORDS_KEPT), Recent(self.chunk, CHUNK_CHARS, CHUNKS_KEPT)
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """The bytes of a chunk's ids and what these decode to."""
-        ids = array("I")
-        for piece in pieces(chunk):
-            word = piece.encode("utf-8", "surrogatepass")
-            known = self.lexicon.get(word) if len(word) <= WORD_BYTES else None
-            ids.extend(self.merged[word] if known is None else known)
+    def word(self, piece: str) -> tuple[bytes, str]:
+        """The bytes of a piece's ids and what these decode to."""
+        word = piece.encode("utf-8", "surrogatepass")
+        ids = self.lexicon.get(word) if len(word) <= WORD_BYTES else None
+        ids = array("I", self.model.merge(word) if ids is None else ids)
         return ids.tobytes(), self.decode(ids)
 
+    def chunk(self, chunk: str) -> tuple[bytes, str]:
+        """The same for the pieces of a text without white space, one after the other."""
+        found = [*map(self.words.__getitem__, pieces(chunk))]
+        if len(found) == 1:
+            return found[0]
+        return b"".join([a for a, _ in found]), " ".join([b for _, b in found])
+
     def decode(self, ids) -> str:
         """Text of ids as the tokenizer without a decoder has it: its tokens, joined by spaces."""
         tokens = self.model.tokens
@@ -279,6 +297,17 @@ class Codec:
         return b"".join([a for a, _ in found]), " ".join([b for a, b in found if a])
 
 
+LAST_CODEC: list[tuple[str, Codec]] = []
+
+
+def codec_of(key: str, sent) -> Codec:
+    """The worker's codec of a lexicon, with what it remembers from earlier tasks; a new lexicon takes its place."""
+    if not LAST_CODEC or LAST_CODEC[0][0] != key:
+        model, content = sent.value
+        LAST_CODEC[:] = [(key, Codec(model, Lexicon(content)))]
+    return LAST_CODEC[0][1]
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """word (binary), n: how often each piece occurs in all documents. Words beyond WORD_BYTES are left to merging."""
 
@@ -297,7 +326,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             for value in batch.column(0):
                 seen.update(chunks(value.as_py()))
-                if len(seen) >= CHUNKS_KEPT:
+                if len(seen) >= COUNTED:
                     yield flush()
         yield flush()
 
@@ -306,9 +335,18 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS, text: str = "text") -> list[bytes]:
-    """At most ``words`` words, the most frequent ones; ties go to the smaller word."""
-    top = count_words(docs, text).orderBy(F.desc("n"), "word").limit(words)
-    return [bytes(r["word"]) for r in top.collect()]
+    """At most ``words`` words: the most frequent ones, down to the last count step that leaves no more than that.
+    A step is an eighth of a power of two; the number of words per step comes first, so that no task sends more
+    than is kept. A word that occurs once is not frequent.
+    """
+    counts = stored(count_words(docs, text).filter("n > 1").withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
+    total, least = 0, None
+    for r in counts.groupBy("step").count().orderBy(F.desc("step")).collect():      # a few hundred steps at most
+        total += r["count"]
+        if total > words:
+            break
+        least = r["step"]
+    return [] if least is None else [bytes(r["word"]) for r in counts.filter(F.col("step") >= least).select("word").collect()]
 
 
 def encode(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS, doc_id: str = "doc_id", text: str = "text",
@@ -317,13 +355,13 @@ def encode(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS, doc_id:
     model = Model(tokenizer)
     content = compile_lexicon(frequent_words(docs, words, text), model)
     sent = docs.sparkSession.sparkContext.broadcast((model, content))       # bounded by the vocabulary and ``words``
+    key = uuid.uuid4().hex
     names = [doc_id, *keep]
     rows = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)], text_of(text).alias("text"))
     schema = rows.drop("text").schema.add("ids", "binary").add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, content = sent.value
-        codec = Codec(model, Lexicon(content))
+        codec = codec_of(key, sent)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(start, ROWS_OUT)
