@@ -42,7 +42,7 @@ LOOSE = {
 GENERATORS = {**BASE, **LOOSE}
 KIND = {"spelled": "email", "digits": "phone", "keyed": "secret"}
 KINDS = ("email", "ip", "card", "phone", "secret")
-OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+OCTET = "(?=[0-9])0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"      # zeros, then nothing or 1 to 255
 CONTEXT = r"(?i)(?:tel|phone|call|fax|mobile|cell|mail|contact|card|visa|ssn|password|token|secret|key|tél|téléphone|telefon|correo)[^a-z0-9]{0,4}$"
 BLOCK = 256
 FEATURES = ("generator", "digits", "groups", "letters", "separators", "length", "context", "dated", "glued")

@@ -250,6 +250,17 @@ def test_personal_data_against_plain_patterns(spark, odd, real):
     assert got == Counter(map(want, docs.collect()))
 
 
+ADDRESSES = ["10.0.0.1", "0.0.0.0", "127.0.0.1 192.168.0.1", "00.000.0.255", "0" * 300 + ".1.2.3", "8.8.8.8", "10.0.0.256", "0.0.0.0256", "0.1.2", "1.2.3.0999"]
+
+
+def test_addresses_with_parts_of_zero(spark):
+    docs = spark.createDataFrame(list(enumerate(ADDRESSES)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.base if s.kind == 1] for r in pii.find(docs).collect()}
+    assert got == {i: [(a, b) for k, a, b in plain_base(t) if k == "ip"] for i, t in enumerate(ADDRESSES)}
+    assert [len(got[i]) for i in range(len(ADDRESSES))] == [1, 1, 2, 1, 1, 1, 0, 0, 0, 0]
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()}[2] == "[IP] [IP]"
+
+
 def test_trees_add_spans_and_texts_are_redacted(spark):
     docs = spark.createDataFrame(list(enumerate(PERSONAL)), "doc_id long, text string").withColumn("base", pii.F.lit(1))
     spans = {r.doc_id: r.spans for r in pii.digest(pii.find(docs)).collect()}
