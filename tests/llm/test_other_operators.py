@@ -64,6 +64,17 @@ def test_pages(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article style="overflow:hidden"><p>A</p></article>', "A"), ('<article><p aria-hidden="false">A</p></article>', "A"),
+    ('<article><p>A <a href="/hidden/valley">B</a></p></article>', "A B"), ('<article><p title="the hidden side">A</p></article>', "A"),
+    ('<article><div data-role="search" data-class=\'ad\'>A</div></article>', "A"), ('<article><h2 id="discussion">A</h2><p>B</p></article>', "A B"),
+    ('<main><section id="search-results"><p id="comment">A</p></section></main>', "A"),
+    ("<article><p hidden>A</p><p HIDDEN=''>B</p><div id='comments'>C</div><p class=ad>D</p><div role=search>E</div>F</article>", "F"),
+])
+def test_attributes_are_read_by_their_names(page, want):
+    assert html.main_text(page) == want
+
+
 def test_odd_pages(spark):
     big = "<article>" + "<p>word, word.</p>" * 20000 + "</article>"
     rows = [(1, "u", None, "a"), (None, None, "<p>x</p>", "b"), (2, "u", big, "c"), (2, "u", big, "c")]
