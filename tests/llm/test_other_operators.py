@@ -167,6 +167,33 @@ def test_recall_of_nearest(spark):
     assert len(got) == 50 and hit / 500 >= 0.9
 
 
+def share_found(x, got):
+    """The share of the ten nearest rows of each query that are found, by their distances."""
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += sum(s <= np.sort(d)[9] * (1 + 1e-9) for _, s in found)
+    return hits / (10 * len(got))
+
+
+def test_recall_of_nearest_from_a_start_of_one_pair_in_a_hundred(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAF", 8)
+    monkeypatch.setattr(nearest, "TREES", 4)
+    x = np.random.default_rng(7).normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert share_found(x, collected(nearest.nearest(df, 60, 10, width=12))) >= 0.95
+
+
+def test_nearest_with_near_copies_and_a_huge_vector(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 16))
+    x[:1000] = x[0] + 1e-7 * rng.normal(size=(1000, 16))
+    x[1999] = 1e8
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    assert share_found(x, collected(nearest.nearest(df, 50, 10))) >= 0.9
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------
 
 
