@@ -1,6 +1,6 @@
 """The registered queries of this package and, where SQL can express them, their DuckDB forms."""
 
-from barlab.llm import bpe, html, licenses, mixing, nearest, pii, simhash, tokenfile, topk, toxicity
+from barlab.llm import bpe, html, licenses, mixing, nearest, pii, simhash, superkmers, tokenfile, topk, toxicity
 
 QUERIES = {
     "op1_token_files": tokenfile.op1_token_files,
@@ -13,10 +13,12 @@ QUERIES = {
     "op6_bpe_transducer": bpe.op6_bpe_transducer,
     "op4_exact_topk": topk.op4_exact_topk,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op13_super_kmers": superkmers.op13_super_kmers,
 }
 
 ORACLE_SQL = {
     "op7_license_scan": licenses.sql(),
     "op4_exact_topk": topk.SQL,
     "op9_mix_sources": mixing.sql(),
+    "op13_super_kmers": superkmers.SQL,
 }
