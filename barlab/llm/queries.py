@@ -1,6 +1,6 @@
 """The registered queries of this package and, where SQL can express them, their DuckDB forms."""
 
-from barlab.llm import bpe, html, licenses, mixing, nearest, pii, ranked, simhash, superkmers, tokenfile, topk, toxicity
+from barlab.llm import bpe, html, licenses, mixing, nearest, pii, ranked, simhash, spelling, superkmers, tokenfile, topk, toxicity
 
 QUERIES = {
     "op1_token_files": tokenfile.op1_token_files,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bpe_transducer": bpe.op6_bpe_transducer,
     "op4_exact_topk": topk.op4_exact_topk,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op11_trie_pairs": spelling.op11_trie_pairs,
     "op12_range_maximum": ranked.op12_range_maximum,
     "op13_super_kmers": superkmers.op13_super_kmers,
 }
