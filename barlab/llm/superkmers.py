@@ -10,11 +10,12 @@ sent to the bucket of that minimiser. Equal windows have equal minimisers, so th
    the largest id before anything is gathered, so a group of copies is one string.
 3. Groups of buckets sort the windows of their strings; the smallest id of each run of equal windows is where
    it was first seen. A crowded bucket (a passage in many different surroundings) is not sorted by one
-   task: its windows become strings of their own and are counted by a partially combined aggregate.
-4. The first ids return to the documents over the strings, and each document drops the words covered.
+   task: its windows are named by digests and counted by a partially combined aggregate.
+4. The first ids return to the documents over the strings' digests, and each document drops the words covered.
 
-Strings are compared as a whole, so the result is exact; hashes only choose where they meet. Nothing is
-dropped: a run of more than PIECE windows is cut into several strings.
+In the buckets the words themselves are compared. A string, and a window of a crowded bucket, is named by a 128-bit
+BLAKE2 digest of its words, so that no text travels back. Nothing is dropped: a run of more than PIECE
+windows is cut into several strings.
 
 Defined cases: a null text has no words; a document of fewer than 50 words keeps all; a window that starts
 twice in the same document only is kept; rows that share an id are documents of their own that never remove
@@ -40,7 +41,7 @@ WINDOW = 50
 RUN = 8                 # words of a minimiser
 SEED = 13
 PIECE = 256             # windows of a packed string at most
-CROWD = 1024            # distinct strings that one bucket sorts
+CROWD = 256             # distinct strings that one bucket sorts
 GROUP_ROWS = 2048       # strings of a group of buckets
 
 
@@ -88,6 +89,10 @@ def windows_of(packed: bytes, window: int) -> list[bytes]:
     return [packed[a:b - 1] for a, b in zip(ends, ends[window:])]
 
 
+def name(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
 def digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -114,23 +119,22 @@ def packed_rows(window: int, run: int):
                 wanted = set(batch.column(3)[k].values.to_pylist())
                 words = words_of(batch.column(2)[k].as_py())
                 found = [x for x in super_kmers(minimisers(words, window, run)) if x[0] in wanted]
-                n = len(found)
+                packed = [b" ".join(words[at:at + m + window - 1]) for _, at, m in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[k].as_py()] * n, pa.int64()), pa.array([batch.column(1)[k].as_py()] * n, pa.int64()),
-                     pa.array([x[1] for x in found], pa.int64()), pa.array([x[0] for x in found], pa.int64()),
-                     pa.array([b" ".join(words[at:at + m + window - 1]) for _, at, m in found], pa.binary())],
-                    names=["doc_id", "mark", "first", "bucket", "packed"])
+                    [*(pa.array([batch.column(c)[k].as_py()] * len(found), pa.int64()) for c in (0, 1)), pa.array([x[1] for x in found], pa.int64()),
+                     pa.array([x[0] for x in found], pa.int64()), pa.array(map(name, packed), pa.binary()), pa.array(packed, pa.binary())],
+                    names=["doc_id", "mark", "first", "bucket", "code", "packed"])
     return read
 
 
 def sorted_group(window: int):
-    """id, seen: where each window of a string was first seen, for strings with anything to remove."""
+    """code, seen: where each window of a string was first seen, for strings with anything to remove."""
     def run(table: pa.Table) -> pa.Table:
-        ids, low, high = (table[c].to_numpy() for c in ("id", "low", "high"))
+        low, high = (table[c].to_numpy() for c in ("low", "high"))
         lists = [windows_of(x.as_py(), window) for x in table["packed"]]
         sizes = [len(x) for x in lists]
         every = [w for x in lists for w in x]
-        owner = np.repeat(np.arange(len(ids)), sizes)
+        owner = np.repeat(np.arange(len(lists)), sizes)
         order = np.array(sorted(range(len(every)), key=every.__getitem__), np.int64)
         seen = np.zeros(len(every), np.int64)
         if len(every):
@@ -138,11 +142,10 @@ def sorted_group(window: int):
             starts = np.flatnonzero(fresh)
             least = np.minimum.reduceat(low[owner[order]], starts)
             seen[order] = np.repeat(least, np.diff(np.r_[starts, len(order)]))
-        ends = np.cumsum(sizes)
-        parts = [(i, seen[e - m:e]) for i, e, m in zip(range(len(ids)), ends, sizes)]
-        parts = [(i, x) for i, x in parts if (x < high[i]).any()]
-        return pa.table({"id": pa.array([ids[i] for i, _ in parts], pa.int64()),
-                         "seen": pa.array([x for _, x in parts], pa.list_(pa.int64()))})
+        parts = np.split(seen, np.cumsum(sizes)[:-1]) if sizes else []
+        places = [i for i, x in enumerate(parts) if (x < high[i]).any()]
+        return pa.table({"code": table["code"].take(pa.array(places, pa.int64())).cast(pa.binary()),
+                         "seen": pa.array([parts[i] for i in places], pa.list_(pa.int64()))})
     return run
 
 
@@ -151,29 +154,28 @@ def split_windows(window: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 parts = windows_of(batch.column(1)[k].as_py(), window)
-                one = [batch.column(c)[k].as_py() for c in (0, 2, 3)]
+                code, low, high = (batch.column(c)[k].as_py() for c in (0, 2, 3))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([x] * len(parts), pa.int64()) for x in one), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
-                    names=["id", "low", "high", "place", "packed"])
+                    [pa.array([code] * len(parts), pa.binary()), pa.array([low] * len(parts), pa.int64()), pa.array([high] * len(parts), pa.int64()),
+                     pa.array(range(len(parts)), pa.int32()), pa.array(map(name, parts), pa.binary())],
+                    names=["code", "low", "high", "place", "name"])
     return run
 
 
 def first_seen(strings: DataFrame, window: int, crowd: int) -> DataFrame:
-    """id, seen (array of the first id per window) of the strings with anything to remove; strings: id, bucket, packed, low, high."""
-    crowded = strings.groupBy("bucket").count().filter(F.col("count") > crowd).select("bucket", F.lit(True).alias("crowded"))
-    placed = strings.join(crowded, "bucket", "left")
+    """code, seen (array of the first id per window) of the strings with anything to remove; strings: code, bucket, packed, low, high."""
+    crowded = written(strings.groupBy("bucket").count().filter(F.col("count") > crowd).select("bucket"), "crowded")     # its size decides the joins
     rows = strings.count()
     groups = max(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / GROUP_ROWS))
-    calm = placed.filter("crowded IS NULL").select(F.pmod(F.xxhash64("bucket"), F.lit(groups)).alias("group"), "id", "packed", "low", "high")
-    usual = calm.groupBy("group").applyInArrow(sorted_group(window), "id long, seen array<long>")
-    single = placed.filter("crowded").select("id", "packed", "low", "high").mapInArrow(
-        split_windows(window), "id long, low long, high long, place int, packed binary")
-    least = single.groupBy("packed").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").select("packed", "first")
-    split = (single.join(least, "packed").filter(F.col("first") < F.col("high"))
-             .select("id", F.struct("place", F.col("first").alias("seen")).alias("x")))
-    whole = split.groupBy("id").agg(F.collect_list("x").alias("xs")).select(
-        "id", F.map_from_entries(F.transform("xs", lambda x: F.struct(x["place"], x["seen"]))).alias("m"))
-    spread = whole.select("id", F.transform(
+    calm = strings.join(crowded, "bucket", "left_anti").select(F.pmod(F.xxhash64("bucket"), F.lit(groups)).alias("group"), "code", "packed", "low", "high")
+    usual = calm.groupBy("group").applyInArrow(sorted_group(window), "code binary, seen array<long>")
+    single = strings.join(crowded, "bucket", "left_semi").select("code", "packed", "low", "high").mapInArrow(
+        split_windows(window), "code binary, low long, high long, place int, name binary")
+    least = single.groupBy("name").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last").select("name", "first")
+    split = (single.join(least, "name").filter(F.col("first") < F.col("high"))
+             .select("code", F.struct("place", F.col("first").alias("seen")).alias("x")))
+    whole = split.groupBy("code").agg(F.map_from_entries(F.collect_list("x")).alias("m"))
+    spread = whole.select("code", F.transform(
         F.sequence(F.lit(0), F.array_max(F.map_keys("m"))), lambda i: F.try_element_at("m", i)).alias("seen"))
     return usual.union(spread)
 
@@ -203,18 +205,13 @@ def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "mark", "gone", "rest"])
 
 
-def removed_runs(docs: DataFrame, found: DataFrame, window: int, run: int, crowd: int) -> DataFrame:
-    """doc_id, mark, runs: the runs of words (a, b) that go, for documents that lose any; docs: doc_id, mark, text, found: buckets too."""
-    reached = found.select("doc_id", "mark", F.explode("buckets").alias("bucket"))
-    shared = (reached.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-              .filter("low < high").select("bucket"))
-    wanted = reached.join(shared, "bucket").groupBy("doc_id", "mark").agg(F.collect_set("bucket").alias("wanted"))
-    pieces = written(docs.join(wanted, ["doc_id", "mark"]).select("doc_id", "mark", "text", "wanted").mapInArrow(
-        packed_rows(window, run), "doc_id long, mark long, first long, bucket long, packed binary"), "pieces")
-    strings = written(pieces.groupBy("bucket", "packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-                      .withColumn("id", F.monotonically_increasing_id()), "strings")
-    seen = first_seen(strings, window, crowd).join(strings.select("id", "bucket", "packed"), "id").drop("id")
-    return (pieces.join(seen, ["bucket", "packed"]).select("doc_id", "mark", F.explode(covered(window)).alias("x"))
+def removed_runs(reached: DataFrame, window: int, run: int, crowd: int) -> DataFrame:
+    """doc_id, mark, runs: the runs of words (a, b) that go, for documents that lose any; reached: doc_id, mark, text, wanted."""
+    pieces = written(reached.select("doc_id", "mark", "text", "wanted").mapInArrow(
+        packed_rows(window, run), "doc_id long, mark long, first long, bucket long, code binary, packed binary"), "pieces")
+    strings = written(pieces.groupBy("bucket", "code", "packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "strings")
+    return (pieces.select("doc_id", "mark", "first", "code").join(first_seen(strings, window, crowd), "code")
+            .select("doc_id", "mark", F.explode(covered(window)).alias("x"))
             .groupBy("doc_id", "mark").agg(F.collect_set("x").alias("runs")))
 
 
@@ -223,8 +220,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
     run = min(run, window)
     rows = docs.select(quoted(doc_id).cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).cast("binary").alias("text"))
     found = written(rows.mapInArrow(surveyed(window, run), "doc_id long, mark long, n_words long, whole string, buckets array<long>"), "minimisers")
-    runs = written(removed_runs(rows, found, window, run, crowd), "runs")
-    cut = (rows.join(runs, ["doc_id", "mark"]).select("doc_id", "mark", "text", "runs").mapInArrow(
+    each = found.select("doc_id", F.explode("buckets").alias("bucket"))
+    shared = (each.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("bucket"))
+    wanted = each.join(shared, "bucket").groupBy("doc_id").agg(F.collect_set("bucket").alias("wanted"))
+    reached = written(rows.join(wanted, "doc_id"), "reached")
+    runs = written(removed_runs(reached, window, run, crowd), "runs")
+    cut = (reached.drop("wanted").join(runs, ["doc_id", "mark"]).select("doc_id", "mark", "text", "runs").mapInArrow(
         applied, "doc_id long, mark long, gone long, rest string").groupBy("doc_id", "mark").agg(F.max("gone").alias("gone"), F.max("rest").alias("rest")))
     return (found.drop("buckets").join(cut, ["doc_id", "mark"], "left").join(runs, ["doc_id", "mark"], "left")
             .select("doc_id", "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("rest", "whole").alias("kept_sha256"), "runs"))
