@@ -41,7 +41,7 @@ WINDOW = 50
 RUN = 8                 # words of a minimiser
 SEED = 13
 PIECE = 256             # windows of a packed string at most
-CROWD = 256             # distinct strings that one bucket sorts
+CROWD = 1 << 17         # windows of distinct strings that one bucket sorts
 GROUP_ROWS = 2048       # strings of a group of buckets
 
 
@@ -122,8 +122,9 @@ def packed_rows(window: int, run: int):
                 packed = [b" ".join(words[at:at + m + window - 1]) for _, at, m in found]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array([batch.column(c)[k].as_py()] * len(found), pa.int64()) for c in (0, 1)), pa.array([x[1] for x in found], pa.int64()),
-                     pa.array([x[0] for x in found], pa.int64()), pa.array(map(name, packed), pa.binary()), pa.array(packed, pa.binary())],
-                    names=["doc_id", "mark", "first", "bucket", "code", "packed"])
+                     pa.array([x[0] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()),
+                     pa.array(map(name, packed), pa.binary()), pa.array(packed, pa.binary())],
+                    names=["doc_id", "mark", "first", "bucket", "windows", "code", "packed"])
     return read
 
 
@@ -163,8 +164,8 @@ def split_windows(window: int):
 
 
 def first_seen(strings: DataFrame, window: int, crowd: int) -> DataFrame:
-    """code, seen (array of the first id per window) of the strings with anything to remove; strings: code, bucket, packed, low, high."""
-    crowded = written(strings.groupBy("bucket").count().filter(F.col("count") > crowd).select("bucket"), "crowded")     # its size decides the joins
+    """code, seen (array of the first id per window) of the strings with anything to remove; strings: code, bucket, windows, packed, low, high."""
+    crowded = written(strings.groupBy("bucket").agg(F.sum("windows").alias("n")).filter(F.col("n") > crowd).select("bucket"), "crowded")     # its size decides the joins
     rows = strings.count()
     groups = max(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / GROUP_ROWS))
     calm = strings.join(crowded, "bucket", "left_anti").select(F.pmod(F.xxhash64("bucket"), F.lit(groups)).alias("group"), "code", "packed", "low", "high")
@@ -208,8 +209,8 @@ def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_runs(reached: DataFrame, window: int, run: int, crowd: int) -> DataFrame:
     """doc_id, mark, runs: the runs of words (a, b) that go, for documents that lose any; reached: doc_id, mark, text, wanted."""
     pieces = written(reached.select("doc_id", "mark", "text", "wanted").mapInArrow(
-        packed_rows(window, run), "doc_id long, mark long, first long, bucket long, code binary, packed binary"), "pieces")
-    strings = written(pieces.groupBy("bucket", "code", "packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "strings")
+        packed_rows(window, run), "doc_id long, mark long, first long, bucket long, windows long, code binary, packed binary"), "pieces")
+    strings = written(pieces.groupBy("bucket", "windows", "code", "packed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "strings")
     return (pieces.select("doc_id", "mark", "first", "code").join(first_seen(strings, window, crowd), "code")
             .select("doc_id", "mark", F.explode(covered(window)).alias("x"))
             .groupBy("doc_id", "mark").agg(F.collect_set("x").alias("runs")))
