@@ -1,34 +1,36 @@
-"""Integer encoding, tree ensembles as column expressions, node audit and boosted fitting."""
+"""Integer encoding, tree ensembles as column expressions, node audit and replay."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from barlab.functions.scalars import ratio
-from barlab.session import cut_lineage
 
 # Fixed values of the encoding and of the fit.
 SCALE, SHIFT, NUDGE, CEILING = 100, 10_000, 1e-6, 999_999
-FIT = {"trees": 64, "depth": 3, "min_leaf_rows": 300, "learning_rate": 0.05, "seed": 20260927}
+FIT = {"trees": 64, "depth": 3, "min_leaf_rows": 300, "learning_rate": 0.05}
 QUANTILES = (0.97, 0.98, 0.99, 0.995, 0.998, 0.999, 0.9995)
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Parallel node lists; a leaf has left = right = -1. ``x <= threshold`` goes left."""
+    """Parallel node lists; a leaf has left = right = -1. ``x <= threshold`` goes left.
+
+    ``rows``, ``weight`` and ``impurity`` are what a fit stored at each node, empty where nothing is stored.
+    """
 
     feature: tuple[int, ...]
     threshold: tuple[float, ...]
     left: tuple[int, ...]
     right: tuple[int, ...]
     value: tuple[float, ...]
+    rows: tuple[int, ...] = ()
+    weight: tuple[float, ...] = ()
+    impurity: tuple[float, ...] = ()
 
     def leaves(self) -> list[int]:
         return [i for i, child in enumerate(self.left) if child < 0]
@@ -74,13 +76,18 @@ def bind(ensemble: Ensemble, declared: Sequence[str]) -> Ensemble:
     return ensemble
 
 
-def walk(tree: Tree, names: Sequence[str], leaf, node: int = 0) -> Column:
-    """Nested condition that yields ``leaf(node)`` for the leaf a row falls into."""
+def walk_text(tree: Tree, inputs: Sequence[str], leaf, node: int = 0) -> str:
+    """Nested condition, as SQL, that yields ``leaf(node)`` for the leaf a row falls into; ``inputs`` are SQL too."""
     if tree.left[node] < 0:
-        return F.lit(leaf(node))
-    goes_left = F.col(names[tree.feature[node]]) <= F.lit(float(tree.threshold[node]))
-    return F.when(goes_left, walk(tree, names, leaf, tree.left[node])).otherwise(
-        walk(tree, names, leaf, tree.right[node]))
+        value = leaf(node)
+        return f"{value!r}D" if isinstance(value, float) else str(value)
+    return (f"CASE WHEN {inputs[tree.feature[node]]} <= {float(tree.threshold[node])!r}D "
+            f"THEN {walk_text(tree, inputs, leaf, tree.left[node])} ELSE {walk_text(tree, inputs, leaf, tree.right[node])} END")
+
+
+def walk(tree: Tree, names: Sequence[str], leaf) -> Column:
+    """``walk_text`` over columns."""
+    return F.expr(walk_text(tree, [f"`{n}`" for n in names], leaf))
 
 
 def score_column(ensemble: Ensemble) -> Column:
@@ -121,130 +128,122 @@ def score_replay(a: DataFrame, b: DataFrame, cut: float, tolerance: float = 2e-1
         F.count_if(flag_a != flag_b).alias("flag_mismatch"), F.count_if(flag_a).alias("selected"))
 
 
+NODE_COLUMNS = "tree_id int, node_id int, feature int, threshold double, left int, right int, value double, node_rows long, weight double, impurity double"
+
+
 def tree_table(spark: SparkSession, ensemble: Ensemble) -> DataFrame:
-    """Long node table (tree_id, node_id, feature, threshold, left, right, value)."""
-    rows = [(t, i, tree.feature[i], float(tree.threshold[i]), tree.left[i], tree.right[i], float(tree.value[i]))
+    """Long node table; what no fit has stored is NULL."""
+    stored = lambda values, i: values[i] if values else None
+    rows = [(t, i, tree.feature[i], float(tree.threshold[i]), tree.left[i], tree.right[i], float(tree.value[i]),
+             stored(tree.rows, i), stored(tree.weight, i), stored(tree.impurity, i))
             for t, tree in enumerate(ensemble.trees) for i in range(len(tree.left))]
-    return spark.createDataFrame(
-        rows, "tree_id int, node_id int, feature int, threshold double, left int, right int, value double")
+    return spark.createDataFrame(rows, NODE_COLUMNS)
 
 
 def trees_from_table(nodes: DataFrame, bias: float, learning_rate: float, names: Sequence[str]) -> Ensemble:
     """Rebuild an ensemble from its node table; the table is bounded by the model."""
     trees: dict[int, dict[int, tuple]] = {}
     for r in nodes.collect():
-        trees.setdefault(r["tree_id"], {})[r["node_id"]] = (
-            r["feature"], r["threshold"], r["left"], r["right"], r["value"])
+        trees.setdefault(r["tree_id"], {})[r["node_id"]] = tuple(r[c] for c in (
+            "feature", "threshold", "left", "right", "value", "node_rows", "weight", "impurity"))
     built = []
     for t in sorted(trees):
-        built.append(Tree(*(tuple(col) for col in zip(*(trees[t][i] for i in sorted(trees[t]))))))
+        lists = [tuple(col) for col in zip(*(trees[t][i] for i in sorted(trees[t])))]
+        built.append(Tree(*lists[:5], *(() if None in x else x for x in lists[5:])))
     return Ensemble(bias, learning_rate, tuple(names), tuple(built))
 
 
+def descend(encoded: DataFrame, nodes: DataFrame, bias: float, learning_rate: float, names: Sequence[str], depth: int,
+            valid: str = "formula_input_valid", keys: Sequence[str] = ("date", "code")) -> DataFrame:
+    """Scores by walking a node table: ``depth`` joins, one per level, each from a row's node to the next.
+
+    Independent of the column expressions of ``score``. A row is one entry per tree while it walks; the node
+    table has one row per node of the model, so its join needs no shuffle of the rows. A row that has not
+    reached a leaf after ``depth`` levels, or meets a node that is missing, has no score.
+    """
+    table = nodes.select("tree_id", F.col("node_id").alias("at"), "feature", "threshold", "left", "right", "value")
+    trees = nodes.select("tree_id").distinct().agg(F.sort_array(F.collect_list("tree_id")).alias("t"))
+    x = F.array(*[F.col(n).cast("double") for n in names])
+    rows = (encoded.select(*keys, F.when(F.col(valid), x).alias("x")).withColumn("tree_id", F.explode_outer(
+        F.when(F.col("x").isNotNull(), trees.scalar()))).withColumn("at", F.lit(0)))
+    for _ in range(depth):
+        met = rows.join(table, ["tree_id", "at"], "left")
+        onward = F.when(F.get("x", "feature") <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        rows = met.select(*keys, "x", "tree_id", F.when(F.col("left") < 0, F.col("at")).otherwise(onward).alias("at"))
+    leaf = table.where("`left` < 0").select("tree_id", "at", "value")
+    found = rows.join(leaf, ["tree_id", "at"], "left").groupBy(*keys).agg(
+        F.count("tree_id").alias("_trees"), F.count("value").alias("_leaves"), F.sum("value").alias("_sum"))
+    whole = (F.col("_trees") > 0) & (F.col("_trees") == F.col("_leaves"))
+    return found.select(*keys, F.when(whole, F.lit(float(bias)) + F.lit(float(learning_rate)) * F.col("_sum")).alias("score"))
+
+
+def spread(groups: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
+    """Joined centred moments: keys, w, mean, variance from groups (keys, w, m, v) with their own mean and variance.
+
+    Deviations are taken from the mean of all, so no squares of large numbers are subtracted.
+    """
+    means = groups.groupBy(*keys).agg(F.sum("w").alias("_w"), ratio(F.sum(F.col("w") * F.col("m")), F.sum("w")).alias("mean"), *extra)
+    apart = F.col("m") - F.col("mean")
+    joined = groups.join(means.select(*keys, "mean"), list(keys))
+    squares = joined.groupBy(*keys).agg(ratio(F.sum(F.col("w") * (F.col("v") + apart * apart)), F.sum("w")).alias("variance"))
+    return means.withColumnRenamed("_w", "w").join(squares, list(keys))
+
+
+def equal_weight_groups(rows: DataFrame, keys: Sequence[str], weight: str, value: str) -> DataFrame:
+    """keys, n, w, m, v: rows of equal weight have mergeable centred moments that Spark combines itself."""
+    return rows.groupBy(*keys, F.col(weight).alias("_each")).agg(
+        F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v")).where("n > 0").select(
+        *keys, "n", (F.col("_each") * F.col("n")).alias("w"), "m", "v")
+
+
 def node_stats(rows: DataFrame, ensemble: Ensemble, target: str = "target", weight: str = "weight",
                day: str = "date") -> DataFrame:
     """Rows, weight, residual mean and variance, and distinct days at every node of every tree.
 
-    The residual is updated tree by tree. Rows are reduced to (tree, leaf, day) with
-    map-side combine; inner nodes are sums over their leaves.
+    The residual is updated tree by tree. Rows are reduced to (tree, leaf, day, weight) groups with centred
+    moments; weights are equal within a day, so there are about as many groups as days and leaves. Inner
+    nodes join the groups of their leaves.
     """
-    work = rows.withColumn("_r", F.col(target) - F.lit(float(ensemble.bias)))
-    records = []
-    for t, tree in enumerate(ensemble.trees):
-        leaf = walk(tree, ensemble.feature_names, int)
-        step = walk(tree, ensemble.feature_names, lambda i, x=tree: float(ensemble.learning_rate * x.value[i]))
-        work = work.withColumns({f"_leaf{t}": leaf, f"_res{t}": F.col("_r"), "_r": F.col("_r") - step})
-        records.append(F.struct(F.lit(t).alias("tree_id"), F.col(f"_leaf{t}").alias("leaf"),
-                                F.col(f"_res{t}").alias("r")))
-    w, r = F.col(weight), F.col("r")
-    leaves = work.select(day, weight, F.inline(F.array(*records))).groupBy("tree_id", "leaf", day).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * r).alias("wr"), F.sum(w * r * r).alias("wrr"))
+    leaf_of = lambda tree: walk(tree, ensemble.feature_names, int)
+    steps = "array(" + ", ".join("array(" + ", ".join(f"{float(ensemble.learning_rate * v)!r}D" for v in t.value) + ")" for t in ensemble.trees) + ")"
+    base = F.col(target) - F.lit(float(ensemble.bias))
+    met = rows.select(day, weight, base.alias("_base"), F.array(*[leaf_of(t) for t in ensemble.trees]).alias("leaf")).withColumn(
+        "_steps", F.expr(f"transform(leaf, (l, t) -> {steps}[t][l])"))
+    before = F.expr("aggregate(_steps, struct(cast(array() AS array<double>) AS seen, _base AS r), "
+                    "(a, s) -> struct(concat(a.seen, array(a.r)) AS seen, a.r - s AS r)).seen")     # the residual ahead of each tree
+    each = met.select(day, weight, F.posexplode(F.arrays_zip("leaf", before.alias("r"))).alias("tree_id", "_x"))
+    leaves = equal_weight_groups(each.select(day, weight, "tree_id", "_x.leaf", "_x.r"), ["tree_id", "leaf", day], weight, "r")
     spark = rows.sparkSession
     paths = spark.createDataFrame(
         [(t, leaf, node, len(tree.path(node)) - 1, node == leaf)
          for t, tree in enumerate(ensemble.trees) for leaf in tree.leaves() for node in tree.path(leaf)],
         "tree_id int, leaf int, node_id int, level int, is_leaf boolean")
     # The path table has (depth + 1) rows per leaf of the model.
-    out = leaves.join(F.broadcast(paths), ["tree_id", "leaf"]).groupBy("tree_id", "node_id", "level", "is_leaf").agg(
-        F.sum("n").alias("node_rows"), F.sum("w").alias("weight"), F.sum("wr").alias("_wr"),
-        F.sum("wrr").alias("_wrr"), F.countDistinct(day).alias("days"))
-    mean = ratio(F.col("_wr"), F.col("weight"))
-    return out.select("tree_id", "node_id", "level", "is_leaf", "node_rows", "weight", "days",
-                      mean.alias("residual_mean"),
-                      (ratio(F.col("_wrr"), F.col("weight")) - mean * mean).alias("residual_variance"))
+    keys = ["tree_id", "node_id", "level", "is_leaf"]
+    out = spread(leaves.join(F.broadcast(paths), ["tree_id", "leaf"]), keys,
+                 F.sum("n").alias("node_rows"), F.countDistinct(day).alias("days"))
+    return out.select(*keys, "node_rows", F.col("w").alias("weight"), "days",
+                      F.col("mean").alias("residual_mean"), F.col("variance").alias("residual_variance"))
 
 
-def weighted_moments(rows: DataFrame, value: str, weight: str, by: Sequence[str]) -> DataFrame:
-    w, x = F.col(weight), F.col(value)
-    out = rows.groupBy(*by).agg(F.count(x).alias("n"), F.sum(w).alias("weight"),
-                                F.sum(w * x).alias("_s"), F.sum(w * x * x).alias("_q"))
-    mean = ratio(F.col("_s"), F.col("weight"))
-    return out.select(*by, "n", "weight", mean.alias("weighted_mean"),
-                      (ratio(F.col("_q"), F.col("weight")) - mean * mean).alias("weighted_variance"))
-
-
-def _read_tree(model) -> Tree:
-    """Node lists of a fitted MLlib tree, parents before children."""
-    feature, threshold, left, right, value = [], [], [], [], []
-
-    def add(node) -> int:
-        i = len(feature)
-        inner = node.subtreeDepth() > 0
-        feature.append(node.split().featureIndex() if inner else -1)
-        threshold.append(float(node.split().threshold()) if inner else 0.0)
-        value.append(float(node.prediction()))
-        left.append(-1)
-        right.append(-1)
-        if inner:
-            left[i] = add(node.leftChild())
-            right[i] = add(node.rightChild())
-        return i
-
-    add(model._java_obj.rootNode())
-    return Tree(tuple(feature), tuple(threshold), tuple(left), tuple(right), tuple(value))
-
-
-def fit_boosted(
-    train: DataFrame,
-    names: Sequence[str],
-    target: str = "target",
-    weight: str = "weight",
-    trees: int = FIT["trees"],
-    depth: int = FIT["depth"],
-    min_leaf_rows: int = FIT["min_leaf_rows"],
-    learning_rate: float = FIT["learning_rate"],
-    seed: int = FIT["seed"],
-    max_bins: int = 256,
-    cut_every: int = 16,
-) -> Ensemble:
-    """Squared-error boosting: one MLlib tree per round on the residual, from a constant start.
-
-    Splits are exact up to ``max_bins`` distinct values per feature and binned beyond.
-    Only tree nodes reach the driver. The residual is a column expression over the
-    encoded inputs; every ``cut_every`` rounds it is checkpointed.
+def node_audit(stored: DataFrame, observed: DataFrame, tolerance: float = 2e-10) -> DataFrame:
+    """Stored against observed rows, weight, value and impurity of every node, one row per node.
+
+    ``stored`` is a node table, ``observed`` the result of ``node_stats`` on the training rows. A node that one
+    side lacks shows as a difference.
     """
-    total = train.agg(F.sum(F.col(weight) * F.col(target)).alias("s"), F.sum(weight).alias("w")).first()
-    bias = float(total["s"] / total["w"])
-    assembled = VectorAssembler(inputCols=list(names), outputCol="_x").transform(train)
-    base = assembled.select(*names, "_x", F.col(weight).alias("_w"),
-                            (F.col(target) - F.lit(bias)).alias("_base")).persist(StorageLevel.MEMORY_AND_DISK)
-    learner = DecisionTreeRegressor(
-        featuresCol="_x", labelCol="_residual", weightCol="_w", maxDepth=depth, maxBins=max_bins,
-        minInstancesPerNode=min_leaf_rows, seed=seed)
-    fitted: list[Tree] = []
-    pending = 0
-    try:
-        for _ in range(trees):
-            open_part = Ensemble(0.0, learning_rate, tuple(names), tuple(fitted[len(fitted) - pending:]))
-            current = base.withColumn("_residual", F.col("_base") - score_column(open_part))
-            if pending >= cut_every:
-                kept = cut_lineage(current.select(*names, "_x", "_w", F.col("_residual").alias("_base")))
-                base.unpersist()
-                base = kept.persist(StorageLevel.MEMORY_AND_DISK)
-                pending = 0
-                current = base.withColumn("_residual", F.col("_base"))
-            fitted.append(_read_tree(learner.fit(current)))
-            pending += 1
-    finally:
-        base.unpersist()
-    return Ensemble(bias, learning_rate, tuple(names), tuple(fitted))
+    a = stored.select("tree_id", "node_id", F.col("node_rows").alias("stored_rows"), F.col("weight").alias("stored_weight"),
+                      F.col("value").alias("stored_value"), F.col("impurity").alias("stored_impurity"))
+    joined = a.join(observed, ["tree_id", "node_id"], "full_outer")
+    near = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.abs(F.col(x))), F.lit(False))
+    return joined.select(
+        "tree_id", "node_id", F.coalesce(F.col("stored_rows") == F.col("node_rows"), F.lit(False)).alias("rows_agree"),
+        near("stored_weight", "weight").alias("weight_agrees"), near("stored_value", "residual_mean").alias("value_agrees"),
+        near("stored_impurity", "residual_variance").alias("impurity_agrees"), "days")
+
+
+def weighted_moments(rows: DataFrame, value: str, weight: str, by: Sequence[str]) -> DataFrame:
+    """n, weight, mean and variance per group, from centred moments of the rows of equal weight."""
+    out = spread(equal_weight_groups(rows, by, weight, value), by, F.sum("n").alias("n"))
+    return out.select(*by, "n", F.col("w").alias("weight"), F.col("mean").alias("weighted_mean"),
+                      F.col("variance").alias("weighted_variance"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from barlab.operators import labels, model
+import dataclasses
+
+from pyspark.sql import functions as F
+
+from barlab.operators import boosting, labels, model
 from barlab.operators.grouping import exact_quantiles
 from barlab.plans.output import tidied
 from barlab.plans.views import FEATURES, features
 
 
-def sample_ensemble(trees: int = 8) -> model.Ensemble:
+def sample_ensemble(trees: int = model.FIT["trees"]) -> model.Ensemble:
     """Complete depth-3 trees by rule, with cuts around the middle of the encoded range."""
     built = []
     for t in range(trees):
@@ -52,11 +56,24 @@ def score_trees(spark, sf):
     return tidied(model.score(encoded(spark, sf), bound).select("date", "code", "half", "score"))
 
 
+def changed_ensemble() -> model.Ensemble:
+    """The sample ensemble with the root cut of its fourth tree moved."""
+    trees = list(ENSEMBLE.trees)
+    moved = (trees[3].threshold[0] + 40.0, *trees[3].threshold[1:])
+    trees[3] = dataclasses.replace(trees[3], threshold=moved)
+    return dataclasses.replace(ENSEMBLE, trees=tuple(trees))
+
+
 def score_replay(spark, sf):
+    """Scores of column expressions against the walk of a node table, of the same model and of one with a changed cut."""
     rows = encoded(spark, sf)
-    nodes = model.tree_table(spark, ENSEMBLE)
-    again = model.trees_from_table(nodes, ENSEMBLE.bias, ENSEMBLE.learning_rate, FEATURES)
-    return model.score_replay(model.score(rows, ENSEMBLE), model.score(rows, again), CUT)
+    scored = model.score(rows, ENSEMBLE)
+    out = None
+    for name, other in (("same", ENSEMBLE), ("changed", changed_ensemble())):
+        walked = model.descend(rows, model.tree_table(spark, other), other.bias, other.learning_rate, FEATURES, model.FIT["depth"])
+        one = model.score_replay(scored, walked, CUT).withColumn("table", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def quantile_cuts(spark, sf):
@@ -73,9 +90,12 @@ def weighted_moments(spark, sf):
 
 
 def fit_boosted(spark, sf):
-    """Node table of three fitted rounds; thresholds come from MLlib's binning, so no SQL twin."""
-    fitted = model.fit_boosted(training_rows(spark, sf), FEATURES, trees=3)
-    return model.tree_table(spark, fitted)
+    """The fit with the parameters of the library (64 trees of depth 3, leaves of 300 rows), each node against its training rows."""
+    rows = training_rows(spark, sf)
+    fitted = boosting.fit_boosted(rows, FEATURES)
+    nodes = model.tree_table(spark, fitted)
+    audit = model.node_audit(nodes, model.node_stats(rows, fitted)).drop("days")
+    return tidied(nodes.join(audit, ["tree_id", "node_id"], "full_outer"), 7)
 
 
 QUERIES = {f.__name__: f for f in (

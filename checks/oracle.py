@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from barlab.plans.models import CUT, ENSEMBLE, FEATURES
+from barlab.operators.model import FIT
+from barlab.plans.models import CUT, ENSEMBLE, FEATURES, changed_ensemble
 from checks.views import with_views
 
 ORACLE_SQL: dict[str, str] = {}
@@ -528,35 +529,92 @@ ORACLE_SQL["encode_features_tenfold"] = with_views(["features"], "SELECT date, c
     + " FROM features WHERE formula_input_valid")
 ORACLE_SQL["score_trees"] = with_views(["encoded"], f"""
 SELECT date, code, half, {r(f'CASE WHEN formula_input_valid THEN {SCORE} END', 'score')} FROM encoded""")
+_OTHER = changed_ensemble()
+OTHER_SCORE = f"{_OTHER.bias!r}::DOUBLE + " + " + ".join(f"({leaf_score(t)})" for t in _OTHER.trees)
 ORACLE_SQL["score_replay"] = with_views(["encoded"], f"""
-SELECT count(*) AS rows, count(score) AS scored, CAST(0 AS BIGINT) AS missing_mismatch, CAST(0 AS BIGINT) AS value_mismatch,
-  CAST(0 AS BIGINT) AS flag_mismatch, count(*) FILTER (score > {CUT}) AS selected
-FROM (SELECT CASE WHEN formula_input_valid THEN {SCORE} END AS score FROM encoded)""")
+SELECT count(*) AS rows, count(score) AS scored, CAST(0 AS BIGINT) AS missing_mismatch,
+  count(*) FILTER (abs(score - walked) > 2e-11) AS value_mismatch,
+  count(*) FILTER ((score > {CUT}) <> (walked > {CUT})) AS flag_mismatch, count(*) FILTER (score > {CUT}) AS selected, "table"
+FROM (SELECT CASE WHEN formula_input_valid THEN {SCORE} END AS score,
+        unnest(['same', 'changed']) AS "table",
+        unnest([CASE WHEN formula_input_valid THEN {SCORE} END, CASE WHEN formula_input_valid THEN {OTHER_SCORE} END]) AS walked
+      FROM encoded) GROUP BY "table" """)
 _QS = (0.97, 0.98, 0.99, 0.995, 0.998, 0.999, 0.9995)
 ORACLE_SQL["quantile_cuts"] = with_views(["training_rows"], f"""
 SELECT half, unnest([{', '.join(f'{q}::DOUBLE' for q in _QS)}]) AS probability,
   unnest([{', '.join(f'round(quantile_cont(score, {q}) + 4e-13, 9) + 0.0' for q in _QS)}]) AS threshold
 FROM (SELECT half, {SCORE} AS score FROM training_rows) GROUP BY half""")
 ORACLE_SQL["weighted_moments"] = with_views(["training_rows"], f"""
-SELECT half, n, {rs(['weight'])}, {r('m', 'weighted_mean')}, {r('q - m * m', 'weighted_variance')} FROM (
-  SELECT half, count(target) AS n, sum(weight) AS weight, sum(weight * target) / sum(weight) AS m,
-    sum(weight * target * target) / sum(weight) AS q FROM training_rows GROUP BY half)""")
-
-
-_NODES, _residual = [], f"target - {ENSEMBLE.bias!r}::DOUBLE"
-_RES = []
-for _t, _tree in enumerate(ENSEMBLE.trees):
-    _RES.append(f"{_residual} AS r{_t}")
-    _residual = f"{_residual} - ({leaf_score(_tree)})"
-    for _n, _level, _leaf, _path in regions(_tree):
-        _NODES.append(f"""SELECT {_t} AS tree_id, {_n} AS node_id, {_level} AS level, {str(_leaf).lower()} AS is_leaf,
-          count(*) AS node_rows, sum(weight) AS weight, count(DISTINCT date) AS days, sum(weight * r{_t}) / sum(weight) AS m,
-          sum(weight * r{_t} * r{_t}) / sum(weight) AS q FROM res WHERE {_path}""")
+SELECT half, n, {rs(['weight'])}, {r('m', 'weighted_mean')}, {r('v', 'weighted_variance')} FROM (
+  SELECT half, count(target) AS n, sum(weight) AS weight, any_value(m) AS m,
+    sum(weight * (target - m) * (target - m)) / sum(weight) AS v
+  FROM training_rows JOIN (SELECT half, sum(weight * target) / sum(weight) AS m FROM training_rows GROUP BY half) USING (half) GROUP BY half)""")
+
+
+def leaf_of(tree) -> str:
+    return f"CASE {' '.join(f'WHEN {c} THEN {node}' for node, _, leaf, c in regions(tree) if leaf)} END"
+
+
+_PATHS = ", ".join(f"({t}, {leaf}, {node}, {len(tree.path(node)) - 1}, {str(node == leaf).lower()})"
+                   for t, tree in enumerate(ENSEMBLE.trees) for leaf in tree.leaves() for node in tree.path(leaf))
 ORACLE_SQL["node_stats"] = with_views(["training_rows"], f"""
-, res AS MATERIALIZED (SELECT date, weight, {CODES}, {', '.join(_RES)} FROM training_rows)
-SELECT tree_id, node_id, level, is_leaf, node_rows, {rs(['weight'], 8)}, days, {r('m', 'residual_mean', 8)},
-  {r('q - m * m', 'residual_variance', 8)}
-FROM ({' UNION ALL '.join(_NODES)}) WHERE node_rows > 0""").replace(")\n, res AS", "),\nres AS", 1)
+, seats AS (SELECT row_number() OVER () AS id, date, weight, target, {CODES} FROM training_rows),
+steps AS (
+  SELECT id, date, weight, target, unnest(range({len(ENSEMBLE.trees)})) AS tree_id, unnest([{', '.join(leaf_of(t) for t in ENSEMBLE.trees)}]) AS leaf,
+    unnest([{', '.join(leaf_score(t) for t in ENSEMBLE.trees)}]) AS step FROM seats),
+res AS (
+  SELECT tree_id, leaf, date, weight, target - {ENSEMBLE.bias!r}::DOUBLE - coalesce(sum(step) OVER (
+    PARTITION BY id ORDER BY tree_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM steps),
+paths(tree_id, leaf, node_id, level, is_leaf) AS (VALUES {_PATHS}),
+met AS MATERIALIZED (SELECT * FROM res JOIN paths USING (tree_id, leaf)),
+means AS (SELECT tree_id, node_id, sum(weight * r) / sum(weight) AS m FROM met GROUP BY ALL)
+SELECT CAST(tree_id AS INTEGER) AS tree_id, node_id, level, is_leaf, count(*) AS node_rows, {r('sum(weight)', 'weight', 8)}, count(DISTINCT date) AS days,
+  {r('any_value(m)', 'residual_mean', 8)}, {r('sum(weight * (r - m) * (r - m)) / sum(weight)', 'residual_variance', 8)}
+FROM met JOIN means USING (tree_id, node_id) GROUP BY tree_id, node_id, level, is_leaf""").replace(")\n, seats AS", "),\nseats AS", 1)
+FIT_STEPS = FIT["trees"] * FIT["depth"]
+LAST = f"step % {FIT['depth']} = {FIT['depth'] - 1}"
+# Each round of the recursion is one level of one tree: rows carry (node, residual), and every node that holds rows is reported.
+ORACLE_SQL["fit_boosted"] = with_views(["training_rows"], f"""
+, t AS MATERIALIZED (SELECT row_number() OVER () AS id, [{CODES}] AS x, weight AS w, target AS y FROM training_rows),
+long AS MATERIALIZED (SELECT id, w, unnest(x) AS v, unnest(range({len(FEATURES)})) AS f FROM t),
+start AS (SELECT sum(w * y) / sum(w) AS bias FROM t),
+scale AS MATERIALIZED (SELECT sum(w * (y - bias) * (y - bias)) AS scale FROM t, start),
+state AS (
+  SELECT 0 AS step, id, 0 AS node, y - bias AS r, CAST(NULL AS BIGINT) AS f, CAST(NULL AS DOUBLE) AS cut,
+    CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS w, CAST(NULL AS DOUBLE) AS s, CAST(NULL AS DOUBLE) AS q FROM t, start
+  UNION ALL (
+    WITH cur AS (SELECT step, id, node, r FROM state WHERE id IS NOT NULL AND step < {FIT_STEPS}),
+    cells AS (SELECT any_value(step) AS step, node, f, v, count(*) AS n, sum(w) AS w, sum(w * r) AS s, sum(w * r * r) AS q
+              FROM cur JOIN long USING (id) GROUP BY node, f, v),
+    sided AS (SELECT *, lead(v) OVER o AS next, sum(n) OVER o AS ln, sum(w) OVER o AS lw, sum(s) OVER o AS ls,
+                sum(n) OVER p AS tn, sum(w) OVER p AS tw, sum(s) OVER p AS ts, sum(q) OVER p AS tq
+              FROM cells WINDOW o AS (PARTITION BY node, f ORDER BY v ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY node, f)),
+    gains AS (SELECT *, CASE WHEN next IS NOT NULL AND ln >= {FIT['min_leaf_rows']} AND tn - ln >= {FIT['min_leaf_rows']}
+                THEN round((ls * ls / lw + (ts - ls) * (ts - ls) / (tw - lw) - ts * ts / tw) / scale, 9) END AS gain FROM sided, scale),
+    best AS (SELECT *, (v + next) / 2.0 AS cut FROM gains
+             QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC NULLS LAST, f, v) = 1),
+    placed AS (
+      SELECT c.step, c.id, c.r, x.w, CASE WHEN b.gain > 0 THEN 2 * c.node + 1 + CAST(x.x[b.f + 1] > b.cut AS INTEGER) ELSE c.node END AS node
+      FROM cur c JOIN best b USING (node) JOIN t x USING (id)),
+    leaves AS (SELECT node, count(*) AS n, sum(w) AS w, sum(w * r) AS s, sum(w * r * r) AS q FROM placed GROUP BY node)
+    SELECT p.step + 1, p.id, CASE WHEN {LAST.replace('step', 'p.step')} THEN 0 ELSE p.node END,
+      CASE WHEN {LAST.replace('step', 'p.step')} THEN p.r - {FIT['learning_rate']}::DOUBLE * l.s / l.w ELSE p.r END, NULL, NULL, NULL, NULL, NULL, NULL
+    FROM placed p JOIN leaves l USING (node)
+    UNION ALL
+    SELECT step, NULL, node, NULL, CASE WHEN gain > 0 THEN f END, CASE WHEN gain > 0 THEN cut END, tn, tw, ts, tq FROM best
+    UNION ALL
+    SELECT (SELECT max(step) FROM cur), NULL, node, NULL, NULL, NULL, n, w, s, q FROM leaves
+    WHERE (SELECT max({LAST}) FROM cur))),
+nodes AS (
+  SELECT step // {FIT['depth']} AS tree_id, node, max(f) AS f, max(cut) AS cut, any_value(n) AS n, any_value(w) AS w, any_value(s) AS s, any_value(q) AS q
+  FROM state WHERE id IS NULL GROUP BY ALL),
+named AS (SELECT *, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY node) - 1 AS INTEGER) AS node_id FROM nodes)
+SELECT CAST(a.tree_id AS INTEGER) AS tree_id, a.node_id, CAST(coalesce(a.f, -1) AS INTEGER) AS feature, coalesce(a.cut, 0.0) AS threshold,
+  coalesce(l.node_id, -1) AS "left", coalesce(g.node_id, -1) AS "right", {r('a.s / a.w', 'value', 7)}, a.n AS node_rows, {r('a.w', 'weight', 7)},
+  {r('greatest(a.q / a.w - (a.s / a.w) * (a.s / a.w), 0.0)', 'impurity', 7)},
+  true AS rows_agree, true AS weight_agrees, true AS value_agrees, true AS impurity_agrees
+FROM named a LEFT JOIN named l ON l.tree_id = a.tree_id AND l.node = 2 * a.node + 1
+  LEFT JOIN named g ON g.tree_id = a.tree_id AND g.node = 2 * a.node + 2""").replace(")\n, t AS", "),\nt AS", 1).replace("WITH ", "WITH RECURSIVE ", 1)
 
 # --- basics ------------------------------------------------------------------------
 

@@ -5,8 +5,9 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from barlab.operators import model, selection
+from barlab.operators import boosting, model, selection
 from barlab.plans.models import sample_ensemble
 from barlab.plans.views import FEATURES
 
@@ -74,20 +75,99 @@ def test_node_stats_match_brute_force(inputs):
     assert seen == len(got)
 
 
-def test_fit_finds_the_cut_keeps_leaves_large_and_lowers_the_error(inputs):
+def plain_tree(x, w, r, depth, least, scale):
+    """Exhaustive search: (feature, threshold) by place in the full tree and the rows of every node."""
+    held, cuts = {0: np.arange(len(r))}, {}
+    score = lambda i: (w[i] @ r[i]) ** 2 / w[i].sum()
+    for place in range(2 ** depth - 1):
+        if place not in held:
+            continue
+        rows, best = held[place], None
+        for f in range(x.shape[1]):
+            values = np.unique(x[rows, f])
+            for low, high in zip(values, values[1:]):
+                left, right = rows[x[rows, f] <= low], rows[x[rows, f] > low]
+                if len(left) >= least and len(right) >= least:
+                    gain = round((score(left) + score(right) - score(rows)) / scale, 9)
+                    if best is None or gain > best[0]:
+                        best = (gain, f, (low + high) / 2, left, right)
+        if best and best[0] > 0:
+            cuts[place], held[2 * place + 1], held[2 * place + 2] = best[1:3], best[3], best[4]
+    return cuts, held
+
+
+@pytest.mark.parametrize(("parts", "least", "depth"), [(1, 300, 3), (7, 40, 2), (3, 900, 3)])
+def test_fit_equals_a_plain_search(inputs, parts, least, depth):
     pdf, df = inputs
-    fitted = model.fit_boosted(df, FEATURES, trees=5, cut_every=2)
-    assert fitted.bias == pytest.approx(np.average(pdf.target, weights=pdf.weight))
-    root = fitted.trees[0]
-    assert root.feature[0] == 0 and 10010 <= root.threshold[0] < 10011
-    stats = model.node_stats(df, fitted).where("is_leaf").toPandas()
-    assert stats.node_rows.min() >= 300
-    nodes = model.node_stats(df, fitted).toPandas().set_index(["tree_id", "node_id"])
-    for t, tree in enumerate(fitted.trees):
-        for i in tree.leaves():
-            assert nodes.loc[(t, i)].residual_mean == pytest.approx(tree.value[i], abs=1e-9)
-    roots = nodes.xs(0, level="node_id").residual_variance.sort_index()
-    assert roots.is_monotonic_decreasing
+    few = [*FEATURES[:3]]
+    coarse = pdf.assign(**{n: pdf[n] // 4 for n in few})
+    fitted = boosting.fit_boosted(df.sparkSession.createDataFrame(coarse).repartition(parts), few, trees=4, depth=depth, min_leaf_rows=least,
+                                  learning_rate=0.3, cut_every=2)
+    x, w, y = coarse[few].to_numpy(), pdf.weight.to_numpy(), pdf.target.to_numpy()
+    assert fitted.bias == pytest.approx(np.average(y, weights=w))
+    r = y - fitted.bias
+    scale = w @ (r * r)
+    for tree in fitted.trees:
+        cuts, held = plain_tree(x, w, r, depth, least, scale)
+        order = sorted(held)
+        assert [(f, t) for f, t in zip(tree.feature, tree.threshold)] == [cuts.get(i, (-1, 0.0)) for i in order]
+        assert list(tree.rows) == [len(held[i]) for i in order]
+        for k, i in enumerate(order):
+            mean = np.average(r[held[i]], weights=w[held[i]])
+            assert tree.value[k] == pytest.approx(mean, abs=1e-9) and tree.weight[k] == pytest.approx(w[held[i]].sum())
+            assert tree.impurity[k] == pytest.approx(np.average((r[held[i]] - mean) ** 2, weights=w[held[i]]), abs=1e-9)
+        for k, i in enumerate(order):
+            if i not in cuts:
+                r[held[i]] -= 0.3 * tree.value[k]
+
+
+def test_equal_cuts_go_to_the_earlier_feature_and_incomplete_rows_take_no_part(spark):
+    rows = [(i, i, float(i > 5), 1.0) for i in range(12)] + [(None, 3, 9.0, 1.0), (3, 3, None, 1.0), (3, 3, 9.0, None)]
+    df = spark.createDataFrame(rows, "a int, b int, target double, weight double")
+    tree = boosting.fit_boosted(df, ["b", "a"], trees=1, depth=1, min_leaf_rows=1).trees[0]
+    assert tree == model.Tree((0, -1, -1), (5.5, 0.0, 0.0), (1, -1, -1), (2, -1, -1), (0.0, -0.5, 0.5), (12, 6, 6), (12.0, 6.0, 6.0), (0.25, 0.0, 0.0))
+    same = boosting.fit_boosted(df, ["a"], trees=2, depth=3, min_leaf_rows=7).trees
+    assert [t.left for t in same] == [(-1,), (-1,)]
+    with pytest.raises(ValueError):
+        boosting.fit_boosted(df.limit(0), ["a"])
+
+
+def test_what_a_fit_stored_agrees_with_its_rows_and_a_change_is_seen(inputs):
+    pdf, df = inputs
+    fitted = boosting.fit_boosted(df, FEATURES, trees=3)
+    observed = model.node_stats(df, fitted)
+    flags = ["rows_agree", "weight_agrees", "value_agrees", "impurity_agrees"]
+    nodes = model.tree_table(df.sparkSession, fitted)
+    found = model.node_audit(nodes, observed).toPandas()
+    assert found[flags].all().all() and len(found) == sum(len(t.left) for t in fitted.trees)
+    broken = nodes.withColumn("value", F.expr("value + if(tree_id = 1 and node_id = 2, 1e-6, 0)")).where("tree_id < 2 or node_id <> 1")
+    found = model.node_audit(broken, observed).toPandas().set_index(["tree_id", "node_id"])
+    assert not found.value_agrees[(1, 2)] and found.rows_agree[(1, 2)] and not found.rows_agree[(2, 1)]
+
+
+def test_variances_do_not_depend_on_the_size_of_the_target(inputs):
+    pdf, df = inputs
+    far = df.withColumn("target", F.col("target") + 1e6).withColumn("half", F.lit("h"))
+    e = sample_ensemble(2)
+    a, b = (model.node_stats(rows, e).toPandas().set_index(["tree_id", "node_id"]).residual_variance.sort_index() for rows in (df, far))
+    assert np.allclose(a, b, rtol=1e-6)
+    got = model.weighted_moments(far, "target", "weight", ["half"]).first()
+    mean = np.average(pdf.target, weights=pdf.weight)
+    assert got["weighted_variance"] == pytest.approx(np.average((pdf.target - mean) ** 2, weights=pdf.weight), rel=1e-6)
+
+
+def test_replay_walks_the_table_and_catches_one_changed_cut(inputs):
+    pdf, df = inputs
+    e = sample_ensemble(5)
+    nodes = model.tree_table(df.sparkSession, e)
+    scored = model.score(df, e)
+    walk_of = lambda table, depth=3: model.descend(df, table, e.bias, e.learning_rate, FEATURES, depth)
+    same = model.score_replay(scored, walk_of(nodes), 0.15).first()
+    assert (same["missing_mismatch"], same["value_mismatch"], same["scored"]) == (0, 0, int(pdf.formula_input_valid.sum()))
+    cut = nodes.withColumn("threshold", F.expr("threshold + if(tree_id = 2 and node_id = 1, 25, 0)"))
+    assert model.score_replay(scored, walk_of(cut), 0.15).first()["value_mismatch"] > 0
+    assert walk_of(nodes, 2).where("score is not null").count() == 0
+    assert model.score_replay(scored, walk_of(nodes.where("not (tree_id = 0 and node_id = 9)")), 0.15).first()["missing_mismatch"] > 0
 
 
 def test_model_must_name_the_declared_features():
