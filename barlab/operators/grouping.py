@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,31 +80,31 @@ def own_rows(rows: DataFrame) -> DataFrame:
     return rows.where("_own").drop("_own", "_chunk", "_seq")
 
 
-def band_splits(values: DataFrame, value: str, bands: int) -> list[float]:
-    """Cut points that divide a numeric column into about ``bands`` equal parts.
+BANDS = 64          # pieces of a group
+PER_BAND = 15       # sampled values per piece
 
-    Only balance depends on their accuracy, never a result.
-    """
-    if bands <= 1:
-        return []
-    probabilities = [i / bands for i in range(1, bands)]
-    cuts = values.approxQuantile(value, probabilities, min(0.001, 0.25 / bands))
-    return sorted(set(cuts))
-
-
-def with_bands(rows: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
-    if not cuts:
-        return rows.withColumn("_band", F.lit(0))
-    splits = [-math.inf, *cuts, math.inf]
-    return (Bucketizer(splits=splits, inputCol=value, outputCol="_band", handleInvalid="keep")
-            .transform(rows).withColumn("_band", F.col("_band").cast("int")))
 
+def with_bands(cells: DataFrame, group: str, value: str, bands: int = BANDS) -> DataFrame:
+    """Add ``_band``: which of up to ``bands`` about equal, ordered pieces of its group a value lies in.
 
-def needed_bands(rows: DataFrame, group: str, value: str, per_task: int) -> int:
-    """Pieces needed so that no (group, band) has many more than ``per_task`` values."""
-    largest = (rows.groupBy(group).agg(F.approx_count_distinct(value).alias("d"))
-               .agg(F.max("d")).first()[0])
-    return max(1, math.ceil((largest or 0) / per_task))
+    ``cells`` has one row per (group, value). Cut points come from the values with the smallest hashes, a fixed
+    number per group, so they are a fair sample of the distinct values, the same whenever the plan runs, and
+    part of the plan itself. They affect balance only, never a result.
+    """
+    fewest = Window.partitionBy(group).orderBy(F.xxhash64(value), value)
+    sample = (cells.select(group, value, F.row_number().over(fewest).alias("_i")).where(F.col("_i") <= bands * PER_BAND)
+              .groupBy(group).agg(F.sort_array(F.collect_list(value)).alias("_sample")))      # a fixed number of values
+    points = sample.select(F.col(group).alias("_group"), F.expr(
+        f"transform(filter(sequence(1, {bands - 1}), i -> i * size(_sample) >= {bands}), "
+        f"i -> element_at(_sample, cast(i * size(_sample) div {bands} as int)))").alias("_cuts")) if bands > 1 else None
+    if points is None:
+        return cells.withColumn("_band", F.lit(0))
+    step = max(2, math.isqrt(bands))
+    v = F.col(value)
+    block = F.size(F.expr(f"filter(_cuts, (c, i) -> i % {step} = {step - 1} and c < `{value}`)"))
+    inside = F.size(F.filter(F.slice("_cuts", F.col("_block") * step + 1, F.lit(step)), lambda c: c < v))
+    return (cells.join(points, F.col(group).eqNullSafe(F.col("_group")), "left").withColumn("_block", block)
+            .withColumn("_band", F.coalesce(F.col("_block") * step + inside, F.lit(0))).drop("_group", "_cuts", "_block"))
 
 
 def running_counts(
@@ -113,25 +112,23 @@ def running_counts(
     group: str,
     value: str,
     counts: Sequence[str],
-    cuts: Sequence[float] = (),
+    bands: int = BANDS,
 ) -> DataFrame:
     """Add ``<count>_below`` for each count: its sum over smaller values of the group.
 
-    ``cells`` has one row per (group, value). The sum is taken inside (group, band)
-    pieces; totals of the lower bands are added from a table of band totals.
+    A prefix sum: ``cells`` has one row per (group, value); the sum is taken inside (group, band) pieces, and
+    totals of the lower bands, at most ``bands`` rows per group, are added.
     """
-    banded = with_bands(cells, value, cuts)
+    banded = with_bands(cells, group, value, bands)
     inside = (Window.partitionBy(group, "_band").orderBy(value)
               .rowsBetween(Window.unboundedPreceding, -1))
     local = banded.select("*", *[
         F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_below") for c in counts])
-    if not cuts:
-        return local.drop("_band")
     lower = Window.partitionBy(group).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     totals = banded.groupBy(group, "_band").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
-    offsets = totals.select(group, "_band", *[
+    offsets = totals.select(F.col(group).alias("_group"), F.col("_band").alias("_at"), *[
         F.coalesce(F.sum(f"_{c}").over(lower), F.lit(0)).alias(f"_{c}") for c in counts])
-    joined = local.join(offsets, [group, "_band"])
+    joined = local.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_band") == F.col("_at")))
     return joined.select(*cells.columns, *[
         (F.col(f"{c}_below") + F.col(f"_{c}")).alias(f"{c}_below") for c in counts])
 
@@ -141,24 +138,19 @@ def exact_quantiles(
     value: str,
     probabilities: Sequence[float],
     by: str,
-    direct_rows: int = 1_000_000,
+    bands: int = BANDS,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group: ``(by, probability, threshold)``.
 
-    The largest group is counted first. Small groups use the exact ``percentile``
-    aggregate. Larger ones are cut into bands: band totals locate the one or two
-    bands that hold each wanted rank, and only those bands are ordered.
+    Equal values collapse first and are cut into bands: band totals locate the one or two bands that
+    hold each wanted rank, and only those bands are ordered. One lazy plan at every size.
     """
     ps = F.array(*[F.lit(float(p)) for p in probabilities])
-    rows = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
-    largest, groups = rows.groupBy(by).count().agg(F.max("count"), F.count(F.lit(1))).first()
-    if (largest or 0) <= direct_rows:
-        found = rows.groupBy(by).agg(F.percentile("_v", ps).alias("_t"))
-        return found.select(by, F.inline(F.arrays_zip(ps, "_t")).alias("probability", "threshold"))
-
-    banded = with_bands(rows, "_v", band_splits(rows, "_v", math.ceil(largest / direct_rows)))
+    cells = (rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("_v"))
+             .agg(F.count(F.lit(1)).alias("_c")))
+    banded = with_bands(cells, by, "_v", bands)
     all_bands = Window.partitionBy(by)
-    totals = banded.groupBy(by, "_band").agg(F.count(F.lit(1)).alias("_n"))
+    totals = banded.groupBy(by, "_band").agg(F.sum("_c").alias("_n"))
     spans = totals.select(
         by, "_band", F.sum("_n").over(all_bands.orderBy("_band")).alias("_upto"), "_n",
         F.sum("_n").over(all_bands).alias("_total"))
@@ -167,14 +159,12 @@ def exact_quantiles(
               .withColumn("_h", (F.col("_total") - 1) * F.col("probability"))
               .withColumn("_first", F.col("_upto") - F.col("_n"))
               .where((F.col("_upto") > rank) & (F.col("_first") <= rank + 1))
-              .select(by, "_band", "probability", "_h", "_first"))
-    if groups * len(probabilities) * 2 <= 1_000_000:
-        wanted = F.broadcast(wanted)
+              .select(F.col(by).alias("_group"), F.col("_band").alias("_at"), "probability", "_h", "_first"))
     keys = [by, "probability", "_band", "_first", "_h"]
-    cells = banded.join(wanted, [by, "_band"]).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    met = banded.join(wanted, F.col(by).eqNullSafe(F.col("_group")) & (F.col("_band") == F.col("_at"))).select(*keys, "_v", "_c")
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
     last = F.col("_first") + F.col("_upto") - 1                 # rank of the last copy of a value
-    out = cells.withColumn("_upto", upto).groupBy(by, "probability", "_h").agg(
+    out = met.withColumn("_upto", upto).groupBy(by, "probability", "_h").agg(
         F.min(F.when(last >= rank, F.col("_v"))).alias("_a"),
         F.min(F.when(last >= rank + 1, F.col("_v"))).alias("_b"))
     step = F.coalesce(F.col("_b") - F.col("_a"), F.lit(0.0)) * (F.col("_h") - rank)

@@ -1,7 +1,7 @@
 """Within-day rank statistics.
 
 Rows collapse to one cell per (day, score) before anything is ordered, so ties cost
-nothing. When one day still holds very many distinct scores it is ordered in bands.
+nothing. A day is ordered in bands, whatever its size.
 """
 
 from __future__ import annotations
@@ -12,31 +12,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlab.functions.scalars import ratio
-from barlab.operators.grouping import band_splits, needed_bands, running_counts
+from barlab.operators.grouping import BANDS, running_counts
 
-SCORES_PER_TASK = 2_000_000
+SALTS = 1024        # pieces of a tied score
 
 
-def _cuts(rows: DataFrame, score: str, bands: int | None) -> Sequence[float]:
-    n = bands if bands is not None else needed_bands(rows, "date", score, SCORES_PER_TASK)
-    return band_splits(rows, score, n)
+def average_ranks(rows: DataFrame, score: str = "score", bands: int = BANDS, salts: int = SALTS) -> DataFrame:
+    """Rank of each row's score within its day, from 1; ties share their average rank, a NULL score has none.
 
-
-def average_ranks(rows: DataFrame, score: str = "score", bands: int | None = None) -> DataFrame:
-    """Rank of each row's score within its day, from 1; ties share their average rank."""
-    cells = rows.groupBy("date", score).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_counts(cells, "date", score, ["_n"], _cuts(rows, score, bands))
+    A score may hold a large part of a day, so the rank does not travel back over (date, score) alone: rows are
+    dealt to salted cells by a hash of their columns, the salted cells (never more than rows) fetch the rank of
+    their score, and rows join their salted cell.
+    """
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    salted = dealt.where(F.col(score).isNotNull()).groupBy("date", score, "_salt").agg(F.count(F.lit(1)).alias("_part"))
+    cells = salted.groupBy("date", score).agg(F.sum("_part").alias("_n"))
+    ranked = running_counts(cells, "date", score, ["_n"], bands)
     place = ranked.select(
         "date", score, (F.col("_n_below") + 1).alias("rank"),
         (F.col("_n_below") + (F.col("_n") + 1) / 2).alias("average_rank"))
-    return rows.join(place, ["date", score], "left")
+    spread = salted.join(place, ["date", score]).select("date", score, "_salt", "rank", "average_rank")
+    return dealt.join(spread, ["date", score, "_salt"], "left").drop("_salt")
 
 
 def pair_statistics(
     rows: DataFrame,
     contrasts: Mapping[str, Sequence[tuple[Column, Column]]],
     score: str = "score",
-    bands: int | None = None,
+    bands: int = BANDS,
 ) -> DataFrame:
     """Ordered-pair counts per day for several contrasts, in one pass over the rows.
 
@@ -51,7 +54,7 @@ def pair_statistics(
     cells = rows.groupBy("date", score).agg(
         F.count(F.lit(1)).alias("_rows"), *[F.count_if(c).alias(n) for n, c in classes])
     lows = [n for n, _ in classes if n.endswith("_l")]
-    ranked = running_counts(cells, "date", score, lows, _cuts(rows, score, bands))
+    ranked = running_counts(cells, "date", score, lows, bands)
     sums = [F.sum("_rows").alias("rows")]
     for name, parts in contrasts.items():
         for i in range(len(parts)):
@@ -71,13 +74,13 @@ def pair_statistics(
     return days.select(*out)
 
 
-def daily_auc(rows: DataFrame, labels: Sequence[str], score: str = "score", bands: int | None = None) -> DataFrame:
+def daily_auc(rows: DataFrame, labels: Sequence[str], score: str = "score", bands: int = BANDS) -> DataFrame:
     """Within-day AUC for 0/1 labels."""
     contrasts = {n: [(F.col(n) == 1, F.col(n) == 0)] for n in labels}
     return pair_statistics(rows, contrasts, score, bands)
 
 
-def ordinal_auc(rows: DataFrame, utility: str = "utility", score: str = "score", bands: int | None = None,
+def ordinal_auc(rows: DataFrame, utility: str = "utility", score: str = "score", bands: int = BANDS,
                 levels: Sequence[int] = (-3, 0, 1)) -> DataFrame:
     """Within-day AUC over ordered categories; only their order enters, not their size."""
     u = F.col(utility)

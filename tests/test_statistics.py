@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlab.operators import bootstrap, compare, evaluation, ranking, selection
-from barlab.operators.grouping import exact_quantiles, frame_difference, with_day_stats
+from barlab.operators.grouping import exact_quantiles, frame_difference, with_bands, with_day_stats
 
 DAY = dt.date(2025, 1, 2)
 
@@ -142,7 +142,7 @@ def test_ordinal_auc_of_a_day_with_one_utility(spark):
     assert (r["rows"], r["utility_pairs"], r["utility_auc"]) == (4, 0, None)
 
 
-@pytest.mark.parametrize("bands", [1, 7])
+@pytest.mark.parametrize("bands", [1, 7, 64])
 def test_average_ranks(spark, bands):
     g = np.random.default_rng(8)
     pdf = pd.DataFrame({"date": [DAY] * 200 + [DAY + dt.timedelta(days=1)] * 30, "code": range(230),
@@ -152,13 +152,41 @@ def test_average_ranks(spark, bands):
     assert np.allclose(out.average_rank.sort_index().to_numpy(), want.to_numpy())
 
 
-@pytest.mark.parametrize("direct", [10**6, 50])
-def test_exact_quantiles_direct_and_banded(spark, direct):
+def test_a_score_of_half_the_rows_is_spread_and_null_scores_have_no_rank(spark):
+    n = 40000
+    rows = spark.range(n).select(F.lit(DAY).alias("date"), F.col("id").alias("code"), F.expr(
+        "case when id % 2 = 0 then 7.0 when id % 100 = 1 then null else cast(id as double) end").alias("score"))
+    out = ranking.average_ranks(rows)
+    got = {r["score"]: r for r in out.dropDuplicates(["score"]).collect()}
+    below = sum(1 for i in range(1, 7, 2) if i % 100 != 1)
+    assert out.count() == n and got[7.0]["rank"] == below + 1 and got[None]["average_rank"] is None
+    same = n // 2 + 1
+    assert got[7.0]["average_rank"] == below + (same + 1) / 2
+    sizes = (rows.where("score is not null").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(ranking.SALTS)))
+             .repartition(16, "date", "score", "_salt").groupBy(F.spark_partition_id()).count().toPandas()["count"])
+    assert len(sizes) == 16 and sizes.max() <= 2 * sizes.median()
+
+
+def test_bands_are_balanced_and_the_same_each_time(spark):
+    cells = spark.range(20000).select((F.col("id") % 2).alias("g"), F.exp(F.col("id") / 900.0).alias("v"), F.lit(1).alias("c"))
+    banded = with_bands(cells, "g", "v", 16)
+    sizes = banded.groupBy("g", "_band").count().toPandas()
+    assert len(sizes) == 32 and sizes["count"].max() < 3 * sizes["count"].median()
+    ends = banded.groupBy("g", "_band").agg(F.min("v").alias("a"), F.max("v").alias("b")).toPandas().sort_values(["g", "_band"])
+    for _, x in ends.groupby("g"):
+        assert (x.a.to_numpy()[1:] > x.b.to_numpy()[:-1]).all()
+    assert frame_difference(banded, with_bands(cells.repartition(5), "g", "v", 16)).count() == 0
+    plan = exact_quantiles(cells, "v", [0.5], "g")._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("bands", [1, 2, 7, 64])
+def test_exact_quantiles_in_any_bands(spark, bands):
     g = np.random.default_rng(2)
     pdf = pd.DataFrame({"fold": ["hot"] * 3000 + ["small"] * 7 + ["one"],
                         "v": np.concatenate([np.round(g.normal(0, 1, 3000), 2), g.normal(5, 1, 7), [3.0]])})
     qs = [0.0, 0.25, 0.97, 0.995, 0.9995, 1.0]
-    out = exact_quantiles(spark.createDataFrame(pdf), "v", qs, "fold", direct_rows=direct).toPandas()
+    out = exact_quantiles(spark.createDataFrame(pdf), "v", qs, "fold", bands=bands).toPandas()
     assert len(out) == 3 * len(qs)
     for _, r in out.iterrows():
         assert r.threshold == pytest.approx(np.quantile(pdf.v[pdf.fold == r.fold], r.probability), abs=1e-12)
