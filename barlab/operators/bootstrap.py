@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barlab.functions.scalars import ratio, week_of
+from barlab.functions.scalars import week_of
 
 DRAWS = 10_000
 TAILS = (0.025, 0.975)
+ROWS = 2_000            # draws multiplied at a time
 
 
-def counter_pick(draw: Column, slot: Column, n_blocks: Column) -> Column:
-    """Block position, from 0, for one slot of one draw.
+@lru_cache(maxsize=2)
+def counter_numbers(first: int, draws: int, slots: int) -> np.ndarray:
+    """A number below 2^32 for each draw, from ``first``, and slot, both counted from 1.
 
-    It depends only on (draw, slot): a lost task rebuilds the same numbers, and all
-    metrics and groups with equally many blocks resample the same positions.
+    It depends only on (draw, slot): a lost task rebuilds the same numbers, and all metrics and groups with
+    equally many blocks resample the same positions.
     """
-    digest = F.md5(F.concat_ws(":", draw.cast("string"), slot.cast("string")))
-    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n_blocks).cast("int")
+    text = (md5(b"%d:%d" % (d, s)).digest()[:4] for d in range(first, first + draws) for s in range(1, slots + 1))
+    return np.frombuffer(b"".join(text), ">u4").reshape(draws, slots).astype(np.int64)
+
+
+def draw_counts(picks: np.ndarray, n: int) -> np.ndarray:
+    """How often each draw takes each block."""
+    places = picks + np.arange(len(picks))[:, None] * n
+    return np.bincount(places.ravel(), minlength=len(picks) * n).reshape(len(picks), n).astype(float)
 
 
 def weekly_blocks(daily: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -39,6 +52,72 @@ def weekly_blocks(daily: DataFrame, keys: Sequence[str], metrics: Sequence[str])
     })
 
 
+def group_weeks(daily: DataFrame, keys: Sequence[str], counts: Sequence[str] = (), metrics: Sequence[str] = (),
+                resampled: Sequence[str] = ()) -> DataFrame:
+    """One row per group in one pass: weeks, days, sums of counts, day-equal means, and the weeks of the resampled metrics.
+
+    ``_gap_<metric>`` counts days without a value; ``_blocks`` is the array of weeks (5,218 in a century).
+    """
+    every = list(dict.fromkeys([*metrics, *resampled]))
+    weeks = daily.groupBy(*keys, week_of(F.col("date")).alias("_week")).agg(
+        F.count(F.lit(1)).alias("_days"), *[F.sum(c).alias(f"_c_{c}") for c in counts],
+        *[F.sum(m).alias(f"_s_{m}") for m in every], *[F.count(m).alias(f"_n_{m}") for m in every])
+    block = F.struct("_week", F.col("_days").cast("double").alias("_days"), *[F.col(f"_s_{m}").cast("double").alias(f"_s_{m}") for m in resampled])
+    return weeks.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("weeks"), F.sum("_days").alias("days"), *[F.sum(f"_c_{c}").alias(c) for c in counts],
+        *[F.try_divide(F.sum(f"_s_{m}"), F.sum(f"_n_{m}")).alias(m) for m in metrics],
+        *[F.sum(F.col("_days") - F.col(f"_n_{m}")).alias(f"_gap_{m}") for m in resampled],
+        F.sort_array(F.collect_list(block)).alias("_blocks"))
+
+
+def with_intervals(groups: DataFrame, metrics: Sequence[str], draws: int = DRAWS, draw_table: DataFrame | None = None) -> DataFrame:
+    """Add ``<metric>_ci_low`` and ``_ci_high`` to the rows of ``group_weeks``: quantiles of resampled day-equal means.
+
+    No interval when a daily value is missing, or with fewer than two weeks. The draws of a number of weeks are a
+    matrix of how often each week is taken; it is made once per task and multiplied with the sums of all
+    metrics of a group at once. ``draw_table`` replaces the counter draws with given (n_blocks, draw, pick) rows.
+    """
+    ends = [f"{m}_ci_{e}" for m in metrics for e in ("low", "high")]
+    kept = [f for f in groups.schema if f.name != "_blocks" and not f.name.startswith("_gap_")]
+    given: dict[int, np.ndarray] | None = None
+    if draw_table is not None:
+        given, rows = {}, sorted(draw_table.select("n_blocks", "draw", "pick").collect())       # given by the caller: draws x weeks
+        for n in {r[0] for r in rows}:
+            given[n] = np.array([r[2] for r in rows if r[0] == n], np.int64).reshape(-1, n)
+
+    def picks_of(n: int) -> Iterator[np.ndarray]:
+        if given is not None:
+            yield given[n]
+            return
+        wide = -(-n // 64) * 64
+        for first in range(1, draws + 1, ROWS):
+            yield counter_numbers(1, draws, wide)[first - 1:first - 1 + ROWS, :n] % n if draws * wide <= 1 << 22 else \
+                counter_numbers(first, min(ROWS, draws + 1 - first), n) % n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, found = batch.column(batch.schema.get_field_index("_blocks")), []
+            for k in range(batch.num_rows):
+                weeks = blocks[k].values
+                whole = [m for m in metrics if batch.column(batch.schema.get_field_index(f"_gap_{m}"))[k].as_py() == 0]
+                out = {}
+                if len(weeks) >= 2 and whole:
+                    sums = np.array([weeks.field("_days").to_numpy(), *[weeks.field(f"_s_{m}").to_numpy() for m in whole]])
+                    totals = np.concatenate([draw_counts(p, len(weeks)) @ sums.T for p in picks_of(len(weeks))])
+                    low, high = np.quantile(totals[:, 1:] / totals[:, :1], TAILS, axis=0)
+                    out = {f"{m}_ci_{e}": float(x) for e, side in (("low", low), ("high", high)) for m, x in zip(whole, side)}
+                found.append([out.get(e) for e in ends])
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            columns += [pa.array([x[i] for x in found], pa.float64()) for i in range(len(ends))]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ends)
+
+    schema = T.StructType(list(kept))
+    for e in ends:
+        schema = schema.add(e, "double")
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartition(parts, *[f.name for f in kept]).mapInArrow(run, schema)      # few small rows, much work each
+
+
 def block_intervals(
     daily: DataFrame,
     keys: Sequence[str],
@@ -46,45 +125,6 @@ def block_intervals(
     draws: int = DRAWS,
     draw_table: DataFrame | None = None,
 ) -> DataFrame:
-    """``<metric>_ci_low`` and ``_ci_high`` per group: quantiles of resampled day-equal means.
-
-    No interval when a daily value is missing, or with fewer than two weeks.
-    ``draw_table`` replaces the counter draws with given (n_blocks, draw, pick) rows.
-
-    A group travels as one row with the array of its weeks (5,218 in a century), so
-    resampling is a narrow explode into a partial sum per draw: no join and no second
-    pass over the daily table.
-    """
-    weeks = daily.groupBy(*keys, week_of(F.col("date")).alias("week")).agg(
-        F.count(F.lit(1)).alias("days"),
-        *[F.sum(m).alias(f"s_{m}") for m in metrics], *[F.count(m).alias(f"n_{m}") for m in metrics])
-    gap = lambda m: F.sum(F.col("days") - F.col(f"n_{m}"))
-    groups = weeks.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("weeks"), *[gap(m).alias(f"gap_{m}") for m in metrics],
-        F.sort_array(F.collect_list(F.struct("week", "days", *[f"s_{m}" for m in metrics]))).alias("_blocks"))
-    fixed = [*keys, "weeks", *[f"gap_{m}" for m in metrics]]
-    if draw_table is None:
-        # Draws go out in batches so that few groups still use many tasks.
-        batches = max(1, min(64, draws // 100))
-        step = -(-draws // batches)
-        spread = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("_batch"))
-        if batches > 1:
-            spread = spread.repartition(*keys, "_batch")
-        first = F.col("_batch") * step + 1
-        drawn = spread.select(*fixed, "_blocks", F.explode(
-            F.sequence(first, F.least(first + step - 1, F.lit(draws)))).alias("draw"))
-        slots = drawn.select(*fixed, "_blocks", "draw", F.explode(
-            F.sequence(F.lit(1), F.col("weeks").cast("int"))).alias("_slot"))
-        picked = slots.withColumn("_block", F.col("_blocks")[counter_pick(F.col("draw"), F.col("_slot"), F.col("weeks"))])
-    else:
-        table = draw_table.withColumnRenamed("n_blocks", "weeks")
-        picked = groups.join(table, "weeks").withColumn("_block", F.col("_blocks")[F.col("pick").cast("int")])
-    means = picked.groupBy(*fixed, "draw").agg(
-        *[ratio(F.sum(f"_block.s_{m}"), F.sum("_block.days")).alias(m) for m in metrics])
-    tails = F.array(*[F.lit(t) for t in TAILS])
-    # At most ``draws`` values per group, so the exact percentile is bounded.
-    ends = means.groupBy(*fixed).agg(*[F.percentile(m, tails).alias(m) for m in metrics])
-    complete = lambda m: (F.col(f"gap_{m}") == 0) & (F.col("weeks") >= 2)
-    return ends.select(*keys, "weeks", *[
-        F.when(complete(m), F.element_at(m, i)).alias(f"{m}_ci_{end}")
-        for m in metrics for i, end in ((1, "low"), (2, "high"))])
+    """weeks and the interval of each metric per group."""
+    groups = group_weeks(daily, keys, resampled=metrics)
+    return with_intervals(groups, metrics, draws, draw_table).drop("days")

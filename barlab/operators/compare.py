@@ -96,9 +96,9 @@ def coupled_bounds(rows: DataFrame, outcomes=None) -> DataFrame:
         (high - low).alias("unknown_weight"), F.col("_u_b").alias("shared_unknown"))
 
 
-def coupled_periods(daily: DataFrame, kinds=("half", "year")) -> DataFrame:
-    return period_summary(daily, ("bps", "sensitive", "target"), ("shared_unknown",),
-                          ("lower", "upper", "unknown_weight"), kinds)
+def coupled_periods(daily: DataFrame, kinds=("half", "year"), spine: DataFrame | None = None) -> DataFrame:
+    metrics = ("lower", "upper", "unknown_weight")
+    return period_summary(daily, ("bps", "sensitive", "target"), ("shared_unknown",), metrics, kinds, metrics, spine)
 
 
 PAIRED_METRICS = ("rate", "one_percent_rate", "mean_reference", "negative_reference", "bad3")

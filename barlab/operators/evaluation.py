@@ -12,7 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlab.functions.scalars import explode_periods, finite, finite_or_null, flag, half_of, ratio
+from barlab.functions.scalars import PERIOD_KINDS, explode_periods, finite, finite_or_null, flag, half_of, ratio
+from barlab.operators.bootstrap import group_weeks, with_intervals
 
 VIEWS = ((5, False), (5, True), (15, False), (15, True))
 
@@ -232,27 +233,54 @@ def daily_arms(rows: DataFrame, ordered: bool = False) -> DataFrame:
     return with_half(finish(arms(cells, ("date", "bps", "sensitive"))))
 
 
+def period_spine(spark, first: str, end: str, keys: DataFrame | None = None, kinds: tuple[str, ...] = ("half", "year")) -> DataFrame:
+    """Every period of the kinds that meets [first, end), per view or per row of ``keys``; bounded by the calendar."""
+    days = F.explode(F.sequence(F.lit(first).cast("date"), F.date_sub(F.lit(end).cast("date"), 1)))
+    named = F.array_distinct(F.flatten(F.collect_list(F.array(*[PERIOD_KINDS[k](F.col("date")) for k in kinds]))))
+    periods = spark.range(1).select(days.alias("date")).agg(named.alias("p"))
+    if keys is None:
+        keys = spark.createDataFrame(list(VIEWS), "bps int, sensitive boolean")
+    return keys.withColumn("period", F.explode(periods.scalar()))
+
+
 def period_summary(
     daily: DataFrame,
     keys: Sequence[str],
     counts: Sequence[str],
     metrics: Sequence[str],
     kinds: tuple[str, ...] = ("half", "year"),
+    intervals: Sequence[str] = (),
+    spine: DataFrame | None = None,
 ) -> DataFrame:
-    """Sums of counts and day-equal means of metrics for every period of every group."""
-    return explode_periods(daily, kinds).groupBy(*keys, "period").agg(
-        F.count(F.lit(1)).alias("days"),
-        *[F.sum(n).alias(n) for n in counts], *[F.avg(n).alias(n) for n in metrics])
+    """Sums of counts and day-equal means of metrics for every period of every group, in one pass over the days.
+
+    ``intervals`` names metrics that also get weekly block-bootstrap ends. ``spine`` has rows (keys, period) that are to be
+    there in any case: without days they show 0 days, counts of 0, and no means or intervals.
+    """
+    groups = group_weeks(explode_periods(daily, kinds), (*keys, "period"), counts, metrics, intervals)
+    out = with_intervals(groups, intervals) if intervals else groups
+    ends = [f"{m}_ci_{e}" for m in intervals for e in ("low", "high")]
+    if spine is not None:
+        out = spine.join(out, [*keys, "period"], "full_outer")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select(*keys, "period", zero("days"), *[zero(c) for c in counts], *metrics, *ends)
+
+
+OPPORTUNITY_INTERVALS = ("rate", "lower", "upper")
+ORDERED_INTERVALS = ("positive_before_rate", "space_before_rate", "lower", "upper")
+DELTA_INTERVALS = ("rate_delta", "lower_delta", "upper_delta")
 
 
-def opportunity_periods(daily: DataFrame, keys=("bps", "sensitive"), kinds=("half", "year")) -> DataFrame:
-    out = period_summary(daily, keys, OPPORTUNITY_COUNTS, OPPORTUNITY_METRICS, kinds)
+def opportunity_periods(daily: DataFrame, keys=("bps", "sensitive"), kinds=("half", "year"), intervals=OPPORTUNITY_INTERVALS,
+                        spine: DataFrame | None = None) -> DataFrame:
+    out = period_summary(daily, keys, OPPORTUNITY_COUNTS, OPPORTUNITY_METRICS, kinds, intervals, spine)
     return out.withColumn("pooled_rate", ratio(F.col("success"), F.col("known")))
 
 
-def ordered_periods(daily: DataFrame, keys=("bps", "sensitive"), kinds=("half", "year")) -> DataFrame:
+def ordered_periods(daily: DataFrame, keys=("bps", "sensitive"), kinds=("half", "year"), intervals=ORDERED_INTERVALS,
+                    spine: DataFrame | None = None) -> DataFrame:
     # bad3 is both a count and the stem of a rate; counts keep the plain name.
-    return period_summary(daily, keys, ORDERED_COUNTS, ORDERED_METRICS, kinds)
+    return period_summary(daily, keys, ORDERED_COUNTS, ORDERED_METRICS, kinds, intervals, spine)
 
 
 def coverage_periods(daily: DataFrame, keys=("bps", "sensitive"), kinds=("half", "year")) -> DataFrame:
@@ -292,9 +320,9 @@ def base_arm_delta(daily_by_arm: DataFrame) -> DataFrame:
         (a("mean_reference") - b("mean_reference")).alias("reference_delta"))
 
 
-def base_arm_delta_periods(delta: DataFrame, kinds=("half", "year")) -> DataFrame:
+def base_arm_delta_periods(delta: DataFrame, kinds=("half", "year"), spine: DataFrame | None = None) -> DataFrame:
     return period_summary(delta, ("bps", "sensitive"), (),
-                          ("rate_delta", "lower_delta", "upper_delta", "reference_delta"), kinds)
+                          ("rate_delta", "lower_delta", "upper_delta", "reference_delta"), kinds, DELTA_INTERVALS, spine)
 
 
 def acceptance(

@@ -20,13 +20,21 @@ def selected_days(spark, sf):
     return ordered_days(spark, sf).withColumn("selected", F.expr(SELECTED))
 
 
+STUDY = ("1995-01-01", "1999-07-01")
+
+
+def _spine(spark, kinds=("half", "year"), keys=None):
+    return evaluation.period_spine(spark, *STUDY, keys, kinds)
+
+
 def daily_opportunity(spark: SparkSession, sf: str) -> DataFrame:
     return tidied(evaluation.daily_opportunity(stock_days(spark, sf)))
 
 
 def period_opportunity(spark, sf):
     daily = evaluation.daily_opportunity(stock_days(spark, sf))
-    return tidied(evaluation.opportunity_periods(daily, kinds=("half", "quarter", "year")))
+    kinds = ("half", "quarter", "year")
+    return tidied(evaluation.opportunity_periods(daily, kinds=kinds, spine=_spine(spark, kinds)))
 
 
 def ordered_summary(spark, sf):
@@ -34,7 +42,7 @@ def ordered_summary(spark, sf):
 
 
 def ordered_periods(spark, sf):
-    return tidied(evaluation.ordered_periods(evaluation.daily_ordered(ordered_days(spark, sf))))
+    return tidied(evaluation.ordered_periods(evaluation.daily_ordered(ordered_days(spark, sf)), spine=_spine(spark)))
 
 
 def arm_summary(spark, sf):
@@ -51,7 +59,7 @@ def base_arm_delta(spark, sf):
 
 def base_arm_delta_periods(spark, sf):
     delta = evaluation.base_arm_delta(evaluation.daily_arms(selected_days(spark, sf)))
-    return tidied(evaluation.base_arm_delta_periods(delta))
+    return tidied(evaluation.base_arm_delta_periods(delta, spine=_spine(spark)))
 
 
 def _list_dailies(spark, sf):
@@ -67,7 +75,7 @@ def paired_delta(spark, sf):
 def paired_delta_periods(spark, sf):
     delta = compare.paired_delta(*_list_dailies(spark, sf))
     metrics = [c for c in delta.columns if c.endswith("_delta")]
-    return tidied(evaluation.period_summary(delta, ("bps", "sensitive"), (), metrics))
+    return tidied(evaluation.period_summary(delta, ("bps", "sensitive"), (), metrics, intervals=metrics, spine=_spine(spark)))
 
 
 def day_coverage(spark, sf):
@@ -114,7 +122,8 @@ def _coupled_orders(spark, sf):
 
 
 def coupled_periods(spark, sf):
-    return tidied(compare.coupled_periods(_coupled_orders(spark, sf)))
+    keys = spark.createDataFrame([(*v, t) for v in evaluation.VIEWS for t in ORDER_TARGETS], "bps int, sensitive boolean, target string")
+    return tidied(compare.coupled_periods(_coupled_orders(spark, sf), spine=_spine(spark, keys=keys)))
 
 
 def _by_year(daily):
@@ -192,7 +201,7 @@ def acceptance(spark, sf):
     both = tagged[0].unionByName(tagged[1])
     daily = evaluation.finish_ordered(
         evaluation.tally(both, ("group", "date"), evaluation.ORDERED, ((15, False),)))
-    summaries = evaluation.ordered_periods(daily, keys=("group",))
+    summaries = evaluation.ordered_periods(daily, keys=("group",), intervals=())
     coupled = compare.coupled_bounds(
         two_lists(spark, sf), [o for o in compare.coupled_outcomes(ORDER_TARGETS)
                                if o[:3] == (15, False, "positive_before")])
@@ -263,7 +272,7 @@ def reused_summaries(spark, sf):
 
 def summary_lookup(spark, sf):
     daily = evaluation.daily_ordered(ordered_days(spark, sf))
-    found = selection.summary_lookup(evaluation.ordered_periods(daily), bps=15, sensitive=False, period="1997H1")
+    found = selection.summary_lookup(evaluation.ordered_periods(daily, intervals=()), bps=15, sensitive=False, period="1997H1")
     return tidied(found.select("period", "days", "known", "positive_before_rate", "lower", "upper"))
 
 

@@ -74,10 +74,61 @@ def means(names, places=9) -> str:
     return ", ".join(r(f"avg({n})", n, places) for n in names)
 
 
-ORACLE_SQL["period_opportunity"] = with_views(["stock_days"], f"""
-SELECT bps, sensitive, period, count(*) AS days, {sums(OPP_COUNTS)}, {means(OPP_METRICS)},
-  {r('CAST(sum(success) AS DOUBLE) / nullif(sum(known), 0)', 'pooled_rate')}
-FROM {in_periods(opportunity_daily('stock_days'), ('half', 'quarter', 'year'))} GROUP BY bps, sensitive, period""")
+DRAWS = 10_000
+
+
+def intervals(daily: str, keys: str, metrics: list[str]) -> str:
+    """Weekly block bootstrap with counter-based draws over the yearly groups of a daily table."""
+    key_list = [k.strip() for k in keys.split(",")]
+    on = " AND ".join(f"b.{k} = g.{k}" for k in key_list)
+    gk = ", ".join(f"g.{k}" for k in key_list)
+    return f"""(WITH blocks AS (
+      SELECT {keys}, CAST(date_trunc('week', date) AS DATE) AS week, count(*) AS days,
+        {', '.join(f'sum({m}) AS s_{m}, count(*) - count({m}) AS gap_{m}' for m in metrics)},
+        row_number() OVER (PARTITION BY {keys} ORDER BY CAST(date_trunc('week', date) AS DATE)) - 1 AS block,
+        count(*) OVER (PARTITION BY {keys}) AS n_blocks
+      FROM {daily} GROUP BY {keys}, CAST(date_trunc('week', date) AS DATE)),
+    groups AS (SELECT {keys}, count(*) AS weeks, {', '.join(f'sum(gap_{m}) AS gap_{m}' for m in metrics)} FROM blocks GROUP BY {keys}),
+    numbers AS (SELECT DISTINCT weeks FROM groups WHERE weeks >= 2),
+    picks AS (
+      SELECT weeks, draw, CAST('0x' || substr(md5(draw || ':' || slot), 1, 8) AS BIGINT) % weeks AS pick
+      FROM (SELECT weeks, draw, unnest(range(1, weeks + 1)) AS slot
+            FROM (SELECT weeks, unnest(range(1, {DRAWS + 1})) AS draw FROM numbers))),
+    means AS (
+      SELECT {gk}, draw, {', '.join(f'sum(b.s_{m}) / sum(b.days) AS m_{m}' for m in metrics)}
+      FROM groups g JOIN picks p USING (weeks) JOIN blocks b ON {on} AND b.block = p.pick GROUP BY {gk}, draw)
+    SELECT {gk}, g.weeks, {', '.join(
+        f"round(CASE WHEN any_value(gap_{m}) = 0 THEN quantile_cont(m_{m}, {q}) END + 4e-13, 9) + 0.0 AS {m}_ci_{e}"
+        for m in metrics for e, q in (("low", 0.025), ("high", 0.975)))}
+    FROM groups g LEFT JOIN means b ON {on} GROUP BY {gk}, g.weeks)"""
+
+
+STUDY = ("1995-01-01", "1999-07-01")
+
+
+def with_spine(daily: str, keys: dict[str, str], counts: list[str], metrics: list[str], resampled: list[str], kinds=("half", "year"), more: str = "") -> str:
+    """Period summaries with intervals; periods of the study without days show 0. ``keys``: name to a list of its values."""
+    label = {"half": "CAST(year(d) AS VARCHAR) || CASE WHEN month(d) <= 6 THEN 'H1' ELSE 'H2' END", "year": "CAST(year(d) AS VARCHAR)",
+             "quarter": "CAST(year(d) AS VARCHAR) || 'Q' || CAST(quarter(d) AS VARCHAR)"}
+    names = ", ".join(keys)
+    groups = f"{names}, period"
+    ends = [f"{m}_ci_{e}" for m in resampled for e in ("low", "high")]
+    periods = " UNION ".join(f"SELECT {label[k]} AS period FROM span" for k in kinds)
+    source = in_periods(daily, kinds)
+    zeros = "".join(f", coalesce(a.{c}, 0) AS {c}" for c in counts)
+    total = f", {sums(counts)}" if counts else ""
+    return f"""SELECT {groups}, coalesce(a.days, 0) AS days{zeros}, {', '.join(f'a.{m}' for m in metrics)}, {', '.join(f'i.{e}' for e in ends)}{more}
+    FROM (WITH span AS (SELECT unnest(range(DATE '{STUDY[0]}', DATE '{STUDY[1]}', INTERVAL 1 DAY)) AS d), periods AS ({periods})
+          SELECT {', '.join(f'{k}.{k}' for k in keys)}, period FROM periods, {', '.join(f'(VALUES {v}) {k}({k})' for k, v in keys.items())}) spine
+    FULL JOIN (SELECT {groups}, count(*) AS days{total}, {means(metrics)} FROM {source} GROUP BY {groups}) a USING ({groups})
+    LEFT JOIN {intervals(source, groups, resampled)} i USING ({groups})"""
+
+
+VIEW_KEYS = {"bps": "(5), (15)", "sensitive": "(false), (true)"}
+
+ORACLE_SQL["period_opportunity"] = with_views(["stock_days"], with_spine(
+    opportunity_daily("stock_days"), VIEW_KEYS, OPP_COUNTS, OPP_METRICS, ["rate", "lower", "upper"], ("half", "quarter", "year"),
+    f", {r('CAST(a.success AS DOUBLE) / nullif(a.known, 0)', 'pooled_rate')}"))
 
 
 def ordered_terms(b, s):
@@ -109,9 +160,8 @@ ORD_METRICS = ["positive_rate", "space_rate", "positive_before_rate", "space_bef
 ORACLE_SQL["ordered_summary"] = with_views(["ordered_days"], f"""
 SELECT date, half, bps, sensitive, {', '.join(ORD_COUNTS)}, {rs(ORD_METRICS)} FROM {ordered_daily('ordered_days')}""")
 
-ORACLE_SQL["ordered_periods"] = with_views(["ordered_days"], f"""
-SELECT bps, sensitive, period, count(*) AS days, {sums(ORD_COUNTS)}, {means(ORD_METRICS)}
-FROM {in_periods(ordered_daily('ordered_days'))} GROUP BY bps, sensitive, period""")
+ORACLE_SQL["ordered_periods"] = with_views(["ordered_days"], with_spine(
+    ordered_daily("ordered_days"), VIEW_KEYS, ORD_COUNTS, ORD_METRICS, ["positive_before_rate", "space_before_rate", "lower", "upper"]))
 
 ORACLE_SQL["summary_lookup"] = with_views(["ordered_days"], f"""
 SELECT period, count(*) AS days, {sums(['known'])}, {means(['positive_before_rate', 'lower', 'upper'])}
@@ -137,8 +187,7 @@ DELTA = f"""(SELECT a.bps, a.sensitive, a.date, a.half, a.rate - b.rate AS rate_
 DELTAS = ["rate_delta", "lower_delta", "upper_delta", "reference_delta"]
 ORACLE_SQL["base_arm_delta"] = with_views(
     ["ordered_days"], f"SELECT bps, sensitive, date, half, {rs(DELTAS)} FROM {DELTA}")
-ORACLE_SQL["base_arm_delta_periods"] = with_views(["ordered_days"], f"""
-SELECT bps, sensitive, period, count(*) AS days, {means(DELTAS)} FROM {in_periods(DELTA)} GROUP BY bps, sensitive, period""")
+ORACLE_SQL["base_arm_delta_periods"] = with_views(["ordered_days"], with_spine(DELTA, VIEW_KEYS, [], DELTAS, DELTAS[:3]))
 
 LEFT = '(SELECT * FROM stock_days WHERE "left" AND decision_shares >= 700)'
 RIGHT = '(SELECT * FROM stock_days WHERE "right" AND decision_shares >= 700)'
@@ -149,8 +198,7 @@ PAIR = f"""(SELECT bps, sensitive, date, half, {', '.join(f'a.{m} - b.{m} AS {m}
 PAIR_COLS = [f"{m}_delta" for m in PAIRED] + ["lower_delta", "upper_delta"]
 ORACLE_SQL["paired_delta"] = with_views(
     ["stock_days"], f"SELECT bps, sensitive, date, half, {rs(PAIR_COLS)} FROM {PAIR}")
-ORACLE_SQL["paired_delta_periods"] = with_views(["stock_days"], f"""
-SELECT bps, sensitive, period, count(*) AS days, {means(PAIR_COLS)} FROM {in_periods(PAIR)} GROUP BY bps, sensitive, period""")
+ORACLE_SQL["paired_delta_periods"] = with_views(["stock_days"], with_spine(PAIR, VIEW_KEYS, [], PAIR_COLS, PAIR_COLS))
 
 DAYS_L = f"(SELECT DISTINCT date FROM {LEFT})"
 DAYS_R = f"(SELECT DISTINCT date FROM {RIGHT})"
@@ -197,37 +245,8 @@ ORDERS = [(b, s, t, f"{t}_bad3") for b, s in VIEWS4 for t in ("positive_before",
 CB = ["lower", "upper", "unknown_weight"]
 ORACLE_SQL["coupled_bounds"] = with_views(["two_lists"], f"""
 SELECT date, half, bps, sensitive, target, left_rows, right_rows, {rs(CB)}, shared_unknown FROM {coupled(PLAIN)}""")
-ORACLE_SQL["coupled_periods"] = with_views(["two_lists"], f"""
-SELECT bps, sensitive, target, period, count(*) AS days, {sums(['shared_unknown'])}, {means(CB)}
-FROM {in_periods(coupled(ORDERS))} GROUP BY bps, sensitive, target, period""")
-
-DRAWS = 10_000
-
-
-def intervals(daily: str, keys: str, metrics: list[str]) -> str:
-    """Weekly block bootstrap with counter-based draws over the yearly groups of a daily table."""
-    key_list = [k.strip() for k in keys.split(",")]
-    on = " AND ".join(f"b.{k} = g.{k}" for k in key_list)
-    gk = ", ".join(f"g.{k}" for k in key_list)
-    return f"""(WITH blocks AS (
-      SELECT {keys}, CAST(date_trunc('week', date) AS DATE) AS week, count(*) AS days,
-        {', '.join(f'sum({m}) AS s_{m}, count(*) - count({m}) AS gap_{m}' for m in metrics)},
-        row_number() OVER (PARTITION BY {keys} ORDER BY CAST(date_trunc('week', date) AS DATE)) - 1 AS block,
-        count(*) OVER (PARTITION BY {keys}) AS n_blocks
-      FROM {daily} GROUP BY {keys}, CAST(date_trunc('week', date) AS DATE)),
-    groups AS (SELECT {keys}, count(*) AS weeks, {', '.join(f'sum(gap_{m}) AS gap_{m}' for m in metrics)} FROM blocks GROUP BY {keys}),
-    numbers AS (SELECT DISTINCT weeks FROM groups WHERE weeks >= 2),
-    picks AS (
-      SELECT weeks, draw, CAST('0x' || substr(md5(draw || ':' || slot), 1, 8) AS BIGINT) % weeks AS pick
-      FROM (SELECT weeks, draw, unnest(range(1, weeks + 1)) AS slot
-            FROM (SELECT weeks, unnest(range(1, {DRAWS + 1})) AS draw FROM numbers))),
-    means AS (
-      SELECT {gk}, draw, {', '.join(f'sum(b.s_{m}) / sum(b.days) AS m_{m}' for m in metrics)}
-      FROM groups g JOIN picks p USING (weeks) JOIN blocks b ON {on} AND b.block = p.pick GROUP BY {gk}, draw)
-    SELECT {gk}, g.weeks, {', '.join(
-        f"round(CASE WHEN any_value(gap_{m}) = 0 THEN quantile_cont(m_{m}, {q}) END + 4e-13, 9) + 0.0 AS {m}_ci_{e}"
-        for m in metrics for e, q in (("low", 0.025), ("high", 0.975)))}
-    FROM groups g LEFT JOIN means b ON {on} GROUP BY {gk}, g.weeks)"""
+ORACLE_SQL["coupled_periods"] = with_views(["two_lists"], with_spine(
+    coupled(ORDERS), {**VIEW_KEYS, "target": "('positive_before'), ('space_before')"}, ["shared_unknown"], CB, CB))
 
 
 YEARLY = "(SELECT *, CAST(year(date) AS VARCHAR) AS period FROM {})"

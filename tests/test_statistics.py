@@ -253,3 +253,39 @@ def test_day_statistics_keep_every_row(spark):
     df = spark.createDataFrame([(DAY, 1.0), (DAY, 3.0), (DAY + dt.timedelta(days=1), 5.0)], "date date, v double")
     out = with_day_stats(df, F.avg("v").alias("m")).collect()
     assert sorted((r["v"], r["m"]) for r in out) == [(1, 2), (3, 2), (5, 5)]
+
+
+def test_counter_draws_follow_their_rule():
+    from hashlib import md5
+
+    table = bootstrap.counter_numbers(3, 4, 5)
+    assert table.tolist() == [[int(md5(f"{d}:{s}".encode()).hexdigest()[:8], 16) for s in range(1, 6)] for d in range(3, 7)]
+    assert (bootstrap.counter_numbers(1, 6, 64)[2:, :5] == table).all()
+    counts = bootstrap.draw_counts(table % 3, 3)
+    assert counts.sum(1).tolist() == [5] * 4 and counts[0].tolist() == [int((table[0] % 3 == k).sum()) for k in range(3)]
+
+
+def test_many_weeks_give_the_same_interval_in_pieces(spark, monkeypatch):
+    days = [dt.date(2000, 1, 3) + dt.timedelta(days=7 * i) for i in range(450)]
+    df = spark.createDataFrame([(d, "g", float(i % 13)) for i, d in enumerate(days)], "date date, k string, v double")
+    got = bootstrap.block_intervals(df, ["k"], ["v"], draws=3000).first()
+    picks = bootstrap.counter_numbers(1, 3000, 450) % 450
+    means = (np.arange(450) % 13).astype(float)[picks].mean(1)
+    assert [got["v_ci_low"], got["v_ci_high"]] == pytest.approx(np.quantile(means, [0.025, 0.975]).tolist()) and got["weeks"] == 450
+    assert 3000 * 512 <= 1 << 22 < 10_000 * 512          # this one is drawn whole, the usual number of draws in pieces
+    again = bootstrap.block_intervals(df, ["k"], ["v"]).first()
+    picks = np.concatenate([bootstrap.counter_numbers(1 + ROW, 2000, 450) for ROW in range(0, 10_000, 2000)]) % 450
+    assert again["v_ci_low"] == pytest.approx(np.quantile((np.arange(450) % 13).astype(float)[picks].mean(1), 0.025))
+
+
+def test_periods_without_days_show_zero_and_days_beyond_the_study_stay(spark):
+    daily = spark.createDataFrame([(DAY + dt.timedelta(days=i), 5, False, 2, float(i)) for i in range(0, 30, 3)] + [
+        (dt.date(2030, 1, 1), 5, False, 1, None)], "date date, bps int, sensitive boolean, rows long, rate double")
+    spine = evaluation.period_spine(spark, "2024-12-01", "2025-07-02")
+    out = evaluation.period_summary(daily, ("bps", "sensitive"), ("rows",), ("rate",), intervals=("rate",), spine=spine)
+    got = {(r["bps"], r["sensitive"], r["period"]): r for r in out.collect()}
+    assert {p for _, _, p in got} == {"2024", "2024H2", "2025", "2025H1", "2025H2", "2030", "2030H1"} and len(got) == 4 * 5 + 2
+    hit, empty, later = got[(5, False, "2025H1")], got[(15, True, "2025H1")], got[(5, False, "2030")]
+    assert (hit["days"], hit["rows"], hit["rate"]) == (10, 20, 13.5) and hit["rate_ci_low"] < 13.5 < hit["rate_ci_high"]
+    assert (empty["days"], empty["rows"], empty["rate"], empty["rate_ci_low"]) == (0, 0, None, None)
+    assert (later["days"], later["rate"], later["rate_ci_low"]) == (1, None, None)
