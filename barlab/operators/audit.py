@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.scalars import finite, flag, half_of, nan_to_null, on_cent_grid, ratio
+from barlab.operators.grouping import frame_difference
 
 # Fixed values of the audit.
 HISTORY = 20
@@ -34,8 +37,9 @@ def reference_states(daily: DataFrame) -> DataFrame:
     """State of the earlier active days at each active day of a code.
 
     Suspended days leave the sequence; bad active days keep their place in it. Only
-    earlier days enter. One row per code and date is required, so a code has at most
-    one row per calendar day; all windows share one shuffle and one sort.
+    earlier days enter. A date that stands twice in a code's active days is refused when
+    its states are read, so a code has at most one row per calendar day; all windows share one
+    shuffle and one sort.
     """
     code = Window.partitionBy("code").orderBy("date")
     prior = code.rowsBetween(-HISTORY, -1)
@@ -44,8 +48,10 @@ def reference_states(daily: DataFrame) -> DataFrame:
     base = active.withColumns({
         "prior_close": F.lag("close").over(code),
         "_prior_good": F.lag("_good", 1, False).over(code),
+        "_again": flag(F.lag("date").over(code) == F.col("date")),
     })
     preclose = F.col("preclose")
+    once = lambda c: F.when(F.col("_again"), F.raise_error(F.lit("a date stands twice"))).otherwise(c)
     usable = flag(finite(preclose) & (preclose > 0)) & F.col("_good") & F.col("_prior_good")
     marked = base.withColumns({
         "reference_good": usable,
@@ -55,7 +61,7 @@ def reference_states(daily: DataFrame) -> DataFrame:
     })
     full = lambda x, value: F.when(F.count(x).over(prior) == HISTORY, value)
     return marked.select(
-        "date", "code", "close", "preclose", "prior_close", "reference_good", "reset",
+        once(F.col("date").cast("string")).cast("date").alias("date"), "code", "close", "preclose", "prior_close", "reference_good", "reset",
         F.count("reset").over(prior).alias("prior_reference_count"),
         full("reset", F.sum(F.col("reset").cast("int")).over(prior)).alias("prior_reset_count"),
         full("_tr", F.avg("_tr").over(prior)).alias("atr_raw"),
@@ -64,6 +70,22 @@ def reference_states(daily: DataFrame) -> DataFrame:
          & (F.count_if("_good").over(longer) == HISTORY + 1)).alias("history_price_good"))
 
 
+def look_ahead(daily: DataFrame, states_of, cut: str, keys: Sequence[str] = ("date", "code")) -> DataFrame:
+    """compared, changed: states up to ``cut`` computed twice, once with every later price, volume and status altered.
+
+    ``states_of`` maps daily rows to states. States that only look back do not change; both versions are
+    compared as multisets, so a state that appears, goes or differs counts, once per key.
+    """
+    later = F.col("date") > F.lit(cut).cast("date")
+    moved = {c: F.when(later, F.col(c) * 1.5 + 1).otherwise(F.col(c)) for c in ("open", "high", "low", "close", "preclose")}
+    altered = daily.withColumns({
+        **moved, "volume": F.when(later, F.col("volume") + 1).otherwise(F.col("volume")),
+        "tradestatus": F.when(later, 1).otherwise(F.col("tradestatus"))})
+    early = lambda rows: states_of(rows).where(F.col("date") <= F.lit(cut).cast("date"))
+    changed = frame_difference(early(daily), early(altered)).select(*keys).distinct().agg(F.count(F.lit(1)).alias("changed"))
+    return early(daily).agg(F.count(F.lit(1)).alias("compared")).withColumn("changed", changed.scalar())
+
+
 def volatility_rebuild(keys: DataFrame, states: DataFrame) -> DataFrame:
     """Rebuild the volatility input of each feature key and flag its agreement.
 

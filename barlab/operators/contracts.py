@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.scalars import finite, flag
@@ -73,6 +73,16 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(right, list(keys), how)
 
 
+def only_once(rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """The rows, whose ``column`` raises when it is read where the keys stand more than once.
+
+    Lazy, for the result of a join on the same keys: it finds them together already.
+    """
+    copies = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    kind = rows.schema[column].dataType
+    return rows.withColumn(column, F.when(copies > 1, F.raise_error(F.lit(f"repeated key {tuple(keys)}")).cast(kind)).otherwise(F.col(column)))
+
+
 def equality_check(a: DataFrame, b: DataFrame, name: str = "frames_equal") -> DataFrame:
     """Exact equality as multisets of rows."""
     diff = frame_difference(a, b).agg(F.sum(F.abs("surplus")).alias(name))

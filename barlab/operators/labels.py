@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barlab.functions.scalars import finite, flag, ratio
 from barlab.operators.bars import Clocks
+from barlab.operators.contracts import only_once
 from barlab.operators.grouping import small_by_day, with_day_stats
 
 # Fixed values of the label definition.
@@ -185,7 +186,8 @@ def training_set(
     """Valid inputs with mature targets and day-equal weights.
 
     Centring uses all mature known labels; the weight counts the rows that remain. A known
-    label outside the declared utility set ``allowed`` is refused when it is read.
+    label outside the declared utility set ``allowed``, and a key that stands twice on either side, is refused
+    when it is read.
     """
     if tuple(allowed) not in ALLOWED_UTILITIES:
         raise ValueError("the utility set must be one of the declared ones")
@@ -194,7 +196,7 @@ def training_set(
     mature = mature.withColumn(value, F.when(declared, F.col(value)).otherwise(
         F.raise_error(F.lit(f"a known {value} is outside {tuple(allowed)}")).cast("double")))
     targets = relative_target(mature, value, variant)
-    rows = features.where("formula_input_valid").join(targets, ["date", "code"])
+    rows = only_once(features.where("formula_input_valid").join(targets, ["date", "code"]), ("date", "code"), "target")
     return with_day_stats(rows, F.count(F.lit(1)).alias("_day_rows")).withColumn(
         "weight", 1.0 / F.col("_day_rows")).drop("_day_rows")
 
@@ -220,8 +222,11 @@ def half_year_folds(first_year: int, last_year: int) -> list[Fold]:
             for n in range(first_year * 2, last_year * 2 + 2)]
 
 
-def in_folds(rows: DataFrame, folds: Sequence[Fold], role: str) -> DataFrame:
-    """One copy of a row per fold it trains (``role='training'``) or the one that scores it."""
+def in_folds(rows: DataFrame, folds: Sequence[Fold], role: str, keep: bool = False) -> DataFrame:
+    """One copy of a row per fold it trains (``role='training'``) or the one that scores it.
+
+    ``keep`` keeps a row that no fold takes, once, with fold NULL.
+    """
     date = F.col("date")
     day = lambda s: F.lit(s).cast("date")
     if role == "training":
@@ -231,7 +236,7 @@ def in_folds(rows: DataFrame, folds: Sequence[Fold], role: str) -> DataFrame:
     else:
         raise ValueError(role)
     ids = F.array_compact(F.array(*[F.when(hit(f), F.lit(f.id)) for f in folds]))
-    return rows.withColumn("fold", F.explode(ids))
+    return rows.withColumn("fold", F.explode_outer(ids) if keep else F.explode(ids))
 
 
 def affine_relation(a: DataFrame, b: DataFrame, tolerance: float = 2e-12) -> DataFrame:

@@ -20,17 +20,17 @@ def select_by_fold(
     cuts: DataFrame,
     minimum: float | None = None,
 ) -> DataFrame:
-    """One row per candidate with its fold and flag: strictly above the fold's cut.
+    """One row per candidate with its fold and flag: strictly above the fold's cut. A candidate outside all folds stays, not selected.
 
     ``cuts`` has one row per fold (fold, threshold); its size is the number of folds
     given. Missing scores are never selected. ``minimum`` raises every cut.
     """
     cut = F.col("threshold")
     if minimum is not None:
-        cut = F.greatest(cut, F.lit(float(minimum)))
+        cut = F.when(cut.isNotNull(), F.greatest(cut, F.lit(float(minimum))))       # without a cut of its own nothing is selected
     names = [f.id for f in folds]
     bounded = cuts.where(F.col("fold").isin(*names)).groupBy("fold").agg(F.max("threshold").alias("threshold"))
-    placed = in_folds(scores, folds, "evaluation").join(F.broadcast(bounded), "fold", "left")
+    placed = in_folds(scores, folds, "evaluation", keep=True).join(F.broadcast(bounded), "fold", "left")
     return placed.withColumn("selected", flag(F.col("score") > cut)).drop("threshold")
 
 

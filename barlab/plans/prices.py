@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barlab.operators import audit, bars, contracts, labels
@@ -16,6 +17,22 @@ def price_reference_states(spark, sf):
     return tidied(audit.reference_states(daily(spark, sf)), 7)
 
 
+LOOK_AHEAD_CUT = "1997-06-30"
+
+
+def leaking_states(rows):
+    """States with a planted leak: the close of the next active day."""
+    ahead = F.lead("close").over(Window.partitionBy("code").orderBy("date"))
+    return audit.reference_states(rows).withColumn("next_close", ahead)
+
+
+def look_ahead_check(spark, sf):
+    """Reference states up to a day under two versions of all later rows, and the same with a planted leak."""
+    d = daily(spark, sf)
+    own = audit.look_ahead(d, audit.reference_states, LOOK_AHEAD_CUT).withColumn("states", F.lit("reference"))
+    return own.unionByName(audit.look_ahead(d, leaking_states, LOOK_AHEAD_CUT).withColumn("states", F.lit("planted")))
+
+
 def _feature_keys(spark, sf):
     """Feature keys with a stored volatility; a tenth of the stored values is off."""
     d = daily(spark, sf)
@@ -154,7 +171,7 @@ def daily_contracts(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    price_reference_states, volatility_rebuild, reset_exposure_by_half, bar_functions, bar_day_context,
+    price_reference_states, look_ahead_check, volatility_rebuild, reset_exposure_by_half, bar_functions, bar_day_context,
     bar_features_daily, bar_features_intraday, index_relative_features, turnover_features, morning_range,
     clock_guard, bar_quality, price_path, feature_table, entry_vwap, order_labels, window_marks,
     daily_contracts)}

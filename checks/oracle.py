@@ -352,11 +352,12 @@ FOLD_TABLE = "(VALUES " + ", ".join(
 CUTS = f"""(SELECT fold, quantile_cont(strength, 0.995) AS threshold FROM stock_days, {FOLD_TABLE}
   WHERE date >= t0 AND next_date < t1 AND formula_input_valid AND known15 GROUP BY fold)"""
 PLACED = f"(SELECT s.*, fold FROM stock_days s, {FOLD_TABLE} WHERE date >= t1 AND date < e1)"
+KEPT = f"(SELECT s.*, fold FROM stock_days s LEFT JOIN {FOLD_TABLE} ON date >= t1 AND date < e1)"
 ORACLE_SQL["selection_list"] = with_views(["stock_days"], f"""
 SELECT fold, date, code, half, board, decision_shares,
   {r('CASE WHEN formula_input_valid THEN strength END', 'score', 6)},
-  formula_input_valid AND strength > threshold AS selected
-FROM {PLACED} JOIN {CUTS} USING (fold)""")
+  coalesce(formula_input_valid AND strength > threshold, false) AS selected
+FROM {KEPT} LEFT JOIN {CUTS} USING (fold)""")
 ORACLE_SQL["selection_with_minimum"] = with_views(["stock_days"], f"""
 SELECT fold, date, code FROM {PLACED} JOIN {CUTS} USING (fold)
 WHERE formula_input_valid AND strength > greatest(threshold, 498000)""")
@@ -427,6 +428,11 @@ FROM (
 ORACLE_SQL["price_reference_states"] = with_views(["states"], f"""
 SELECT date, code, {rs(['close', 'preclose', 'prior_close'], 7)}, reference_good, reset, prior_reference_count,
   prior_reset_count, {rs(['atr_raw', 'atr_reference'], 7)}, history_price_good FROM states""")
+ORACLE_SQL["look_ahead_check"] = with_views(["active_days"], """
+SELECT 'reference' AS states, count(*) AS compared, CAST(0 AS BIGINT) AS changed FROM active_days WHERE date <= DATE '1997-06-30'
+UNION ALL SELECT 'planted', count(*) FILTER (date <= DATE '1997-06-30'),
+  count(DISTINCT code) FILTER (date <= DATE '1997-06-30' AND code IN (SELECT code FROM daily WHERE date > DATE '1997-06-30'))
+FROM active_days""")
 ORACLE_SQL["volatility_rebuild"] = with_views(["rebuilt"], f"""
 SELECT date, code, formula_input_valid, {r('raw', 'v01_raw_rebuilt', 7)}, {r('ref', 'v01_reference', 7)},
   known AS reference_window_known, v01_match, reset_in_prior FROM rebuilt""")

@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from barlab.operators.audit import reference_states
+from barlab.operators.audit import look_ahead, reference_states
+from barlab.plans.prices import leaking_states
 
 FIELDS = "date code open high low close preclose volume tradestatus adjustflag".split()
 TYPES = ("date date, code string, open double, high double, low double, close double, preclose double, volume long, "
@@ -102,3 +103,14 @@ def test_states_do_not_depend_on_later_days(spark, both):
     cut = 70
     early = {r["date"]: tuple(r[n] for n in NAMES) for r in reference_states(spark.createDataFrame(rows[2][:cut], TYPES)).collect()}
     assert early == {day: got[2][day] for day in early}
+
+
+def test_a_repeated_date_is_refused_and_a_leak_is_found(spark):
+    rows = walk_prices(3)
+    df = spark.createDataFrame(rows, TYPES)
+    active = [r for r in rows if r[FIELDS.index("tradestatus")] == 1]
+    with pytest.raises(Exception, match="stands twice"):
+        reference_states(spark.createDataFrame([*rows, active[5]], TYPES)).select("date").collect()
+    cut = active[60][0].isoformat()
+    own, leak = look_ahead(df, reference_states, cut).first(), look_ahead(df, leaking_states, cut).first()
+    assert (own["compared"], own["changed"]) == (61, 0) and (leak["compared"], leak["changed"]) == (61, 1)
