@@ -63,11 +63,15 @@ def market_calendar(bars: DataFrame) -> DataFrame:
 def watch_window(bars: DataFrame, entries: DataFrame, clocks: Clocks) -> DataFrame:
     """Bars of the next trading morning joined to the entries they are judged against."""
     calendar = small_by_day(market_calendar(bars))
-    due = entries.join(calendar, "date").where("next_date is not null")
+    return watched_bars(bars, entries.join(calendar, "date").where("next_date is not null"), clocks)
+
+
+def watched_bars(bars: DataFrame, due: DataFrame, clocks: Clocks, how: str = "inner") -> DataFrame:
+    """The bars of the watch window of each entry's ``next_date``; ``how="left"`` keeps entries without a bar."""
     watched = (bars.where(F.col("slot").between(clocks.watch_first, clocks.watch_last))
                .select("code", F.col("date").alias("next_date"), "slot", "high", "low", "close", "volume")
                .withColumn("offset", F.col("slot") - clocks.watch_first))
-    return due.join(watched, ["code", "next_date"])
+    return due.join(watched, ["code", "next_date"], how)
 
 
 def first_run(window: Window, good: Column, offset: Column, length: int) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barlab.operators import audit, bars, contracts, labels
+from barlab.operators import audit, bars, contracts, costs, evaluation, labels
+from barlab.operators.grouping import small_by_day
 from barlab.plans.output import tidied
-from barlab.plans.views import HOURLY, daily, index_bars, shares
+from barlab.plans.views import HOURLY, MONTHLY, daily, index_bars, monthly_bars, shares
 from barlab.plans.views import bars as bar_table
 
 ENTRY_BPS = 15.0
@@ -157,6 +158,40 @@ def window_marks(spark, sf):
     return tidied(out.select("date", "code", "known", "mark_return", "adverse_return"), 8)
 
 
+FEES = (costs.Fee("sh", "1992-01-01", 0.0008, 0.0018, 5.0), costs.Fee("sh", "1996-04-01", 0.0003, 0.0013, 5.0),
+        costs.Fee("sz", "1992-01-01", 0.0006, 0.0016, 1.0), costs.Fee("sz", "1997-11-15", 0.0003, 0.0008, 5.0))
+
+
+def _charged(spark, sf):
+    b = monthly_bars(spark, sf)
+    entries = labels.entry_prices(b, MONTHLY, ENTRY_BPS).drop("entry_cost", "fits_capacity")
+    market = F.when(F.col("code") % 2 == 0, "sh").otherwise("sz")
+    calendar = small_by_day(labels.market_calendar(b))
+    due = entries.withColumn("market", market).join(calendar, "date").where("next_date is not null")
+    return b, costs.round_trip(due, FEES)
+
+
+def round_trip_costs(spark, sf):
+    """Entries with fees of both sides as they held on their days, and the quote at which they break even."""
+    out = _charged(spark, sf)[1]
+    return tidied(out.select("code", "date", "next_date", "market", "entry_state", "decision_shares", "capacity", "entry_price",
+                             "cost5", "break_even5", "cost15", "break_even15"), 6)
+
+
+def _cost_labels(spark, sf):
+    b, charged = _charged(spark, sf)
+    return costs.labels_at_costs(labels.watched_bars(b, charged, MONTHLY, "left"), MONTHLY.watch_last - MONTHLY.watch_first + 1)
+
+
+def cost_labels(spark, sf):
+    return tidied(_cost_labels(spark, sf), 8)
+
+
+def cost_label_days(spark, sf):
+    """Daily statistics straight from the bars: prices, fees, labels at both costs, counts and bounds."""
+    return tidied(evaluation.daily_opportunity(_cost_labels(spark, sf)), 8)
+
+
 def daily_contracts(spark, sf):
     d = daily(spark, sf)
     active = F.col("tradestatus") == 1
@@ -173,5 +208,5 @@ def daily_contracts(spark, sf):
 QUERIES = {f.__name__: f for f in (
     price_reference_states, look_ahead_check, volatility_rebuild, reset_exposure_by_half, bar_functions, bar_day_context,
     bar_features_daily, bar_features_intraday, index_relative_features, turnover_features, morning_range,
-    clock_guard, bar_quality, price_path, feature_table, entry_vwap, order_labels, window_marks,
+    clock_guard, bar_quality, price_path, feature_table, round_trip_costs, cost_labels, cost_label_days, entry_vwap, order_labels, window_marks,
     daily_contracts)}

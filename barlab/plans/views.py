@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +129,24 @@ HOURLY = Clocks(
 )
 
 
+def monthly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars that grow with the data: a supplier is a code, a month a day, five days of it a bar."""
+    li = table(spark, sf_dir, "lineitem")
+    day, unit = F.to_date("l_shipdate"), F.floor(F.col("l_extendedprice") / F.col("l_quantity") + 0.5) / 100
+    order = F.struct(day, "l_orderkey", "l_linenumber")
+    return li.groupBy(
+        F.col("l_suppkey").alias("code"), F.trunc(day, "month").alias("date"),
+        F.least(F.floor((F.dayofmonth(day) - 1) / 5), F.lit(5)).cast("int").alias("slot"),
+    ).agg(
+        F.min_by(unit, order).alias("open"), F.max(unit).alias("high"), F.min(unit).alias("low"), F.max_by(unit, order).alias("close"),
+        (F.sum(F.col("l_quantity").cast("long")) * 1000).alias("volume"),
+        (F.sum((unit * F.col("l_quantity")).cast("decimal(18,2)")) * 1000).cast("double").alias("amount"))
+
+
+# A month as a trading day: decided on the fifth bar, bought on the last, watched over the next month's first four.
+MONTHLY = replace(HOURLY, decision=4, entry_slots=(5,), watch_first=0, watch_last=3)
+
+
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index close per bar: amount-weighted price over all codes."""
     b = bars(spark, sf_dir)

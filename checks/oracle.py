@@ -6,7 +6,8 @@ import math
 
 from barlab.operators.model import FIT
 from barlab.plans.models import CUT, ENSEMBLE, FEATURES, changed_ensemble
-from checks.views import with_views
+from barlab.plans.prices import FEES
+from checks.views import VIEWS, with_views
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -428,6 +429,21 @@ FROM (
 ORACLE_SQL["price_reference_states"] = with_views(["states"], f"""
 SELECT date, code, {rs(['close', 'preclose', 'prior_close'], 7)}, reference_good, reset, prior_reference_count,
   prior_reset_count, {rs(['atr_raw', 'atr_reference'], 7)}, history_price_good FROM states""")
+VIEWS["fees"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{f.market}', DATE '{f.valid_from}', {f.buy_rate!r}::DOUBLE, {f.sell_rate!r}::DOUBLE, {f.minimum!r}::DOUBLE)" for f in FEES) + (
+    ") v(market, valid_from, buy_rate, sell_rate, minimum)")
+_LEVEL = lambda e, b, n: r(f"max({e}) FILTER (b = {b})", n, 6)
+ORACLE_SQL["round_trip_costs"] = with_views(["charged_levels"], f"""
+SELECT code, date, next_date, market, entry_state, decision_shares, capacity, {r('price', 'entry_price', 6)},
+  {', '.join(f"{_LEVEL('paid', b, f'cost{b}')}, {_LEVEL('greatest(needed + 0.005, needed / (1 - b / 10000))', b, f'break_even{b}')}" for b in (5, 15))}
+FROM charged_levels GROUP BY code, date, next_date, market, entry_state, decision_shares, capacity, price""")
+_VALUES = [f"{n}{b}" for b in (5, 15) for n in ("opportunity", "one_percent", "any_opportunity", "risk_observed", "positive_before_bad3",
+                                                 "space_before_bad3", "mark_0959_return", "adverse_return")]
+ORACLE_SQL["cost_labels"] = with_views(["month_outcomes"], f"""
+SELECT date, code, next_date, market, decision_shares, seen_bars, known_unfilled, {rs(_VALUES, 8)},
+  {', '.join(f'known{b}, sensitive_known{b}, first_positive_end{b}, first_bad3{b}' for b in (5, 15))} FROM month_outcomes""")
+ORACLE_SQL["cost_label_days"] = with_views(
+    ["month_outcomes"], f"SELECT {OPP_KEYS}, {rs(OPP_METRICS, 8)} FROM {opportunity_daily('month_outcomes')}")
 ORACLE_SQL["look_ahead_check"] = with_views(["active_days"], """
 SELECT 'reference' AS states, count(*) AS compared, CAST(0 AS BIGINT) AS changed FROM active_days WHERE date <= DATE '1997-06-30'
 UNION ALL SELECT 'planted', count(*) FILTER (date <= DATE '1997-06-30'),

@@ -292,6 +292,75 @@ FROM (
   GROUP BY date, code, next_date, entry_price, entry_cost)
 """
 
+VIEWS["month_bars"] = """
+SELECT code, date, slot, arg_max(unit, (day, l_orderkey, l_linenumber)) AS close, min(unit) AS low,
+  CAST(sum(q) * 1000 AS BIGINT) AS volume, CAST(sum(CAST(unit * q AS DECIMAL(18,2))) * 1000 AS DOUBLE) AS amount
+FROM (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS day, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+        CAST(least((dayofmonth(l_shipdate) - 1) // 5, 5) AS INTEGER) AS slot, l_orderkey, l_linenumber,
+        floor(l_extendedprice / l_quantity + 0.5) / 100 AS unit, CAST(l_quantity AS BIGINT) AS q FROM lineitem)
+GROUP BY code, date, slot
+"""
+
+# The sell side is solved by its two cases: the least amount, or the share of the money.
+VIEWS["charged"] = """
+SELECT e.*, f.buy_rate, f.minimum AS buy_minimum, g.sell_rate, g.minimum AS sell_minimum,
+  CASE WHEN NOT coalesce(price > 0 AND decision_shares > 0, false) THEN 'none'
+       WHEN coalesce(decision_shares > capacity, true) THEN 'unfilled' ELSE 'filled' END AS entry_state
+FROM (
+  SELECT code, date, next_date, CASE WHEN code % 2 = 0 THEN 'sh' ELSE 'sz' END AS market,
+    CAST(floor(20000 / (decided * 100)) * 100 AS BIGINT) AS decision_shares, money / bought AS price, CAST(floor(bought * 0.1::DOUBLE) AS BIGINT) AS capacity
+  FROM (SELECT code, date, max(close) FILTER (slot = 4) AS decided, sum(volume) FILTER (slot = 5) AS bought, sum(amount) FILTER (slot = 5) AS money
+        FROM month_bars GROUP BY code, date)
+    JOIN (SELECT date, lead(date) OVER (ORDER BY date) AS next_date FROM (SELECT DISTINCT date FROM month_bars)) USING (date)
+  WHERE decided IS NOT NULL AND next_date IS NOT NULL) e
+  ASOF LEFT JOIN fees f ON f.market = e.market AND e.date >= f.valid_from
+  ASOF LEFT JOIN fees g ON g.market = e.market AND e.next_date >= g.valid_from
+"""
+
+VIEWS["charged_levels"] = """
+SELECT *, CASE WHEN entry_state = 'filled' THEN greatest((paid + sell_minimum) / decision_shares, paid / (decision_shares * (1 - sell_rate))) END AS needed
+FROM (SELECT *, CASE WHEN entry_state = 'filled' THEN money + greatest(buy_rate * money, buy_minimum) END AS paid
+      FROM (SELECT *, decision_shares * (price + greatest(price * b / 10000, 0.005)) AS money FROM charged, (VALUES (5::DOUBLE), (15::DOUBLE)) l(b)))
+"""
+
+VIEWS["month_labels"] = """
+SELECT c.code, c.date, c.next_date, c.market, c.decision_shares, c.entry_state, c.b, c.price, c.even,
+  count(k) AS seen, count(*) FILTER (volume > 0) AS traded, count(low) AS lows, min(low) AS lowest, arg_max(close, k) AS last_close,
+  coalesce(min(k) FILTER (k >= 2 AND g0 AND g1 AND g2), -1) AS pos, coalesce(min(k) FILTER (k >= 2 AND s0 AND s1 AND s2), -1) AS space,
+  coalesce(min(k) FILTER (low <= price * 0.97::DOUBLE), -1) AS bad, coalesce(bool_or(g0), false) AS touched
+FROM (
+  SELECT *, lag(g0, 1) OVER o AS g1, lag(g0, 2) OVER o AS g2, lag(s0, 1) OVER o AS s1, lag(s0, 2) OVER o AS s2
+  FROM (
+    SELECT l.*, m.slot AS k, m.low, m.close, m.volume, coalesce(m.volume > 0 AND m.close > even, false) AS g0,
+      coalesce(m.volume > 0 AND m.close > even * 1.01::DOUBLE, false) AS s0
+    FROM (SELECT *, greatest(needed + 0.005, needed / (1 - b / 10000)) AS even FROM charged_levels) l
+      LEFT JOIN month_bars m ON m.code = l.code AND m.date = l.next_date AND m.slot <= 3)
+  WINDOW o AS (PARTITION BY code, date, b ORDER BY k)) c
+GROUP BY ALL
+"""
+
+
+
+def outcome_columns(b: int) -> str:
+    told = lambda c, name: f"max(CASE WHEN known AND b = {b} THEN CAST({c} AS DOUBLE) END) AS {name}{b}"
+    return ", ".join([
+        f"bool_or(known AND b = {b}) AS known{b}", f"bool_or(known AND traded = 4 AND b = {b}) AS sensitive_known{b}",
+        told("CAST(pos >= 0 AS INTEGER)", "opportunity"), told("CAST(space >= 0 AS INTEGER)", "one_percent"),
+        told("CAST(touched AS INTEGER)", "any_opportunity"), told("CAST(lows = 4 AS INTEGER)", "risk_observed"),
+        f"CAST(max(CASE WHEN known AND b = {b} THEN pos END) AS INTEGER) AS first_positive_end{b}",
+        f"CAST(max(CASE WHEN known AND b = {b} THEN bad END) AS INTEGER) AS first_bad3{b}",
+        told("CAST(pos >= 0 AND (bad < 0 OR bad > pos) AS INTEGER)", "positive_before_bad3"),
+        told("CAST(space >= 0 AND (bad < 0 OR bad > space) AS INTEGER)", "space_before_bad3"),
+        told("last_close / even - 1", "mark_0959_return"), told("lowest / price - 1", "adverse_return")])
+
+
+VIEWS["month_outcomes"] = f"""
+SELECT date, code, next_date, market, decision_shares, any_value(seen) AS seen_bars, entry_state = 'unfilled' AS known_unfilled,
+  {outcome_columns(5)}, {outcome_columns(15)}, CAST(year(date) AS VARCHAR) || CASE WHEN month(date) <= 6 THEN 'H1' ELSE 'H2' END AS half
+FROM (SELECT *, seen = 4 AND entry_state = 'filled' AND even IS NOT NULL AS known FROM month_labels)
+GROUP BY date, code, next_date, market, decision_shares, entry_state
+"""
+
 VIEWS["active_days"] = """
 SELECT date, code, high, low, close, preclose, row_number() OVER (PARTITION BY code ORDER BY date) AS seat,
   adjustflag IS NOT DISTINCT FROM 3 AND coalesce(volume, 0) > 0
@@ -373,6 +442,7 @@ NEEDS = {
     "relative_features": ["index_features"], "turnover": ["day_bars", "shares", "tail_features"],
     "good_bars": ["bars"], "flawed": ["bars"], "flawed_good": ["flawed"], "morning": ["good_bars"], "morning_features": ["day_context", "morning"],
     "clock_guard": ["bars"], "entries": ["bars"], "watched_labels": ["entries"], "active_days": ["daily"], "day_changes": ["active_days"], "states": ["day_changes"],
+    "charged": ["month_bars", "fees"], "charged_levels": ["charged"], "month_labels": ["charged_levels"], "month_outcomes": ["month_labels"],
     "rebuilt": ["states"], "encoded": ["features"], "training_rows": ["encoded"],
 }
 
