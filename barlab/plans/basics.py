@@ -12,6 +12,7 @@ from barlab.operators.bars import candidates
 from barlab.operators.grouping import frame_difference, small_by_day, with_day_stats
 from barlab.plans.output import tidied
 from barlab.plans.views import stock_days, table
+from barlab.session import shared_path
 from barlab.sources import tables as src
 
 
@@ -63,6 +64,34 @@ def multi_period_scan(spark, sf):
         F.count(F.lit(1)).alias("lines"), F.sum(F.col("l_quantity").cast("decimal(14,2)")).cast("double").alias("quantity"))
 
 
+def _month(day):
+    return F.date_format(day, "'m'yyyyMM")
+
+
+def months_on_disk(spark, sf):
+    """The lines, written with one folder per month of shipping and read back."""
+    rows = table(spark, sf, "lineitem").select(
+        _month(F.col("l_shipdate")).alias("month"), F.to_date("l_shipdate").alias("shipped"), "l_orderkey", "l_linenumber",
+        F.col("l_quantity").cast("decimal(14,2)").alias("quantity"))
+    path = shared_path(spark, "months")
+    src.write_partitioned(rows, path, "month")
+    return src.scan(spark, path)
+
+
+def busy_months(spark, sf):
+    """Months with at least 17 percent urgent orders, as a table that is known only when the query runs."""
+    by_month = table(spark, sf, "orders").groupBy(_month(F.to_date("o_orderdate")).alias("month")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("_u"))
+    return by_month.where("_u * 100 >= _n * 17").select("month")
+
+
+def partitioned_round_trip(spark, sf):
+    """Lines of the busy months, read from their folders only, each file's folder checked against what it holds."""
+    lines = months_on_disk(spark, sf).withColumn("_off", src.misplaced("month", _month(F.col("shipped"))))
+    return lines.join(busy_months(spark, sf), "month").groupBy("month").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("quantity").cast("double").alias("quantity"), F.count_if("_off").alias("misplaced"))
+
+
 def _extracts(spark, sf):
     rows = stock_days(spark, sf).select("date", "code", "half", "known15", "opportunity15")
     return rows.where("date < date'1998-01-01'"), rows.where("date >= date'1996-01-01'")
@@ -299,7 +328,7 @@ def ordered_output(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_columns, date_range_scan, sql_scan, view_chain, multi_period_scan, stitch_sources, overlap_check,
+    scan_columns, date_range_scan, sql_scan, view_chain, multi_period_scan, partitioned_round_trip, stitch_sources, overlap_check,
     frame_surplus, membership_filter, null_handling, candidate_filter, left_join_lines, one_to_one_join,
     keyed_lookup, filtered_counts, table_extent, flag_aggregates, extreme_rows, list_sizes, centred_values,
     lagged_rows, scalar_functions, dense_codes, key_gate, count_identity, frame_equality, ordered_output)}

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.functions.scalars import finite_or_null
@@ -159,6 +159,18 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_partitioned(df: DataFrame, path: str, key: str) -> None:
+    """One folder per value of ``key``. Rows gather by value before they are written, so a value has few files, and a
+    value with a large part of the rows is split over several tasks and files."""
+    write_table(df.hint("rebalance", key), path, [key])
+
+
+def misplaced(key: str, content: Column) -> Column:
+    """True for a row whose content names another value of ``key`` than the folder of its file does."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), f"/{key}=([^/]+)/[^/]+$", 1)
+    return ~F.col(key).eqNullSafe(content) | (folder != content)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """JSON rows; missing and non-finite numbers are written as null, never as text."""
     clean = df.select(*[

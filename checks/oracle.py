@@ -678,6 +678,13 @@ ORACLE_SQL["multi_period_scan"] = """
 SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS lines,
   CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS quantity
 FROM lineitem GROUP BY ALL"""
+ORACLE_SQL["partitioned_round_trip"] = """
+SELECT strftime(l_shipdate, 'm%Y%m') AS month, count(*) AS lines, CAST(sum(CAST(l_quantity AS DECIMAL(14,2))) AS DOUBLE) AS quantity,
+  CAST(0 AS BIGINT) AS misplaced
+FROM lineitem WHERE month IN (
+  SELECT strftime(o_orderdate, 'm%Y%m') AS m FROM orders GROUP BY m
+  HAVING count(*) FILTER (o_orderpriority = '1-URGENT') * 100 >= count(*) * 17)
+GROUP BY month"""
 ORACLE_SQL["stitch_sources"] = with_views(
     ["stock_days"], "SELECT date, code, half, known15, opportunity15 FROM stock_days")
 ORACLE_SQL["overlap_check"] = with_views(["stock_days"], """

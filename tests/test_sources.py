@@ -104,3 +104,22 @@ def test_tolerance_treats_missing_pairs_as_equal(spark):
     b = spark.createDataFrame([(1, 1.0 + 1e-13), (2, None)], "k int, v double")
     assert contracts.tolerance_check(a, b, ["k"], ["v"], 2e-12).first()["passed"]
     assert not contracts.tolerance_check(a, b.fillna(0.0), ["k"], ["v"], 2e-12).first()["passed"]
+
+
+def test_folders_that_no_busy_month_needs_are_not_read_and_a_moved_file_is_seen(spark, tmp_path):
+    from barlab.plans import basics
+
+    out = basics.partitioned_round_trip(spark, "/root/testdata/sf0.001")
+    found = out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and sum(r["misplaced"] for r in found) == 0
+    read = int(out.agg(F.sum("lines")).first()[0])
+    assert 0 < read < spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "code string, v int").withColumn("holds", F.col("code"))
+    path = str(tmp_path / "codes")
+    src.write_partitioned(rows, path, "code")
+    with pytest.raises(Exception, match="already exists"):
+        src.write_partitioned(rows, path, "code")
+    (tmp_path / "codes" / "code=b").rename(tmp_path / "codes" / "code=c")
+    off = src.scan(spark, path).withColumn("off", src.misplaced("code", F.col("holds")))
+    assert sorted((r["holds"], r["code"], r["off"]) for r in off.collect()) == [("a", "a", False), ("b", "c", True), ("b", "c", True)]
