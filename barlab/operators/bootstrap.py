@@ -16,7 +16,8 @@ from barlab.functions.scalars import week_of
 
 DRAWS = 10_000
 TAILS = (0.025, 0.975)
-ROWS = 2_000            # draws multiplied at a time
+ROWS = 2_000            # draws of many weeks multiplied at a time
+SMALL = 1 << 20         # draws times weeks whose counts a task keeps
 
 
 @lru_cache(maxsize=2)
@@ -36,6 +37,12 @@ def draw_counts(picks: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(places.ravel(), minlength=len(picks) * n).reshape(len(picks), n).astype(float)
 
 
+@lru_cache(maxsize=32)
+def counter_counts(draws: int, n: int) -> np.ndarray:
+    """The counts of all draws for a number of blocks; the numbers are made for some more slots, to serve other numbers of blocks."""
+    return draw_counts(counter_numbers(1, draws, -(-n // 64) * 64)[:, :n] % n, n)
+
+
 def weekly_blocks(daily: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """Sum of each metric and number of days per group and ISO week, weeks numbered from 0.
 
@@ -85,14 +92,14 @@ def with_intervals(groups: DataFrame, metrics: Sequence[str], draws: int = DRAWS
         for n in {r[0] for r in rows}:
             given[n] = np.array([r[2] for r in rows if r[0] == n], np.int64).reshape(-1, n)
 
-    def picks_of(n: int) -> Iterator[np.ndarray]:
+    def counts_of(n: int) -> Iterator[np.ndarray]:
         if given is not None:
-            yield given[n]
-            return
-        wide = -(-n // 64) * 64
-        for first in range(1, draws + 1, ROWS):
-            yield counter_numbers(1, draws, wide)[first - 1:first - 1 + ROWS, :n] % n if draws * wide <= 1 << 22 else \
-                counter_numbers(first, min(ROWS, draws + 1 - first), n) % n
+            yield draw_counts(given[n], n)
+        elif draws * n <= SMALL:
+            yield counter_counts(draws, n)
+        else:
+            for first in range(1, draws + 1, ROWS):
+                yield draw_counts(counter_numbers(first, min(ROWS, draws + 1 - first), n) % n, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +110,7 @@ def with_intervals(groups: DataFrame, metrics: Sequence[str], draws: int = DRAWS
                 out = {}
                 if len(weeks) >= 2 and whole:
                     sums = np.array([weeks.field("_days").to_numpy(), *[weeks.field(f"_s_{m}").to_numpy() for m in whole]])
-                    totals = np.concatenate([draw_counts(p, len(weeks)) @ sums.T for p in picks_of(len(weeks))])
+                    totals = np.concatenate([c @ sums.T for c in counts_of(len(weeks))])
                     low, high = np.quantile(totals[:, 1:] / totals[:, :1], TAILS, axis=0)
                     out = {f"{m}_ci_{e}": float(x) for e, side in (("low", low), ("high", high)) for m, x in zip(whole, side)}
                 found.append([out.get(e) for e in ends])

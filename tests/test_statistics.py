@@ -272,7 +272,9 @@ def test_many_weeks_give_the_same_interval_in_pieces(spark, monkeypatch):
     picks = bootstrap.counter_numbers(1, 3000, 450) % 450
     means = (np.arange(450) % 13).astype(float)[picks].mean(1)
     assert [got["v_ci_low"], got["v_ci_high"]] == pytest.approx(np.quantile(means, [0.025, 0.975]).tolist()) and got["weeks"] == 450
-    assert 3000 * 512 <= 1 << 22 < 10_000 * 512          # this one is drawn whole, the usual number of draws in pieces
+    assert 60 * 450 <= bootstrap.SMALL < 3000 * 450
+    few = bootstrap.block_intervals(df, ["k"], ["v"], draws=60).first()         # kept as a whole; the others go in pieces
+    assert few["v_ci_high"] == pytest.approx(np.quantile(means[:60], 0.975))
     again = bootstrap.block_intervals(df, ["k"], ["v"]).first()
     picks = np.concatenate([bootstrap.counter_numbers(1 + ROW, 2000, 450) for ROW in range(0, 10_000, 2000)]) % 450
     assert again["v_ci_low"] == pytest.approx(np.quantile((np.arange(450) % 13).astype(float)[picks].mean(1), 0.025))
