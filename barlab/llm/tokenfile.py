@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from barlab.llm.common import documents, quoted, shared_folder, text_of
 
-BLOCK = 4096                # ids of a block
-LANES = 1536                 # blocks coded side by side
+BLOCK = 16384               # ids of a block
+LANES = 768                 # blocks coded side by side
 END = 2
 MAGIC = b"TID1"
 HASH = 4096                 # places of the order-2 table
@@ -53,7 +53,7 @@ class Models:
         self.n, self.d = n, d
         self.lane = np.arange(n)
         self.counts = (np.arange(d)[None] < sizes[:, None]).astype(np.int32)
-        self.sums = np.zeros((n, d + 1), np.int64)
+        self.sums = np.zeros((n, d + 1), np.int32)
         self.one, self.one_sure = np.zeros(n * d, np.int32), np.zeros(n * d, np.int8)
         self.two, self.two_sure = np.zeros(n * HASH, np.int32), np.zeros(n * HASH, np.int8)
         self.mix = np.tile(np.array([24, 8, 16], np.int32), (n * (SURE + 1) ** 2, 1))
@@ -106,7 +106,7 @@ def code_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     alphabets, places = zip(*[np.unique(blocks[i], return_inverse=True) for i in order])
     lengths = np.array([len(p) for p in places])
     models = Models(np.array([len(a) for a in alphabets]))
-    x_all = np.zeros((lengths[0], len(order)), np.int64)
+    x_all = np.zeros((lengths[0], len(order)), np.int32)
     for i, p in enumerate(places):
         x_all[:len(p), i] = p
     low, span = np.zeros(len(order), U64), np.full(len(order), 0xFFFFFFFFFFFFFFFF, U64)
@@ -179,7 +179,7 @@ def read_blocks(payloads: list[bytes]) -> list[np.ndarray]:
         words[i, :len(s)] = s
     value = words[:, 0].astype(U64) << SHIFT | words[:, 1].astype(U64)
     span, used = np.full(len(order), 0xFFFFFFFFFFFFFFFF, U64), np.full(len(order), 2)
-    x_all = np.zeros((int(lengths[0]), len(order)), np.int64)
+    x_all = np.zeros((int(lengths[0]), len(order)), np.int32)
     reach = max(1, int(models.d).bit_length())
     for t, a in enumerate(active_lanes(lengths)):
         p2, w2, p1, w1, w0 = models.predict(a)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -47,6 +48,17 @@ def test_each_block_is_read_alone_and_damage_is_seen():
         tokenfile.read_blocks([coded[0][:40] + bytes([coded[0][40] ^ 1]) + coded[0][41:]])
 
 
+def test_blocks_of_a_table_are_smaller_than_deflated_ids():
+    from tokenizers import Tokenizer
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()[:400]]
+    ids = np.concatenate([np.array([*e.ids, tokenfile.END], np.uint32) for e in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)])
+    blocks = [ids[i:i + tokenfile.BLOCK] for i in range(0, len(ids), tokenfile.BLOCK)]
+    coded = tokenfile.code_blocks(blocks)
+    assert (np.concatenate(tokenfile.read_blocks(coded)) == ids).all()
+    assert sum(map(len, coded)) < len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+
+
 def test_crc_of_joined_strings():
     a, b = b"first part" * 50, b"second" * 333
     assert tokenfile.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
