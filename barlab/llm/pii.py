@@ -3,11 +3,16 @@
 High-recall generators propose spans that may overlap: the four base patterns with all their matches,
 and looser ones (e-mail addresses with a spelled-out sign, groups of digits, keys followed by a value). Boosted trees
 score a candidate by its format and context: digits, groups, separators, letters, length, the words
-before it. They learn from every base match of the corpus, right ones against those that fail their check
-(digit counts, octets, check digit), and from fixed examples of forms that a corpus may lack.
-Candidates are counted by their features first, so the fit sees counts of all documents in a table of at most
-CELLS rows. Thresholds are calibrated for each generator on documents that the fit leaves out. Base spans always
-stay; scored candidates that overlap none of them and reach their threshold are added.
+before. They learn from every base match of the corpus, right ones against those that fail their check
+(digit counts, octets, check digit), from the loose candidates whose label follows from the text, and from fixed
+examples of forms that a corpus may lack. A loose candidate that meets a right base span is right if that span is
+of its kind (the inner digits of a phone number) and wrong if it is of another (those of an address); a key's value is right
+if it mixes letters and digits and wrong if it is one word of letters. Other loose candidates have no label and are
+only scored. Candidates are counted by their features first, so the fit sees the counts of all documents; a cell is a
+combination of small feature values, so their number is bounded whatever the corpus (226,000 for a generator, in
+practice some hundred). Thresholds are calibrated for each generator on the quarter of the documents that the fit
+leaves out, and on the fixed examples too where that quarter holds no right candidate of the generator. Base spans
+always stay; scored candidates that overlap none of them and reach their threshold are added.
 
 Everything happens inside a row, so no text is shuffled. Places of matches come from the lengths of the
 pieces between them. Patterns are written without backtracking into what they have matched, and start
@@ -46,7 +51,6 @@ OCTET = "(?=[0-9])0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?"      # ze
 CONTEXT = r"(?i)(?:tel|phone|call|fax|mobile|cell|mail|contact|card|visa|ssn|password|token|secret|key|tél|téléphone|telefon|correo)[^a-z0-9]{0,4}$"
 BLOCK = 256
 FEATURES = ("generator", "digits", "groups", "letters", "separators", "length", "context", "dated", "glued")
-CELLS = 4096                # feature cells the fit takes at most, the most frequent ones
 ROUNDS, RATE, LEAST, PRECISION = 24, 0.4, 1e-3, 0.9
 SEED_WEIGHT = 4.0
 # Fixed examples: generator, what stands before, span, whether it is personal.
@@ -109,7 +113,7 @@ def features(generator: int, span: Column, before: Column, after: Column) -> lis
         F.lit(generator), F.least(F.length(digits_of(span)), F.lit(20)),
         F.least(F.length(F.regexp_replace(F.regexp_replace(span, "[0-9]+", "0"), "[^0]", "")), F.lit(6)),
         flag(span.rlike("[A-Za-z]")), has(" ", 1) + has(".", 2) + has("-", 4) + has("(", 8),
-        F.least((F.length(span) / 4).cast("int"), F.lit(10)), flag(before.rlike(CONTEXT)),
+        F.least((F.length(span) / 8).cast("int"), F.lit(5)), flag(before.rlike(CONTEXT)),
         flag(span.rlike(r"^(?:19|20)[0-9]{2}(?![0-9])|(?:^|[ .-])(?:19|20)[0-9]{2}$")),
         flag(before.rlike("[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]"))]
 
@@ -142,15 +146,39 @@ def cell_of(place: int, generator: str):
                               holds(generator, m["span"]).cast("int").alias("y"))
 
 
+def label_of(generator: str, base: Column):
+    """1, 0 or null: what the text itself says about a loose candidate."""
+    kind = KINDS.index(KIND[generator])
+
+    def label(m: Column) -> Column:
+        if generator == "keyed":
+            value = F.regexp_extract(m["span"], r"[:=][ \t]*[\"']?(.*)$", 1)
+            return F.when(value.rlike("[0-9]") & value.rlike("[A-Za-z]"), 1).when(value.rlike("^[A-Za-z]+$"), 0)
+        meets = lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])
+        return F.when(F.exists(base, lambda b: meets(b) & (b["kind"] == kind)), 1).when(F.exists(base, meets), 0)
+
+    return label
+
+
+def labelled(place: int, generator: str, base: Column) -> Column:
+    """The loose candidates of a row that have a label, as cells."""
+    label = label_of(generator, base)
+    cells = F.transform(f"__c_{generator}", lambda m: F.struct(
+        F.array(*features(place, m["span"], m["before"], m["after"])).alias("x"), label(m).alias("y")))
+    return F.filter(cells, lambda c: c["y"].isNotNull())
+
+
 def corpus_cells(docs: DataFrame, doc_id: str, text: str) -> list[tuple[list[int], int, int, int]]:
-    """features, label, fold, count: base matches of all documents, right or wrong."""
+    """features, label, fold, count: labelled candidates of all documents."""
     found = candidates(docs, text, [F.pmod(F.xxhash64(quoted(doc_id)), F.lit(4)).alias("part")])
-    none = F.array().cast("array<struct<x:array<int>,y:int>>")
-    known = F.concat(*[F.coalesce(F.transform(f"__c_{g}", cell_of(i, g)), none) for i, g in enumerate(BASE)])
-    counts = (found.filter(F.coalesce(*[F.col(f"__c_{g}") for g in BASE]).isNotNull())
-              .select((F.col("part") == 0).cast("int").alias("held"), F.explode(known).alias("k"))
-              .groupBy("k.x", "k.y", "held").count().orderBy(F.desc("count"), "x", "y", "held").limit(CELLS))
-    return [(list(r["x"]), r["y"], r["held"], r["count"]) for r in counts.collect()]
+    found = found.filter(F.coalesce(*[F.col(f"__c_{g}") for g in GENERATORS]).isNotNull())
+    none, no_spans = F.array().cast("array<struct<x:array<int>,y:int>>"), F.array().cast(SPANS)
+    based = found.withColumn("__base", F.concat(*[F.coalesce(F.transform(F.filter(f"__c_{g}", rightly(g)), span_of(g)), no_spans) for g in BASE]))
+    known = F.concat(*[F.coalesce(F.transform(f"__c_{g}", cell_of(i, g)) if g in BASE else labelled(i, g, F.col("__base")), none)
+                       for i, g in enumerate(GENERATORS)])
+    counts = (based.select((F.col("part") == 0).cast("int").alias("held"), F.explode(known).alias("k"))
+              .groupBy("k.x", "k.y", "held").count().collect())       # bounded by the feature values
+    return sorted((list(r["x"]), r["y"], r["held"], r["count"]) for r in counts)
 
 
 def example_cells(spark: SparkSession) -> list[tuple[list[int], int]]:
@@ -213,12 +241,12 @@ class Trees:
             tree = grow(rows, x, y, p, weight, 3)
             self.trees.append(tree)
             score = [s + output(tree, row) for s, row in zip(score, x)]
-        held = [(self.score(x), y, float(n)) for x, y, h, n in corpus if h]
         self.thresholds = {}
         for place, g in enumerate(GENERATORS):
             own = [(self.score(x), y, float(n)) for x, y, h, n in corpus if h and x[0] == place]
-            own += [(self.score(x), y, 1.0) for x, y in examples if x[0] == place]
-            self.thresholds[g] = lowest_cut(own or held)
+            if not any(y for _, y, _ in own):
+                own += [(self.score(x), y, 1.0) for x, y in examples if x[0] == place]
+            self.thresholds[g] = lowest_cut(own)
 
     def score(self, x: list[int]) -> float:
         return sum(output(t, x) for t in self.trees)
@@ -236,13 +264,14 @@ class Trees:
 
 
 def lowest_cut(scored: list[tuple[float, int, float]]) -> float:
-    """The lowest score, but not below even odds, from which on the share of right candidates is PRECISION at least."""
+    """Half way below the lowest score, itself above even odds, from which on the share of right candidates is PRECISION at least."""
     cut, right, all_ = math.inf, 0.0, 0.0
-    for s in sorted({s for s, _, _ in scored}, reverse=True):
+    levels = sorted({s for s, _, _ in scored}, reverse=True)
+    for s, below in zip(levels, [*levels[1:], 0.0]):
         right += sum(n * y for t, y, n in scored if t == s)
         all_ += sum(n for t, _, n in scored if t == s)
         if s > 0 and right >= PRECISION * all_:
-            cut = s - 1e-6           # sums may be added in another order
+            cut = min((s + max(below, 0.0)) / 2, s - 1e-6)           # sums may be added in another order
     return cut
 
 

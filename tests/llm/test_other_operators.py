@@ -376,6 +376,39 @@ def test_trees_add_spans_and_texts_are_redacted(spark):
     assert pii.redact(docs).columns == docs.columns
 
 
+LABELLED = ["on +1 (017) 555-7713 now", "at 97.51.17.173 now", "token = \"04dbebab91ab85687d33\"", "password: required", "secret=123456789", "call 555-123-4567"]
+
+
+def test_labels_of_loose_candidates_follow_from_the_text(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(40) for t in LABELLED], "doc_id long, text string")
+    held = {i for i, in docs.select("doc_id").filter("pmod(xxhash64(doc_id), 4) = 0").distinct().collect()}
+    assert 0 < len(held) < 40
+    names, got = list(pii.GENERATORS), Counter()
+    for x, y, h, n in pii.corpus_cells(docs, "doc_id", "text"):
+        got[names[x[0]], y, h] += n
+    for h, n in ((1, len(held)), (0, 40 - len(held))):
+        assert {(g, y): k for (g, y, part), k in got.items() if part == h and g in pii.LOOSE} == {
+            ("digits", 1): n, ("digits", 0): n, ("keyed", 1): n, ("keyed", 0): n}
+
+
+def test_recall_of_each_kind_on_a_table_and_planted_forms(spark, real):
+    more = ["call 555-123-4567 please", "phone: (212) 555-0147", "mail bob (at) site (dot) org", "my password=7602ad27cf5550de1c", "the password: required is"]
+    docs = real.select("doc_id", "text").union(spark.createDataFrame([(10 ** 6 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    rows = pii.find(docs, keep=["doc_id", "text"]).collect()
+    added = {r.doc_id: [pii.KINDS[s.kind] for s in r.spans] for r in rows}
+    assert [added[10 ** 6 + i] for i in range(5)] == [["phone"], ["phone"], ["email"], ["secret"], []]
+    keys = re.compile(r'token = "[0-9a-f]{40}')
+    for r in rows:
+        held = [(s.start, s.end) for s in r.spans if pii.KINDS[s.kind] == "secret"]
+        assert all(any(a <= m.start() and m.end() <= b for a, b in held) for m in keys.finditer(r.text or ""))
+        assert set(r.base) <= set(r.spans)
+
+
+def test_thresholds_lie_between_wrong_and_right():
+    assert pii.lowest_cut([(4.0, 1, 5.0), (2.0, 1, 5.0), (1.0, 0, 50.0), (0.5, 1, 1.0)]) == 1.5
+    assert pii.lowest_cut([(3.0, 1, 1.0)]) == 1.5 and pii.lowest_cut([(3.0, 0, 1.0), (-1.0, 1, 9.0)]) == np.inf
+
+
 def test_personal_data_of_odd_rows(odd, none):
     assert pii.find(none).count() == 0 and pii.redact(none).columns == none.columns
     out = Counter((r.doc_id, r.text) for r in pii.redact(odd).collect())
