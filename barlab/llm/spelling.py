@@ -123,8 +123,8 @@ def joined(parts: list) -> dict[int, tuple[list[int], str, int]]:
     for p in parts:
         out[p["part"]] = (path, last, base)
         kept = shared_letters(last, p["first"]) + 1 if path else 0
-        path = [path[x] if x < kept else base + x for x in p["path"]]      # the first word's nodes are numbered by depth
-        last, base = p["last"], base + p["size"]
+        path = [path[x] if x < kept else base + x - kept for x in p["path"]]      # the first word's nodes are numbered by depth; shared ones are not numbered anew
+        last, base = p["last"], base + p["size"] - kept
     return out
 
 

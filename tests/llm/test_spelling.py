@@ -104,3 +104,18 @@ def test_odd_rows(spark, odd, none):
     big = "x" * 20000
     docs = [(1, f"{big} {big}y {big}"), (2, big.upper())]
     assert rows_of(spelling.variants(spark.createDataFrame(docs, "doc_id long, text string"), times=1)) == plain(docs, times=1)
+
+
+def test_many_partitions_that_share_long_prefixes(spark):
+    keys = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}      # else small tables are one partition
+    rng = random.Random(5)
+    docs = [(i, " ".join("stem" + "".join(rng.choice("abÿ") for _ in range(rng.randrange(2, 7))) for _ in range(40))) for i in range(60)]
+    kept = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        assert spelling.trie(spark.createDataFrame([(x,) for x in {w for _, t in docs for w in t.split()}], "word string")).rdd.getNumPartitions() > 3
+        assert rows_of(spelling.variants(spark.createDataFrame(docs, "doc_id long, text string"), typo=7, times=1, ratio=2)) == plain(docs, 7, 6, 1, 2)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
