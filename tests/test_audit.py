@@ -114,3 +114,11 @@ def test_a_repeated_date_is_refused_and_a_leak_is_found(spark):
     cut = active[60][0].isoformat()
     own, leak = look_ahead(df, reference_states, cut).first(), look_ahead(df, leaking_states, cut).first()
     assert (own["compared"], own["changed"]) == (61, 0) and (leak["compared"], leak["changed"]) == (61, 1)
+
+
+def test_queries_bound_what_one_task_reads_and_merges(spark):
+    from barlab.plans.views import daily
+    daily(spark, "/root/testdata/sf0.001")
+    size = lambda key: {"16m": 16 << 20}.get(spark.conf.get(key), 1 << 40)
+    assert size("spark.sql.adaptive.advisoryPartitionSizeInBytes") <= 16 << 20 and size("spark.sql.files.maxPartitionBytes") <= 16 << 20
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 1024
