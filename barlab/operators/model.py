@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,28 +155,51 @@ def trees_from_table(nodes: DataFrame, bias: float, learning_rate: float, names:
     return Ensemble(bias, learning_rate, tuple(names), tuple(built))
 
 
+def land(tree: Tree, x: Sequence[np.ndarray], node: int = 0):
+    """The leaf of every row of a batch; ``x`` has one array of codes per feature, a missing code is NaN and goes right."""
+    if tree.left[node] < 0:
+        return node
+    return np.where(x[tree.feature[node]] <= tree.threshold[node], land(tree, x, tree.left[node]), land(tree, x, tree.right[node]))
+
+
+def codes_of(batch: pa.RecordBatch, first: int, n: int) -> list[np.ndarray]:
+    return [batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(first, first + n)]
+
+
 def descend(encoded: DataFrame, nodes: DataFrame, bias: float, learning_rate: float, names: Sequence[str], depth: int,
             valid: str = "formula_input_valid", keys: Sequence[str] = ("date", "code")) -> DataFrame:
-    """Scores by walking a node table: ``depth`` joins, one per level, each from a row's node to the next.
+    """Scores by walking a node table, ``depth`` levels at most, each from a row's node to the next.
 
-    Independent of the column expressions of ``score``. A row is one entry per tree while it walks; the node
-    table has one row per node of the model, so its join needs no shuffle of the rows. A row that has not
-    reached a leaf after ``depth`` levels, or meets a node that is missing, has no score.
+    Independent of the column expressions of ``score``: the tasks look up each node in the table, which is bounded by
+    the model, and no row is copied or moved. A row that has not reached a leaf after ``depth`` levels, or meets a
+    node that is missing, has no score.
     """
-    table = nodes.select("tree_id", F.col("node_id").alias("at"), "feature", "threshold", "left", "right", "value")
-    trees = nodes.select("tree_id").distinct().agg(F.sort_array(F.collect_list("tree_id")).alias("t"))
-    x = F.array(*[F.col(n).cast("double") for n in names])
-    rows = (encoded.select(*keys, F.when(F.col(valid), x).alias("x")).withColumn("tree_id", F.explode_outer(
-        F.when(F.col("x").isNotNull(), trees.scalar()))).withColumn("at", F.lit(0)))
-    for _ in range(depth):
-        met = rows.join(table, ["tree_id", "at"], "left")
-        onward = F.when(F.get("x", "feature") <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
-        rows = met.select(*keys, "x", "tree_id", F.when(F.col("left") < 0, F.col("at")).otherwise(onward).alias("at"))
-    leaf = table.where("`left` < 0").select("tree_id", "at", "value")
-    found = rows.join(leaf, ["tree_id", "at"], "left").groupBy(*keys).agg(
-        F.count("tree_id").alias("_trees"), F.count("value").alias("_leaves"), F.sum("value").alias("_sum"))
-    whole = (F.col("_trees") > 0) & (F.col("_trees") == F.col("_leaves"))
-    return found.select(*keys, F.when(whole, F.lit(float(bias)) + F.lit(float(learning_rate)) * F.col("_sum")).alias("score"))
+    table: dict[int, dict[int, tuple]] = {}
+    for r in nodes.select("tree_id", "node_id", "feature", "threshold", "left", "right", "value").collect():
+        table.setdefault(r["tree_id"], {})[r["node_id"]] = tuple(r)[2:]
+    n, wide = len(names), encoded.select(*keys, F.coalesce(F.col(valid), F.lit(False)), *[F.col(c).cast("double") for c in names])
+
+    def value_at(tree, x, missing, node, levels):
+        if node not in tree:
+            return np.nan
+        feature, threshold, left, right, value = tree[node]
+        if left < 0:
+            return np.nan if value is None else value
+        if levels == 0:
+            return np.nan
+        onward = x[feature] <= threshold if 0 <= feature < n and threshold is not None else missing
+        return np.where(onward, value_at(tree, x, missing, left, levels - 1), value_at(tree, x, missing, right, levels - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, total = codes_of(batch, len(keys) + 1, n), np.zeros(batch.num_rows)
+            for t in sorted(table):
+                total = total + value_at(table[t], x, np.zeros(batch.num_rows, bool), 0, depth)
+            ok = batch.column(len(keys)).to_numpy(zero_copy_only=False).astype(bool) & ~np.isnan(total) & bool(table)
+            score = pa.array(bias + learning_rate * total, pa.float64(), mask=~ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keys)], score], names=[*keys, "score"])
+
+    return wide.mapInArrow(run, wide.select(*keys).schema.add("score", "double"))
 
 
 def spread(groups: DataFrame, keys: Sequence[str], *extra: Column) -> DataFrame:
@@ -196,34 +221,80 @@ def equal_weight_groups(rows: DataFrame, keys: Sequence[str], weight: str, value
         *keys, "n", (F.col("_each") * F.col("n")).alias("w"), "m", "v")
 
 
+DAYS = 1 << 15      # days of one bitmap of Spark
+
+
+def leaf_groups(ensemble: Ensemble):
+    """tree_id, leaf, bucket, n, w, m, v, days: the rows of a task at every leaf, as weighted centred moments and a bitmap of days.
+
+    Deviations are taken from the mean of the task's first rows. The moments stand in a leaf's first row only.
+    """
+    trees, nodes = len(ensemble.trees), max(len(t.left) for t in ensemble.trees)
+    steps = [ensemble.learning_rate * np.array(t.value, np.float64) for t in ensemble.trees]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, centre, seen = np.zeros((5, trees, nodes)), [None] * trees, {}
+        for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
+            if not batch.num_rows:
+                continue
+            day, weighed = batch.column(0), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            dated = day.is_valid().to_numpy(zero_copy_only=False)
+            day = day.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            w = np.where(weighed, batch.column(1).fill_null(0.0).to_numpy(zero_copy_only=False), 0.0)
+            r, x = batch.column(2).to_numpy(zero_copy_only=False), codes_of(batch, 3, len(ensemble.feature_names))
+            parts = [(b, np.flatnonzero(dated & (day // DAYS == b))) for b in np.unique(day[dated] // DAYS).tolist()]
+            for t, tree in enumerate(ensemble.trees):
+                at = np.broadcast_to(land(tree, x), r.shape)
+                if centre[t] is None:
+                    centre[t] = float(r.mean())
+                d = r - centre[t]
+                for k, each in enumerate((None, weighed, w, w * d, w * d * d)):
+                    sums[k, t] += np.bincount(at, each, nodes)
+                for b, rows in parts:
+                    if b not in seen:
+                        seen[b] = np.zeros((trees, nodes, DAYS), bool)
+                    seen[b][t][at[rows], day[rows] % DAYS] = True
+                r = r - steps[t][at]
+        out = []
+        for t, leaf in zip(*np.nonzero(sums[0])):
+            n, nw, w, s, q = sums[:, t, leaf].tolist()
+            mean = s / w if w else None
+            out.append((t, leaf, None, int(n), w if nw else None, None if mean is None else centre[t] + mean,
+                        None if mean is None else max(q / w - mean * mean, 0.0), None))
+            out += [(t, leaf, b, 0, None, None, None, np.packbits(x[t, leaf], bitorder="little").tobytes()) for b, x in seen.items() if x[t, leaf].any()]
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary())
+        names = ["tree_id", "leaf", "bucket", "n", "w", "m", "v", "days"]
+        yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind) for i, kind in enumerate(types)], names=names)
+    return run
+
+
 def node_stats(rows: DataFrame, ensemble: Ensemble, target: str = "target", weight: str = "weight",
                day: str = "date") -> DataFrame:
     """Rows, weight, residual mean and variance, and distinct days at every node of every tree.
 
-    The residual is updated tree by tree. Rows are reduced to (tree, leaf, day, weight) groups with centred
-    moments; weights are equal within a day, so there are about as many groups as days and leaves. Inner
-    nodes join the groups of their leaves.
+    The residual is updated tree by tree. Each task reduces its rows, once, to one row per leaf, so what moves is
+    bounded by the model and the number of tasks. Inner nodes join the groups of their leaves. ``day`` is a date.
     """
-    leaf_of = lambda tree: walk(tree, ensemble.feature_names, int)
-    steps = "array(" + ", ".join("array(" + ", ".join(f"{float(ensemble.learning_rate * v)!r}D" for v in t.value) + ")" for t in ensemble.trees) + ")"
-    base = F.col(target) - F.lit(float(ensemble.bias))
-    met = rows.select(day, weight, base.alias("_base"), F.array(*[leaf_of(t) for t in ensemble.trees]).alias("leaf")).withColumn(
-        "_steps", F.expr(f"transform(leaf, (l, t) -> {steps}[t][l])"))
-    before = F.expr("aggregate(_steps, struct(cast(array() AS array<double>) AS seen, _base AS r), "
-                    "(a, s) -> struct(concat(a.seen, array(a.r)) AS seen, a.r - s AS r)).seen")     # the residual ahead of each tree
-    each = met.select(day, weight, F.posexplode(F.arrays_zip("leaf", before.alias("r"))).alias("tree_id", "_x"))
-    leaves = equal_weight_groups(each.select(day, weight, "tree_id", "_x.leaf", "_x.r"), ["tree_id", "leaf", day], weight, "r")
-    spark = rows.sparkSession
-    paths = spark.createDataFrame(
+    met = rows.select(F.unix_date(F.col(day).cast("date")).alias("day"), F.col(weight).cast("double").alias("w"),
+                      (F.col(target) - F.lit(float(ensemble.bias))).cast("double").alias("r"),
+                      *[F.col(n).cast("double").alias(f"x{i}") for i, n in enumerate(ensemble.feature_names)])
+    leaves = met.mapInArrow(leaf_groups(ensemble), "tree_id int, leaf int, bucket long, n long, w double, m double, v double, days binary")
+    paths = rows.sparkSession.createDataFrame(
         [(t, leaf, node, len(tree.path(node)) - 1, node == leaf)
          for t, tree in enumerate(ensemble.trees) for leaf in tree.leaves() for node in tree.path(leaf)],
         "tree_id int, leaf int, node_id int, level int, is_leaf boolean")
     # The path table has (depth + 1) rows per leaf of the model.
     keys = ["tree_id", "node_id", "level", "is_leaf"]
-    out = spread(leaves.join(F.broadcast(paths), ["tree_id", "leaf"]), keys,
-                 F.sum("n").alias("node_rows"), F.countDistinct(day).alias("days"))
-    return out.select(*keys, "node_rows", F.col("w").alias("weight"), "days",
-                      F.col("mean").alias("residual_mean"), F.col("variance").alias("residual_variance"))
+    out = (leaves.join(F.broadcast(paths), ["tree_id", "leaf"]).groupBy(*keys, "bucket")
+           .agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "m", "v"))).alias("g"),      # one per task and leaf
+                F.when(F.col("bucket").isNotNull(), F.bitmap_count(F.bitmap_or_agg(F.coalesce("days", F.lit(b""))))).alias("days"))
+           .groupBy(*keys).agg(F.sum("n").alias("node_rows"), F.flatten(F.collect_list("g")).alias("g"), F.coalesce(F.sum("days"), F.lit(0)).alias("days")))
+    total = lambda one: F.when(F.size("g") > 0, F.aggregate("g", F.lit(0.0), lambda a, x: a + F.coalesce(one(x), F.lit(0.0))))
+    out = out.withColumn("weight", total(lambda x: x["w"])).withColumn("residual_mean", ratio(total(lambda x: x["w"] * x["m"]), F.col("weight")))
+    apart = lambda x: x["m"] - F.col("residual_mean")
+    return out.select(*keys, "node_rows", "weight", "days", "residual_mean",
+                      ratio(total(lambda x: x["w"] * (x["v"] + apart(x) * apart(x))), F.col("weight")).alias("residual_variance"))
 
 
 def node_audit(stored: DataFrame, observed: DataFrame, tolerance: float = 2e-10) -> DataFrame:

@@ -192,3 +192,8 @@ def test_a_tree_reads_the_feature_at_its_declared_place(spark):
 def test_trees_survive_their_table(spark):
     e = sample_ensemble(4)
     assert model.trees_from_table(model.tree_table(spark, e), e.bias, e.learning_rate, FEATURES) == e
+
+
+def test_node_statistics_copy_no_row_per_tree(inputs):
+    plan = model.node_stats(inputs[1], sample_ensemble(3))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
