@@ -10,6 +10,7 @@ from barlab.operators import boosting, labels, model
 from barlab.operators.grouping import exact_quantiles
 from barlab.plans.output import tidied
 from barlab.plans.views import FEATURES, features
+from barlab.session import cut_lineage
 
 
 def sample_ensemble(trees: int = model.FIT["trees"]) -> model.Ensemble:
@@ -66,7 +67,7 @@ def changed_ensemble() -> model.Ensemble:
 
 def score_replay(spark, sf):
     """Scores of column expressions against the walk of a node table, of the same model and of one with a changed cut."""
-    rows = encoded(spark, sf)
+    rows = cut_lineage(encoded(spark, sf).select("date", "code", "formula_input_valid", *FEATURES))     # read by both sides, twice
     scored = model.score(rows, ENSEMBLE)
     out = None
     for name, other in (("same", ENSEMBLE), ("changed", changed_ensemble())):

@@ -197,3 +197,10 @@ def test_trees_survive_their_table(spark):
 def test_node_statistics_copy_no_row_per_tree(inputs):
     plan = model.node_stats(inputs[1], sample_ensemble(3))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_rows_of_equal_keys_each_keep_their_score(inputs):
+    pdf, df = inputs
+    e = sample_ensemble(2)
+    rows = df.where("formula_input_valid").limit(5).withColumn("code", F.lit(1)).withColumn("date", F.lit("2024-01-01").cast("date"))
+    assert model.descend(rows, model.tree_table(df.sparkSession, e), e.bias, e.learning_rate, FEATURES, 3).where("score is not null").count() == 5
