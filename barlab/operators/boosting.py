@@ -4,7 +4,8 @@ Level by level, one pass over the rows counts every (node, feature, value) cell;
 feature's values give the gain of every cut, and an ordered struct picks the best cut of a node. No rows
 are sampled and no values binned, so the fit is the same at any number of rows and partitions.
 
-Cells are partially aggregated before they move. A window holds one feature of one node: at most one
+Training rows of equal codes and target keep equal residuals through the whole fit, so they become one row with
+their number and joint weight before it begins. Cells are partially aggregated before they move. A window holds one feature of one node: at most one
 row per encoded value (``CEILING`` + 1), whatever the size of the data. Only one row per open node reaches
 the driver.
 """
@@ -26,8 +27,8 @@ PLACES = 9      # decimals of a gain in units of the root's variance: cuts close
 # One statement a level: built from columns, a level would cost the driver more time than its job takes.
 BEST_CUTS = """
 WITH cells AS (
-  SELECT node, feature, value, count(*) AS n, sum(w) AS w, sum(w * r) AS s, sum(w * r * r) AS q
-  FROM (SELECT {node} AS node, w, r, posexplode(x) AS (feature, value) FROM {rows} WHERE {kept})
+  SELECT node, feature, value, sum(n) AS n, sum(w) AS w, sum(w * r) AS s, sum(w * r * r) AS q
+  FROM (SELECT {node} AS node, n, w, r, posexplode(x) AS (feature, value) FROM {rows} WHERE {kept})
   GROUP BY node, feature, value),
 sided AS (
   SELECT node, feature, value, lead(value) OVER o AS next,
@@ -47,7 +48,7 @@ SELECT node, b.*, -b.minus AS feature FROM (
 
 
 def best_cuts(rows: DataFrame, node: str, kept: str, min_leaf_rows: int, scale: float) -> DataFrame:
-    """The best cut of each node; rows: x (array of codes), w, r; ``node`` and ``kept`` are SQL over them.
+    """The best cut of each node; rows: x (array of codes), n, w, r; ``node`` and ``kept`` are SQL over them.
 
     Gain is the weighted variance that a cut removes; equal gains go to the earlier feature, then to the smaller value.
     ``gain`` is NULL where no cut leaves ``min_leaf_rows`` on both sides. The threshold lies halfway to the next value.
@@ -127,7 +128,10 @@ def fit_boosted(
     for n in (*names, target, weight):
         complete = complete & F.col(n).isNotNull()
     w, y = F.col(weight).cast("double"), F.col(target).cast("double")
-    rows = train.where(complete).select(F.array(*[F.col(n).cast("int") for n in names]).alias("x"), w.alias("w"), y.alias("r"))
+    codes = [f"c{i}" for i in range(len(names))]
+    rows = (train.where(complete).select(*[F.col(n).cast("int").alias(c) for c, n in zip(codes, names)], w.alias("w"), y.alias("r"))
+            .groupBy(*codes, "r").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).select(F.array(*codes).alias("x"), "n", "w", "r"))
+    rows = cut_lineage(rows)
     total = rows.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("r")).alias("s")).first()
     if not total["w"]:
         raise ValueError("no complete training row")

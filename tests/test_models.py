@@ -204,3 +204,13 @@ def test_rows_of_equal_keys_each_keep_their_score(inputs):
     e = sample_ensemble(2)
     rows = df.where("formula_input_valid").limit(5).withColumn("code", F.lit(1)).withColumn("date", F.lit("2024-01-01").cast("date"))
     assert model.descend(rows, model.tree_table(df.sparkSession, e), e.bias, e.learning_rate, FEATURES, 3).where("score is not null").count() == 5
+
+
+def test_equal_training_rows_are_held_once(inputs, monkeypatch):
+    pdf, df = inputs
+    held, grow = [], boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda rows, *a: held.append(rows.count()) or grow(rows, *a))
+    few = df.where("code < 40").select(*FEATURES, "target", "weight")
+    once = boosting.fit_boosted(few, FEATURES, trees=1, min_leaf_rows=5)
+    many = boosting.fit_boosted(few.unionByName(few).unionByName(few), FEATURES, trees=1, min_leaf_rows=15)
+    assert held == [40, 40] and once.trees[0].feature == many.trees[0].feature and [3 * n for n in once.trees[0].rows] == list(many.trees[0].rows)
