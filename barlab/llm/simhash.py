@@ -12,8 +12,10 @@ are the pair, so it is verified in the first aggregation and goes before anythin
 No group is expanded into its pairs. Equal fingerprints are one node. First those that share a whole
 segment are compared with the smallest and the largest of their number only; that links the bulk of a group of near
 copies, and components are found over these links. Buckets whose members all share a component need no further link.
-In the others, members of different components are compared: those outside the bucket's most common
-component, with all others. So the components are exact.
+The others are sorted by the bits outside their segment, and each member is compared with the few before it; in a
+crowded bucket that links nearly all that has many links, and components are joined over these, too. What is then still
+apart is compared in full: the members outside the bucket's most common component, with all others. So the components are
+exact, and a pair is a row of that join once, under the first key that it shares.
 
 Defined cases: a null text is empty; without words the fingerprint is zero, which links like any
 other; fewer than four words are one shingle; rows with equal ids stay rows of their own; a null
@@ -38,6 +40,7 @@ WORDS = 4
 SEED = 42
 DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))        # first bit, length: one more segment than half the distance
+BEFORE = 8                                      # members that one is compared with before the full comparison
 PIECE = 1 << 18                                 # shingles counted at a time
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -121,27 +124,80 @@ def stars(nodes: DataFrame) -> DataFrame:
     return found.select("a", F.col("ends")[0].alias("b")).union(others)
 
 
-def bridges(parts: DataFrame) -> DataFrame:
-    """Links between fingerprints of different parts; parts: distinct fp, part."""
+def crowded(parts: DataFrame) -> DataFrame:
+    """key, fp, part: the members of all buckets that may hold a link between parts; parts: distinct fp, part."""
     rows = parts.select("fp", "part", F.explode(F.array(*deletion_variants())).alias("key"))
     buckets = rows.groupBy("key").agg(
         F.min("part").alias("p"), F.max("part").alias("q"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n"))
     mixed = buckets.filter((F.col("p") != F.col("q")) & ((F.col("n") > 2) | (differing("low", "high") <= DISTANCE)))
-    members = stored(rows.join(mixed.select("key"), "key"))
+    return rows.join(mixed.select("key"), "key")
+
+
+def neighbours(members: DataFrame) -> DataFrame:
+    """Links (a, b, part_a, part_b) of each member with the nearest before it in its bucket that is of another part, of the
+    last ``BEFORE`` in the order of the bits outside the segment.
+
+    The sort deals by those bits, too, so a large bucket is spread over many tasks; what it cuts apart is left to ``bridges``.
+    """
+    place = F.shiftright("key", 22)
+    turned, stop = F.lit(None).cast("long"), 64
+    for first, length in reversed(SEGMENTS):                # the bits below the segment move to the top, those above it to the bottom
+        others = F.shiftleft("fp", 64 - first) if first else F.lit(0).cast("long")
+        if first + length < 64:
+            others = others.bitwiseOR(F.shiftrightunsigned("fp", first + length))
+        turned = F.when(place < stop, others).otherwise(turned)
+        stop -= length
+    ordered = members.select("key", turned.alias("turned"), "fp", "part").orderBy("key", "turned").select("key", "fp", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            new = batch.num_rows
+            key, fp, part = last = [np.r_[old, c.to_numpy()] for old, c in zip(last, batch.columns)]
+            to = np.full(len(key), -1)
+            for d in range(BEFORE, 0, -1):                  # the nearest is written last
+                fits = (key[d:] == key[:-d]) & (part[d:] != part[:-d]) & (np.bitwise_count((fp[d:] ^ fp[:-d]).view(np.uint64)) <= DISTANCE)
+                at = np.flatnonzero(fits) + d
+                to[at] = at - d
+            at = np.flatnonzero(to >= 0)
+            at = at[at >= len(key) - new]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[at], fp[to[at]], part[at], part[to[at]])], names=["a", "b", "part_a", "part_b"])
+            last = [x[-BEFORE:] for x in last]
+
+    return ordered.mapInArrow(run, "a long, b long, part_a long, part_b long").distinct()
+
+
+def first_shared() -> Column:
+    """The number of the first key that a and b have in common, if they have one."""
+    both = F.col("a").bitwiseXOR(F.col("b"))
+    found, before = F.lit(-1).cast("long"), sum(n for _, n in SEGMENTS)
+    for first, length in reversed(SEGMENTS):
+        before -= length
+        x = F.shiftrightunsigned(both, first).bitwiseAND(F.lit((1 << length) - 1).cast("long"))
+        bit = F.when(x == 0, 0).otherwise(F.bit_count(x - 1))
+        found = F.when(F.bit_count(x) <= 1, (bit + before).cast("long")).otherwise(found)
+    return found
+
+
+def bridges(members: DataFrame) -> DataFrame:
+    """All links between fingerprints of different parts; members: key, fp, part."""
     common = (members.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
               .agg(F.max(F.struct("n", "part"))["part"].alias("common")))
     few = members.join(common, "key").filter("part <> common").select("key", F.col("fp").alias("a"), F.col("part").alias("part_a"))
     rest = members.select("key", F.col("fp").alias("b"), F.col("part").alias("part_b"))
-    return few.join(rest, (few["key"] == rest["key"]) & (F.col("part_a") != F.col("part_b"))
-                    & (differing("a", "b") <= DISTANCE)).select("a", "b").distinct()
+    return few.join(rest, (few["key"] == rest["key"]) & (F.col("part_a") != F.col("part_b")) & (differing("a", "b") <= DISTANCE)
+                    & (F.shiftright(few["key"], 22) == first_shared())).select("a", "b").distinct()
 
 
 def links(nodes: DataFrame) -> DataFrame:
     """Enough of the pairs (a, b) within DISTANCE bits to connect every component; nodes: distinct fp."""
     first = stored(stars(nodes))
     labels = components(first).withColumnRenamed("node", "fp")
-    parts = stored(nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("part")))
-    return first.union(bridges(parts))
+    members = stored(crowded(stored(nodes.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("part")))))
+    second = stored(neighbours(members))
+    joined = components(second.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))).withColumnRenamed("node", "part")
+    left = stored(members.join(joined, "part", "left").select("key", "fp", F.coalesce("label", "part").alias("part")))
+    return first.union(second.select("a", "b")).union(bridges(left))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -147,6 +147,26 @@ def test_links_of_planted_fingerprints(spark):
     assert {v: labels.get(v, v) for v in signed} == want
 
 
+def test_links_of_a_dense_group_grow_with_its_members(spark):
+    """A group in which every member has many links: a few of them per member connect it, first shared keys give each pair once."""
+    rng = np.random.default_rng(8)
+    center = int(rng.integers(0, 1 << 63))
+    values = sorted({center ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(3, 7), replace=False)) for _ in range(700)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    nodes = spark.createDataFrame([(v,) for v in signed], "fp long")
+    from barlab.llm.components import components
+    found = simhash.links(nodes).persist()
+    labels = {r.node: r.label for r in components(found).collect()}
+    assert {v: labels.get(v, v) for v in signed} == plain_components(list(zip(signed, values)))
+    assert found.count() <= 3 * len(values)
+    pairs = spark.createDataFrame([(a, b) for a, b in zip(signed[:400], signed[1:401])], "a long, b long").select("a", "b", simhash.first_shared().alias("k"))
+    for r in pairs.collect():
+        x = (r.a ^ r.b) & ((1 << 64) - 1)
+        shared = [sum(n for _, n in simhash.SEGMENTS[:i]) + j for i, (first, n) in enumerate(simhash.SEGMENTS) for j in range(n)
+                  if (x >> first) & ((1 << n) - 1) & ~(1 << j) == 0]
+        assert r.k == min(shared, default=-1)
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(odd).collect())
     zero = "0" * 16
