@@ -298,6 +298,29 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert a == b
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """A telling word that only rows behind the first 12,000 in the order of the ids' hashes hold; several shards."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 6000, raising=False)
+    order = [r.id for r in spark.range(18000).orderBy(F.xxhash64("id"), "id").collect()]
+    held = lambda i: crc32(str(i).encode()) % 5 == 0
+    late = set([i for i in order if not held(i)][12000:])
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghilmnoprstu"), 6)) for _ in range(300)]
+    rows = []
+    for i in range(18000):
+        new = (i in late or held(i)) and i % 4 == 0
+        toxic = new or i % 10 == 1
+        text = [*rng.choice(words, 8), *(["blighter"] if new else ["rotter"] if toxic else [])]
+        rows.append((i, " ".join(rng.permutation(text)), int(toxic), new))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, labels).collect()}
+    caught = [got[i] for i, _, _, new in rows if new and held(i)]
+    assert len(caught) > 500 and np.mean(caught) >= 0.95
+    assert np.mean([got[i] == y for i, _, y, _ in rows if held(i)]) >= 0.95
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (6, 0), (9, None), (None, 1), (77, 1)], "doc_id long, toxic int")
     rows = toxicity.score(odd, labels).collect()
