@@ -42,6 +42,7 @@ DISTANCE = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))        # first bit, length: one more segment than half the distance
 BEFORE = 8                                      # members that one is compared with before the full comparison
 PIECE = 1 << 18                                 # shingles counted at a time
+SPREAD = 1 << 14                                # fingerprints that one task writes under all their keys
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -125,8 +126,12 @@ def stars(nodes: DataFrame) -> DataFrame:
 
 
 def crowded(parts: DataFrame) -> DataFrame:
-    """key, fp, part: the members of all buckets that may hold a link between parts; parts: distinct fp, part."""
-    rows = parts.select("fp", "part", F.explode(F.array(*deletion_variants())).alias("key"))
+    """key, fp, part: the members of all buckets that may hold a link between parts; parts: distinct fp, part.
+
+    A fingerprint becomes 64 rows, so the few tasks that its table fits into are not enough to write and group these.
+    """
+    dealt = parts.repartition(1 + parts.count() // SPREAD, "fp")
+    rows = dealt.select("fp", "part", F.explode(F.array(*deletion_variants())).alias("key"))
     buckets = rows.groupBy("key").agg(
         F.min("part").alias("p"), F.max("part").alias("q"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n"))
     mixed = buckets.filter((F.col("p") != F.col("q")) & ((F.col("n") > 2) | (differing("low", "high") <= DISTANCE)))

@@ -167,6 +167,29 @@ def test_links_of_a_dense_group_grow_with_its_members(spark):
         assert r.k == min(shared, default=-1)
 
 
+def test_few_links_take_few_jobs(spark, monkeypatch):
+    from barlab.llm import components
+    order = np.random.default_rng(4).permutation(3000).tolist()
+    edges = spark.createDataFrame([*zip(order[:1999], order[1:2000]), *zip(order[2000:], order[2001:]), (7, 7), (order[0], order[1])], "a long, b long")
+    want = {v: min(g) for g in (order[:2000], order[2000:]) for v in g}
+    spark.sparkContext.setJobGroup("few links", "few links")
+    try:
+        got = {r.node: r.label for r in components.components(edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 8
+    monkeypatch.setattr(components, "FEW", 100)         # rounds over all tasks, then the rest
+    assert {r.node: r.label for r in components.components(edges).collect()} == want
+    assert components.components(edges.limit(0)).count() == 0
+
+
+def test_keys_of_fingerprints_are_written_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPREAD", 10)
+    parts = spark.range(95).selectExpr("id * 7919 AS fp", "id AS part").coalesce(1)
+    plan = simhash.crowded(parts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [fp" in plan and ", 10" in plan.split("RepartitionByExpression", 1)[1].splitlines()[0]
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(odd).collect())
     zero = "0" * 16
