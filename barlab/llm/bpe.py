@@ -36,7 +36,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm.common import documents, quoted, stored, text_of
+from barlab.llm.common import REMEMBERED, documents, quoted, stored, text_of
 
 LEXICON_WORDS = 1 << 18      # words in the automaton
 WORD_BYTES = 48             # longer words are always merged
@@ -298,6 +298,7 @@ class Codec:
 
 
 LAST_CODEC: list[tuple[str, Codec]] = []
+REMEMBERED.append(LAST_CODEC)
 
 
 def codec_of(key: str, sent) -> Codec:

@@ -190,6 +190,23 @@ def test_keys_of_fingerprints_are_written_by_many_tasks(spark, monkeypatch):
     assert "RepartitionByExpression [fp" in plan and ", 10" in plan.split("RepartitionByExpression", 1)[1].splitlines()[0]
 
 
+def test_other_tasks_drop_what_the_codec_remembers(real, monkeypatch):
+    """Python workers outlive a query: the codec of one stage is not held through the next."""
+    from barlab.llm import toxicity
+    taken = []
+
+    def take(self, run, *rest):
+        taken.append(run)
+        raise LookupError
+
+    monkeypatch.setattr(type(real), "mapInArrow", take)
+    for build in (lambda: simhash.fingerprints(real), lambda: toxicity.summed(real, None)):
+        with pytest.raises(LookupError):
+            build()
+        bpe.LAST_CODEC[:] = [("key", None)]
+        assert list(taken.pop()(iter([]))) == [] and not bpe.LAST_CODEC
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none):
     got = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(odd).collect())
     zero = "0" * 16
