@@ -9,8 +9,9 @@ therefore changes the speed only.
 
 The tokenizer is one with byte-level symbols and word ends: special tokens are cut out of the raw
 text, the rest is put into NFC and lower case letter by letter, and split into pieces that never
-hold white space. Text between white space is therefore encoded on its own, and each worker remembers a
-bounded number of such chunks.
+hold white space. Text between white space is therefore encoded on its own, and each worker remembers the ids of a
+bounded number of such chunks. Those of some texts that are not remembered are encoded together: their words
+take the steps through the automaton, and the merges beyond it, side by side in numpy.
 
 Defined cases: a null text is empty and has no ids; a null id stays a row; repeated rows stay rows;
 an empty table gives no rows.
@@ -30,21 +31,25 @@ import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.llm.common import REMEMBERED, documents, quoted, stored, text_of
+from barlab.llm.common import REMEMBERED, documents, quoted, small_batches, stored, text_of
 
 LEXICON_WORDS = 1 << 18      # words in the automaton
 WORD_BYTES = 48             # longer words are always merged
-CHUNKS_KEPT = 300_000       # recent chunks that a worker remembers
-WORDS_KEPT = 150_000        # recent words
+CHUNKS_KEPT = 200_000       # recent chunks that a worker remembers
+WORDS_KEPT = 100_000        # recent words
 COUNTED = 400_000           # chunks that a worker counts before it hands them on
 CHUNK_CHARS = 48
 ROWS_OUT = 128
+SIDE_BY_SIDE = 4096         # words merged together
 LONG_WORD = 300
 NO_MERGE = 1 << 62
 
@@ -52,6 +57,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 MARK = "\x01"       # stands for characters without a category, some of which the pattern's library takes for letters
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE = re.compile("[" + "".join(map(chr, WHITE)) + "]+")
+PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+FAR = re.compile("[^\x00-\u024f]")          # beyond the first blocks, whose characters all have a category
 SEPARATORS = re.compile("[\x1c-\x1f]")      # str.split takes these as white space, the tokenizer does not
 
 
@@ -130,6 +137,82 @@ class Model:
                 offer(before[i], i)
         return [i for i in ids if i >= 0]
 
+    def pair_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs in ascending order and what each becomes, rank first."""
+        pairs = np.fromiter(self.merges, np.int64, len(self.merges))
+        order = np.argsort(pairs)
+        return pairs[order], np.fromiter(self.merges.values(), np.int64, len(self.merges))[order]
+
+
+def matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, a row each, zeros behind them, and their lengths."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    wide = np.zeros((len(words), int(sizes.max())), np.uint8)
+    wide[np.arange(wide.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+    return wide, sizes
+
+
+class Merger:
+    """``Model.merge`` for many words side by side."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.inner, self.last = np.array(model.inner, np.int64), np.array(model.last, np.int64)
+        self.pairs, self.made = model.pair_table()
+
+    def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(self.pairs):
+            return np.full(a.shape, NO_MERGE)
+        pair = np.where(b < 0, -1, a << 20 | b)
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.made[at], NO_MERGE)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The bytes of each word's ids; none of the words is empty."""
+        out = [b""] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order and len(words[order[-1]]) > WORD_BYTES:
+            i = order.pop()
+            out[i] = array("I", self.model.merge(words[i])).tobytes()
+        for start in range(0, len(order), SIDE_BY_SIDE):
+            part = order[start:start + SIDE_BY_SIDE]
+            for i, ids in zip(part, self.merged([words[i] for i in part])):
+                out[i] = ids
+        return out
+
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        wide, sizes = matrix(words)
+        n, columns = len(words), np.arange(wide.shape[1] + 1)
+        ids = np.full((n, wide.shape[1] + 1), -1, np.int64)
+        ids[:, :-1] = np.where(columns[:-1] < sizes[:, None], self.inner[wide], -1)
+        ids[np.arange(n), sizes - 1] = self.last[wide[np.arange(n), sizes - 1]]
+        found = self.lookup(ids[:, :-1], ids[:, 1:])
+        rows, done = np.arange(n), np.full(ids.shape, -1, np.int64)
+        while len(rows):
+            every = np.arange(len(rows))
+            best = found.argmin(1)              # the leftmost of the lowest rank
+            value = found[every, best]
+            ended = value == NO_MERGE
+            if ended.any():
+                done[rows[ended], :ids.shape[1]] = ids[ended]
+                rows, ids, found, best, value = (x[~ended] for x in (rows, ids, found, best, value))
+                every = np.arange(len(rows))
+            ids[every, best] = value & 0xFFFFF
+            gone = columns[:-1] >= best[:, None] + 1        # what stands behind the pair moves up
+            ids[:, :-1] = np.where(gone, ids[:, 1:], ids[:, :-1])
+            ids[:, -1] = -1
+            gone = columns[:-2] >= best[:, None]
+            found[:, :-1] = np.where(gone, found[:, 1:], found[:, :-1])
+            found[:, -1] = NO_MERGE
+            found[every, best] = self.lookup(ids[every, best], ids[every, best + 1])
+            left = np.flatnonzero(best)
+            at = best[left] - 1
+            found[left, at] = self.lookup(ids[left, at], ids[left, at + 1])
+        kept = done >= 0
+        ends = np.cumsum(kept.sum(1)) * 4
+        raw = done[kept].astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
 
 def compile_lexicon(words: list[bytes], model: Model) -> bytes:
     """The file of the minimal automaton over the distinct words.
@@ -201,6 +284,8 @@ class Lexicon:
             at += 4 * n
         self.first, self.targets, self.outputs, self.offsets, self.ids = parts
         self.finals, self.labels = at, at + states + (-states % 4)
+        first = np.frombuffer(self.first, np.uint32).astype(np.int64)
+        self.keys = np.repeat(np.arange(states) << 8, np.diff(first)) | np.frombuffer(self.map, np.uint8, arcs, self.labels)     # arcs by state and label
 
     def get(self, word: bytes):
         """The ids of a word, or None where the automaton doesn't hold it."""
@@ -216,6 +301,26 @@ class Lexicon:
             return None
         return self.ids[self.offsets[number]:self.offsets[number + 1]]
 
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """For each word the bytes of its ids, or None where the automaton doesn't hold it; the words step side by side."""
+        if not words or not len(self.keys):
+            return [None if (ids := self.get(w)) is None else ids.tobytes() for w in words]
+        wide, sizes = matrix(words)
+        targets, outputs = np.frombuffer(self.targets, np.uint32), np.frombuffer(self.outputs, np.uint32)
+        state, number, known = np.full(len(words), self.start, np.int64), np.zeros(len(words), np.int64), np.ones(len(words), bool)
+        for k in range(wide.shape[1]):
+            rows = np.flatnonzero(known & (sizes > k))
+            key = state[rows] << 8 | wide[rows, k]
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            right = self.keys[arc] == key
+            known[rows[~right]] = False
+            rows, arc = rows[right], arc[right]
+            number[rows] += outputs[arc]
+            state[rows] = targets[arc]
+        known &= np.frombuffer(self.map, np.uint8, len(self.first) - 1, self.finals)[state] > 0
+        offsets, ids = self.offsets, self.ids
+        return [ids[offsets[i]:offsets[i + 1]].tobytes() if ok else None for ok, i in zip(known.tolist(), number.tolist())]
+
 
 def pieces(chunk: str) -> list[str]:
     """The tokenizer's pieces of a text without special tokens; lower case is taken letter by letter."""
@@ -224,7 +329,9 @@ def pieces(chunk: str) -> list[str]:
     chunk = chunk.lower()
     if chunk.isalpha():
         return [chunk]
-    if chunk.isascii() or not any(unicodedata.category(c) == "Cn" for c in chunk):
+    if (word := chunk.rstrip(PUNCTUATION)).isalpha():
+        return [word, chunk[len(word):]]
+    if not FAR.search(chunk) or not any(unicodedata.category(c) == "Cn" for c in chunk):
         return PIECES.findall(chunk)
     found, at = [], 0
     for piece in PIECES.findall("".join(MARK if unicodedata.category(c) == "Cn" else c for c in chunk)):
@@ -239,62 +346,82 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
-class Recent(dict):
-    """Remembers what ``make`` gave for the latest keys up to a length: between ``most`` and twice as many."""
+class Recent:
+    """Remembers the values of the latest keys up to a length: some ``most`` to twice as many."""
 
-    def __init__(self, make, longest: int, most: int):
-        super().__init__()
-        self.make, self.longest, self.most, self.older = make, longest, most, {}
+    def __init__(self, longest: int, most: int):
+        self.longest, self.most, self.now, self.older = longest, most, {}, {}
 
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+    def all(self, keys: list[str], make) -> list[bytes]:
+        """The value of each key; those that are not remembered come from ``make``, which gets each of these once."""
+        found = [*map(self.now.get, keys)]
+        blank = [i for i, x in enumerate(found) if x is None]
+        if blank:
+            asked, older = [keys[i] for i in blank], self.older.get
+            new = {key: older(key) for key in asked}
+            unknown = [key for key, x in new.items() if x is None]
+            new.update(zip(unknown, make(unknown)))
+            for i, key in zip(blank, asked):
+                found[i] = new[key]
+            if len(self.now) >= self.most:
+                self.older, self.now = self.now, {}
+            self.now.update((key, x) for key, x in new.items() if len(key) <= self.longest)
+        return found
 
 
 class Codec:
     """Encodes and decodes texts."""
 
     def __init__(self, model: Model, lexicon: Lexicon):
-        self.model, self.lexicon = model, lexicon
+        self.model, self.lexicon, self.merger = model, lexicon, Merger(model)
         self.special = re.compile("(" + "|".join(map(re.escape, model.special)) + ")") if model.special else None
-        self.words, self.chunks = Recent(self.word, WORD_BYTES, WORDS_KEPT), Recent(self.chunk, CHUNK_CHARS, CHUNKS_KEPT)
-
-    def word(self, piece: str) -> tuple[bytes, str]:
-        """The bytes of a piece's ids and what these decode to."""
-        word = piece.encode("utf-8", "surrogatepass")
-        ids = self.lexicon.get(word) if len(word) <= WORD_BYTES else None
-        ids = array("I", self.model.merge(word) if ids is None else ids)
-        return ids.tobytes(), self.decode(ids)
-
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """The same for the pieces of a text without white space, one after the other."""
-        found = [*map(self.words.__getitem__, pieces(chunk))]
-        if len(found) == 1:
-            return found[0]
-        return b"".join([a for a, _ in found]), " ".join([b for _, b in found])
-
-    def decode(self, ids) -> str:
-        """Text of ids as the tokenizer without a decoder has it: its tokens, joined by spaces."""
-        tokens = self.model.tokens
-        return " ".join([tokens[i] for i in ids])
+        self.fixed = {name: struct.pack("<I", i) for name, i in model.special.items()}
+        self.tokens = pa.array(model.tokens, pa.string())
+        self.words, self.chunks = Recent(WORD_BYTES, WORDS_KEPT), Recent(CHUNK_CHARS, CHUNKS_KEPT)
+
+    def encode_words(self, found: list[str]) -> list[bytes]:
+        """The bytes of each piece's ids."""
+        words = [x.encode("utf-8", "surrogatepass") for x in found]
+        short = [i for i, w in enumerate(words) if len(w) <= WORD_BYTES]
+        out: list[bytes | None] = [None] * len(words)
+        for i, ids in zip(short, self.lexicon.find([words[i] for i in short])):
+            out[i] = ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self.merger.merge([words[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def encode_chunks(self, found: list[str]) -> list[bytes]:
+        """The same for texts without white space: the ids of their pieces, one after the other; a special token is its own id."""
+        parts = [[] if c in self.fixed else pieces(c) for c in found]
+        ids = iter(self.words.all([*chain.from_iterable(parts)], self.encode_words))
+        return [next(ids) if len(part) == 1 else b"".join(islice(ids, len(part))) if part else self.fixed.get(c, b"")
+                for c, part in zip(found, parts)]
+
+    def decode(self, ids: list[bytes]) -> pa.Array:
+        """Texts of ids as the tokenizer without a decoder has them: their tokens, joined by spaces."""
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        tokens = self.tokens.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
+
+    def run_all(self, texts: list[str]) -> tuple[list[bytes], pa.Array]:
+        """For each text the ids' bytes (little-endian, four each) and the text that they decode to."""
+        found, ends = [], [0]
+        for text in texts:
+            if self.special and "<|" in text:
+                for k, part in enumerate(self.special.split(text)):
+                    found.extend([part] if k % 2 else chunks(part))
+            else:
+                found.extend(chunks(text))
+            ends.append(len(found))
+        ids = self.chunks.all(found, self.encode_chunks)
+        done = [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
+        return done, self.decode(done)
 
     def run(self, text: str) -> tuple[bytes, str]:
-        """The ids' bytes (little-endian, four each) and the text that they decode to."""
-        found: list[tuple[bytes, str]] = []
-        for k, part in enumerate(self.special.split(text) if self.special and "<|" in text else [text]):
-            if k % 2:
-                i = self.model.special[part]
-                found.append((struct.pack("<I", i), self.model.tokens[i]))
-            else:
-                found.extend(map(self.chunks.__getitem__, chunks(part)))
-        return b"".join([a for a, _ in found]), " ".join([b for a, b in found if a])
+        """The same for one text."""
+        ids, decoded = self.run_all([text])
+        return ids[0], decoded[0].as_py()
 
 
 LAST_CODEC: list[tuple[str, Codec]] = []
@@ -353,6 +480,7 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS, text: str = "tex
 def encode(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS, doc_id: str = "doc_id", text: str = "text",
            keep: tuple[str, ...] = ()) -> DataFrame:
     """The id column, those to ``keep``, and ids (binary: unsigned 32-bit integers, little-endian) and decoded, per row."""
+    small_batches(docs.sparkSession)
     model = Model(tokenizer)
     content = compile_lexicon(frequent_words(docs, words, text), model)
     sent = docs.sparkSession.sparkContext.broadcast((model, content))       # bounded by the vocabulary and ``words``
@@ -366,10 +494,9 @@ def encode(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS, doc_id:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(start, ROWS_OUT)
-                done = [codec.run(x.as_py()) for x in part.column(len(names))]
+                ids, decoded = codec.run_all(part.column(len(names)).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(names)], pa.array([a for a, _ in done], pa.binary()), pa.array([b for _, b in done], pa.string())],
-                    names=schema.names)
+                    [*part.columns[:len(names)], pa.array(ids, pa.binary()), decoded], names=schema.names)
 
     return rows.mapInArrow(run, schema).toDF(*names, "ids", "decoded")
 

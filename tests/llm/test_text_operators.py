@@ -1,7 +1,9 @@
 """Token files, fingerprints, BPE, licences, mixing: brute force, round trips and odd rows."""
 
 import hashlib
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -268,6 +270,38 @@ def test_long_words_merge_alike(model):
     assert model.merge_long(list(ids)) == model.merge(word)
 
 
+@given(st.lists(st.binary(min_size=1, max_size=60), min_size=1, max_size=40))
+@settings(max_examples=60, deadline=None)
+def test_words_side_by_side_equal_words_alone(model, words):
+    words += [b"internationalization", b"thetionthetion", b"a", b"e" * 80]
+    assert bpe.Merger(model).merge(words) == [np.array(model.merge(w), "<u4").tobytes() for w in words]
+    lexicon = bpe.Lexicon(bpe.compile_lexicon(words[::2], model))
+    assert lexicon.find(words) == [None if (ids := lexicon.get(w)) is None else ids.tobytes() for w in words]
+
+
+def test_texts_together_equal_texts_alone(model, library, monkeypatch):
+    """Chunks that are forgotten between two batches, and those that come twice in one, have the same ids."""
+    monkeypatch.setattr(bpe, "CHUNKS_KEPT", 4)
+    monkeypatch.setattr(bpe, "WORDS_KEPT", 3)
+    codec = bpe.Codec(model, bpe.Lexicon(bpe.compile_lexicon([b"the", b"don"], model)))
+    for texts in (ODD_TEXTS, ODD_TEXTS[::-1], [], ODD_TEXTS + ODD_TEXTS):
+        ids, decoded = codec.run_all(texts)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [ids_of(raw) for raw in ids] == want and decoded.to_pylist() == [library.decode(w, skip_special_tokens=False) for w in want]
+
+
+def test_codec_remembers_little(model):
+    """What a worker holds for words it has seen stays small: an encoder runs in every worker of an executor."""
+    rng = random.Random(3)
+    codec = bpe.Codec(model, bpe.Lexicon(bpe.compile_lexicon([b"the"], model)))
+    tracemalloc.start()
+    for _ in range(8):
+        codec.run_all([" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(50_000))])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 110 << 20
+
+
 def test_suffixes_are_shared(model):
     words = [a + b"tionality" for a in (b"na", b"ra", b"emo", b"fic")]
     alone = [len(bpe.compile_lexicon([w], model)) for w in words]
