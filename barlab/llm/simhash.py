@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from barlab.llm.common import documents, forget, quoted, stored, text_of
+from barlab.llm.common import documents, forget, quoted, small_batches, stored, text_of
 from barlab.llm.components import components
 
 WORDS = 4
@@ -71,6 +71,7 @@ def fingerprint(text: str) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (long): one row per row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(quoted(doc_id).alias("doc_id"), text_of(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -302,6 +302,17 @@ def test_codec_remembers_little(model):
     assert held < 110 << 20
 
 
+def test_texts_go_to_python_in_small_batches(spark, real):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    simhash.fingerprints(real)
+    assert spark.conf.get(key) == "1024"
+    spark.conf.set(key, "77")
+    simhash.fingerprints(real)
+    assert spark.conf.get(key) == "77"
+    spark.conf.unset(key)
+
+
 def test_suffixes_are_shared(model):
     words = [a + b"tionality" for a in (b"na", b"ra", b"emo", b"fic")]
     alone = [len(bpe.compile_lexicon([w], model)) for w in words]
