@@ -19,7 +19,9 @@ of their own; null ids come first; a text that spans blocks is read from all of
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barlab.llm.common import documents, quoted, shared_folder, text_of
+from barlab.llm.common import documents, quoted, shared_folder, small_batches, text_of, written
 
 BLOCK = 16384               # ids of a block
 LANES = 768                 # blocks coded side by side
@@ -41,6 +43,9 @@ REBUILD = 256               # ids between two updates of the order-0 sums
 GAIN = 24                   # what an occurrence adds to its order-0 count
 SURE = 3                    # the highest confidence
 LIMIT = 512                 # a mixing count at which the counts of its context are halved
+UNITS_KEPT, UNIT_CHARS = 300_000, 48     # texts from one white space to the next whose ids a task remembers, and the longest of these
+# Without other white space, and without the separators that ``units`` puts in, a piece of the tokenizer holds white space in front alone.
+OTHER_SPACE = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 U64 = np.uint64
 LOW32, SHIFT = U64(0xFFFFFFFF), U64(32)
 
@@ -216,6 +221,59 @@ def read_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def units(text: str) -> list[str]:
+    """The text, cut before each run of white space; these parts are tokenized alike alone and together."""
+    cut = text.replace(" ", "\0 ").replace("\n", "\0\n").replace(" \0", " ").replace("\n\0", "\n")
+    return cut.split("\0")
+
+
+class Encoder:
+    """The library's ids of whole texts: each distinct unit is encoded once as long as it is remembered.
+
+    That holds for a byte-level tokenizer that neither normalizes nor puts anything before a text; with any other one, and for texts with
+    special tokens or white space besides spaces and line ends, whole texts go to the library.
+    """
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(spec)
+        form = json.loads(spec)
+        before = form.get("pre_tokenizer") or {}
+        self.by_units = (before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+                         and not any(form.get(k) for k in ("normalizer", "truncation", "padding")) and form["model"]["type"] == "BPE"
+                         and not form["model"].get("dropout"))
+        self.special = [t["content"] for t in form.get("added_tokens", [])]
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids (little-endian, four bytes each)."""
+        out: list[bytes | None] = [None] * len(texts)
+        cut = [i for i, t in enumerate(texts) if self.by_units and not OTHER_SPACE.search(t) and not any(x in t for x in self.special)]
+        found = [units(texts[i]) for i in cut]
+        if len(self.known) > UNITS_KEPT:
+            self.known.clear()
+        new: set[str] = set()
+        for parts in found:
+            new.update(parts)
+        new.difference_update(self.known)
+        asked = [*new]
+        self.known.update(zip(asked, self.encoded(asked)))
+        get = self.known.__getitem__
+        for i, parts in zip(cut, found):
+            out[i] = b"".join(map(get, parts))
+        for unit in asked:
+            if len(unit) > UNIT_CHARS:
+                del self.known[unit]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.encoded([texts[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+
 # -- files -------------------------------------------------------------------------------------------------------
 
 FILE = ("shard int, block int, first_token long, n_tokens int, first_doc long, doc_ids array<{id}>, sizes array<int>, "
@@ -225,6 +283,7 @@ FILE = ("shard int, block int, first_token long, n_tokens int, first_doc long, d
 def blocks_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
     """The rows of the files. ``first_doc`` numbers a shard's documents, ``sizes`` are their ids in this block, and
     ``begins`` and ``ends`` tell whether the block holds the first one's begin and the last one's end."""
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(quoted(doc_id).alias("doc_id"), text_of(text).alias("text"))
@@ -235,9 +294,7 @@ def blocks_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        coder, shard = Tokenizer.from_str(sent.value), TaskContext.get().partitionId()
+        coder, shard = Encoder(sent.value), TaskContext.get().partitionId()
         pending: list[tuple[object, np.ndarray]] = []       # documents, or what is left of one, not yet in a block
         ready: list[tuple] = []                             # blocks not yet coded
         state = {"held": 0, "block": 0, "token": 0, "doc": 0, "begins": True}
@@ -278,9 +335,8 @@ def blocks_of(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = coder.encode_batch(part.column(1).to_pylist(), add_special_tokens=False)
-                for name, one in zip(part.column(0).to_pylist(), found):
-                    ids = np.array([*one.ids, end], np.uint32)
+                for name, raw in zip(part.column(0).to_pylist(), coder.ids(part.column(1).to_pylist())):
+                    ids = np.frombuffer(raw + struct.pack("<I", end), "<u4")
                     pending.append((name, ids))
                     state["held"] += len(ids)
                 while state["held"] >= BLOCK:
@@ -358,7 +414,7 @@ def _sum_rows(rows: list[int], value: int) -> int:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 per document, from the files alone."""
-    pieces = read_pieces(spark, path)
+    pieces = written(read_pieces(spark, path), "pieces")        # each block is decoded once
     sizes = spark.read.parquet(path).groupBy("shard").agg(F.sum("n_tokens").alias("size"))      # a row per shard
     base = sizes.select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("base"))
     spanning = (pieces.filter("NOT whole").groupBy("shard", "doc").agg(

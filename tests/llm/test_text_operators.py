@@ -22,6 +22,7 @@ from checks.compare import connect, difference
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
+SPECS: dict = {}
 
 
 @pytest.mark.parametrize("name", ["op4_exact_topk", "op7_license_scan", "op9_mix_sources"])
@@ -81,6 +82,29 @@ def wanted_files(rows):
     return out
 
 
+@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "\t", "'s", "don't", "12", "é", "\u00a0", "\0", "...", "<|endoftext|>", "x y", "\u3000", "\r\n"]), max_size=14).map("".join))
+@settings(max_examples=200, deadline=None)
+def test_units_alone_equal_whole_texts(text):
+    with open(BYTES, encoding="utf-8") as f:
+        encoder = SPECS.setdefault("encoder", None) or SPECS.update(encoder=tokenfile.Encoder(f.read())) or SPECS["encoder"]
+    want = encoder.library.encode(text, add_special_tokens=False).ids
+    assert [ids_of(x) for x in encoder.ids([text, text + " the", text])] == [want, encoder.library.encode(text + " the", add_special_tokens=False).ids, want]
+
+
+def test_a_unit_is_encoded_once_and_blocks_are_decoded_once(spark, real, monkeypatch):
+    with open(BYTES, encoding="utf-8") as f:
+        encoder = tokenfile.Encoder(f.read())
+    asked = []
+    monkeypatch.setattr(encoder, "encoded", lambda texts, of=encoder.encoded: asked.extend(texts) or of(texts))
+    for _ in range(2):
+        encoder.ids(["one two two\n two", "one two", ""])
+    assert len(asked) == len(set(asked)) == 4
+    path = shared_folder(spark, "tokens-once")
+    tokenfile.write(real, path, BYTES)
+    plan = tokenfile.read_documents(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1        # that which joins the sums of a document in several blocks
+
+
 def test_token_files_of_a_table(spark, real, real_texts):
     assert files(spark, real) == wanted_files(sorted(real_texts.items()))
 
