@@ -121,7 +121,7 @@ def stars(nodes: DataFrame) -> DataFrame:
     ends = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
     joined = near("fp", "low") & (differing("low", "high") <= DISTANCE)
     targets = F.array_compact(F.array(F.when(near("fp", "low"), F.col("low")), F.when(near("fp", "high") & ~joined, F.col("high"))))
-    found = (rows.join(ends, "key").select(F.col("fp").alias("a"), F.explode(targets).alias("b"))
+    found = (rows.hint("merge").join(ends, "key").select(F.col("fp").alias("a"), F.explode(targets).alias("b"))
              .groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("ends")))
     others = found.select(F.col("ends")[0].alias("a"), F.explode(F.slice("ends", 2, 6)).alias("b")).distinct()
     return found.select("a", F.col("ends")[0].alias("b")).union(others)
@@ -130,14 +130,15 @@ def stars(nodes: DataFrame) -> DataFrame:
 def crowded(parts: DataFrame) -> DataFrame:
     """key, fp, part: the members of all buckets that may hold a link between parts; parts: distinct fp, part.
 
-    A fingerprint becomes 64 rows, so the few tasks that its table fits into are not enough to write and group these.
+    A fingerprint becomes 64 rows, so the few tasks that its table fits into are not enough to write and group these. Spark
+    sizes an explode by its input and would broadcast these rows while the fingerprints are few; hence the merge joins here and in ``stars``.
     """
     dealt = parts.repartition(1 + parts.count() // SPREAD, "fp")
     rows = dealt.select("fp", "part", F.explode(F.array(*deletion_variants())).alias("key"))
     buckets = rows.groupBy("key").agg(
         F.min("part").alias("p"), F.max("part").alias("q"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n"))
     mixed = buckets.filter((F.col("p") != F.col("q")) & ((F.col("n") > 2) | (differing("low", "high") <= DISTANCE)))
-    return rows.join(mixed.select("key"), "key")
+    return rows.hint("merge").join(mixed.select("key"), "key")
 
 
 def neighbours(members: DataFrame) -> DataFrame:

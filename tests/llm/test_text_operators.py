@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from barlab.llm import bpe, licenses, mixing, simhash, tokenfile
@@ -216,6 +217,15 @@ def test_keys_of_fingerprints_are_written_by_many_tasks(spark, monkeypatch):
     assert "RepartitionByExpression [fp" in plan and ", 10" in plan.split("RepartitionByExpression", 1)[1].splitlines()[0]
 
 
+def test_rows_of_keys_are_never_broadcast(spark):
+    """Spark sizes an explode by its input: few fingerprints under all their keys would be sent to the driver whole."""
+    parts = spark.range(20000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("part")).localCheckpoint()
+    for found in (simhash.stars(parts.select("fp")), simhash.crowded(parts)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_other_tasks_drop_what_the_codec_remembers(real, monkeypatch):
     """Python workers outlive a query: the codec of one stage is not held through the next."""
     from barlab.llm import toxicity
