@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barlab.llm import html, nearest, pii, topk, toxicity
 
@@ -252,6 +253,19 @@ def test_recall_of_nearest_from_a_start_of_one_pair_in_a_hundred(spark, monkeypa
     assert share_found(x, collected(nearest.nearest(df, 60, 10, width=12))) >= 0.95
 
 
+def test_neighbours_that_have_met_are_not_compared_again(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    nodes = spark.createDataFrame([(i, r.tobytes()) for i, r in enumerate(x)], "id long, x binary")
+    homes = spark.range(300).selectExpr("id AS p", "id % 3 AS block")
+    edges = [(u, int(w), float(((x[u] - x[w]) ** 2).sum())) for u in range(300) for w in rng.choice(np.delete(np.arange(300), u), 6, False)]
+    lists = spark.createDataFrame(edges, "u long, w long, d double")
+    met = nearest.descend(nodes, homes, lists.withColumn("fresh", F.lit(0)), 8, 6)
+    assert {(r.u, r.w, r.d, r.fresh) for r in met.collect()} == {(*e, 0) for e in edges}
+    new = nearest.descend(nodes, homes, lists.withColumn("fresh", F.lit(1)), 8, 6).collect()
+    assert sum(r.fresh for r in new) > 300 and all(abs(r.d - ((x[r.u] - x[r.w]) ** 2).sum()) < 1e-9 for r in new)
+
+
 def test_nearest_with_near_copies_and_a_huge_vector(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(2000, 16))
