@@ -10,7 +10,7 @@ from barlab.operators import boosting, labels, model
 from barlab.operators.grouping import exact_quantiles
 from barlab.plans.output import tidied
 from barlab.plans.views import FEATURES, features
-from barlab.session import cut_lineage
+from barlab.session import cut_lineage, written_once
 
 
 def sample_ensemble(trees: int = model.FIT["trees"]) -> model.Ensemble:
@@ -92,7 +92,7 @@ def weighted_moments(spark, sf):
 
 def fit_boosted(spark, sf):
     """The fit with the parameters of the library (64 trees of depth 3, leaves of 300 rows), each node against its training rows."""
-    rows = training_rows(spark, sf)
+    rows = written_once(training_rows(spark, sf).select("date", "target", "weight", *FEATURES), "training")     # read by the fit, twice, and by the audit
     fitted = boosting.fit_boosted(rows, FEATURES)
     nodes = model.tree_table(spark, fitted)
     audit = model.node_audit(nodes, model.node_stats(rows, fitted)).drop("days")

@@ -214,3 +214,24 @@ def test_equal_training_rows_are_held_once(inputs, monkeypatch):
     once = boosting.fit_boosted(few, FEATURES, trees=1, min_leaf_rows=5)
     many = boosting.fit_boosted(few.unionByName(few).unionByName(few), FEATURES, trees=1, min_leaf_rows=15)
     assert held == [40, 40] and once.trees[0].feature == many.trees[0].feature and [3 * n for n in once.trees[0].rows] == list(many.trees[0].rows)
+
+
+def test_training_rows_of_equal_codes_are_held_once_whatever_their_targets(inputs, monkeypatch):
+    pdf, df = inputs
+    held, grow = [], boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda rows, *a: held.append(rows.count()) or grow(rows, *a))
+    few = df.where("code < 40").select(*FEATURES, "target", "weight")
+    boosting.fit_boosted(few.unionByName(few.withColumn("target", F.col("target") + 0.5)), FEATURES, trees=1, min_leaf_rows=5)
+    assert held == [40]
+
+
+@pytest.mark.parametrize("span", [0, 1 << 20])
+def test_a_table_and_a_sort_count_the_same_cells(inputs, monkeypatch, span):
+    """Targets far from zero, and codes that are too far apart for a table where ``span`` is 0."""
+    pdf, df = inputs
+    plain = boosting.fit_boosted(df, FEATURES, trees=2)
+    monkeypatch.setattr(boosting, "SPAN", span)
+    far = boosting.fit_boosted(df.withColumn("target", F.col("target") + 1e6), FEATURES, trees=2)
+    for a, b in zip(plain.trees, far.trees):
+        assert (a.feature, a.threshold, a.rows) == (b.feature, b.threshold, b.rows)
+        assert a.value == pytest.approx(b.value, abs=1e-8) and a.impurity == pytest.approx(b.impurity, abs=1e-8)
